@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import asknown, intervals, regrid
+from ..operators import anomaly, asknown, intervals, regrid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,17 @@ def p1_state_at_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("probe_id", "message_id", "version", "status", "valid_from div 1000000 as valid_from_s", "valid_to div 1000000 as valid_to_s", "mw")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.implausible(table(spark, sf_dir, "kepler_samples")).select("sample_id")
+
+
+def p3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags by source, with the least certain of them."""
+    samples = table(spark, sf_dir, "kepler_samples")
+    flags = anomaly.implausible(samples).join(samples.select("sample_id", "series_id"), "sample_id")
+    return flags.groupBy("series_id", "flag").agg(F.count("*").alias("n"), F.min("probability").alias("least_probability"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.outage_periods(table(spark, sf_dir, "outage_messages"))
 
@@ -36,7 +48,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.filter("missing").select("capture_id", "source_id", "cell_s")
 
 
-QUERIES = {"p1_found": p1_found, "p1_state_at_origin": p1_state_at_origin, "p4_found": p4_found, "p5_found": p5_found, "p5_regular_grid": p5_regular_grid}
+QUERIES = {"p1_found": p1_found, "p1_state_at_origin": p1_state_at_origin, "p3_found": p3_found, "p3_flags": p3_flags, "p4_found": p4_found, "p5_found": p5_found, "p5_regular_grid": p5_regular_grid}
 
 _LIVE = """
 live as (
