@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import clean_key
-from . import nearest, topn
+from . import mixing, nearest, packing, tokens, topn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,31 @@ def p6_best_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_windows(table(spark, sf_dir, "window_catalog")).withColumn("origin", F.unix_micros("origin"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_distances": p2_distances, "p6_found": p6_found, "p6_best_windows": p6_best_windows}
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.sized(table(spark, sf_dir, "documents"))
+    return packing.pack(sizes, table(spark, sf_dir, "container_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = tokens.sized(table(spark, sf_dir, "documents"), "source", "repo", "author_email", "lang", "text")
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mixture(documents, targets), targets
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = _mixture(spark, sf_dir)
+    return mixed.select("doc_id", "label", "tokens", F.round("rate", 9).alias("rate"), "cap", "uses")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reached_shares(*_mixture(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_distances": p2_distances, "p6_found": p6_found, "p6_best_windows": p6_best_windows, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _NEAREST = """
 pts as (
