@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import clean_key
-from . import mixing, nearest, packing, tokens, topn
+from . import mixing, nearest, packing, spam, tokens, topn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(*_mixture(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_distances": p2_distances, "p6_found": p6_found, "p6_best_windows": p6_best_windows, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filler, abnormality and linked sites of every document."""
+    d = spam.scored(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.round("filler", 4).alias("filler"), F.round("deviation", 3).alias("deviation"), "sites")
+
+
+QUERIES = {"p2_found": p2_found, "p2_distances": p2_distances, "p6_found": p6_found, "p6_best_windows": p6_best_windows, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
 
 _NEAREST = """
 pts as (
