@@ -53,7 +53,7 @@ MARKUP = re.compile(r"</?\w+[^>]*>|\[/?url\b=?|[\[\]()<>\"']")
 # Words of offers and prices in four languages.
 OFFER = re.compile(r"\b(?:sale|hot|new|deals?|cheap|buy|discount|free|best|offer|order|price|kaufen|günstig|rabatt|gratis|angebot|acheter|promo|soldes?|gratuite?s?|barat[oa]s?|oferta|comprar|descuento)\b|[-–]\d+ ?%|\d[.,]\d\d\b", re.I)
 #: A line with one of these is code or data unless it is a link or a tag line.
-CODE = re.compile(r"[_={}\[\]<>\"`\\$%^~]|\w\(|\w\.\w|\w::|\w->|^//|^#\s|--\w|[:;]$|\w:\w|\S@\S|\d{4}-\d\d|^\w+: ")
+CODE = re.compile(r"[_={}\[\]<>\"`\\$%^~]|\w\(|\w\.\w|\w::|\w->|^//|^#\s|^--\s|^(?:ORDER|GROUP) BY\b|^(?:LEFT )?JOIN\b|--\w|[:;]$|\w:\w|\S@\S|\d{4}-\d\d|^\w+: ")
 TOKEN = re.compile(r"(?:[cdjlmnst]|qu|[CDJLMNST]|Qu)['’](?=\w)|#?[^\W_]+(?:['’-][^\W_]+)*|[^\w\s]+")
 #: Lists: what stands between their items, and an item's most words.
 BETWEEN = re.compile(r"\s[|/;·•*–-]\s|[,;|]\s*|\s::\s")
