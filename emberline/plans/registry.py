@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core_problems
+from . import core_problems, windows
 
-MODULES = [core_problems]
+MODULES = [core_problems, windows]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
