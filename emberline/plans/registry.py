@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core_problems, windows
+from . import core_problems, energy, windows
 
-MODULES = [core_problems, windows]
+MODULES = [core_problems, windows, energy]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
