@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core_problems, energy, windows
+from . import core_problems, energy, forecast, windows
 
-MODULES = [core_problems, windows, energy]
+MODULES = [core_problems, windows, energy, forecast]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
