@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core_problems, energy, forecast, windows
+from . import core_problems, energy, forecast, live, windows
 
-MODULES = [core_problems, windows, energy, forecast]
+MODULES = [core_problems, windows, energy, forecast, live]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_problems.p4_found(spark, sf_dir)
+    return windows.w_low_carbon_windows(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, **extra: str) -> Sp
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/emberline-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
 
