@@ -114,16 +114,15 @@ def _median_per_sequence(seq: np.ndarray, x: np.ndarray, count: int) -> np.ndarr
 
 
 def _sustained(seq: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest and highest running median of every sequence; of a short one its median."""
-    lo = hi = _median_per_sequence(seq, x, count)
+    """Lowest and highest running median of every sequence; NaN for one that is shorter than the window."""
+    lo = hi = np.full(count, np.nan)
     if len(x) >= WINDOW:
         windows = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::2]
         first, last = seq[: len(x) - WINDOW + 1 : 2], seq[WINDOW - 1 :: 2]
         whole = first == last
         if whole.any():
             middle = np.partition(windows[whole], WINDOW // 2, axis=1)[:, WINDOW // 2]
-            low, high = _per_sequence(first[whole], middle, count, np.minimum.reduceat), _per_sequence(first[whole], middle, count, np.maximum.reduceat)
-            lo, hi = np.where(np.isnan(low), lo, low), np.where(np.isnan(high), hi, high)
+            lo, hi = _per_sequence(first[whole], middle, count, np.minimum.reduceat), _per_sequence(first[whole], middle, count, np.maximum.reduceat)
     return lo, hi
 
 
@@ -185,7 +184,7 @@ def implausible(samples: DataFrame, least: int = 50_000, chunk: int = CHUNK, mar
 
     Rows with a null in source, capture, time or id, and texts that state no number (NaN, empty) are no readings: they are
     neither flagged nor do they end a run of equal readings. Repeated rows of one reading share its verdict. An empty table gives
-    no rows; a source with too few readings to show a range of its own is judged by hard bounds and runs only.
+    no rows; a source none of whose captures has WINDOW readings shows no range of its own and is judged by hard bounds and runs only.
     """
     seqs = checkpointed(sequences(samples, chunk, margin))  # sorted and summarised once, read three times
     key = ["series_id"]

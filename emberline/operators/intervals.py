@@ -22,12 +22,11 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start_us", end
     all intervals of a key.
     """
     d = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).filter("_s is not null and _e > _s").withColumn("_b", floor_div(F.col("_s"), bucket))
-    # one microsecond more makes intervals that touch overlap, and is taken off again
-    gap = F.make_interval(secs=((F.col("_e") - F.col("_s") + 1).cast("decimal(24,6)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(18,6)"))
+    gap = F.make_interval(secs=((F.col("_e") - F.col("_s")).cast("decimal(24,6)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(18,6)"))
     d = d.withColumn("_t", F.timestamp_micros("_s")).withColumn("_gap", gap)
     merged = d.groupBy(*keys, "_b", F.session_window("_t", F.col("_gap")).alias("_w")).agg(F.count("*").alias("_n"))
-    merged = merged.select(*keys, "_b", F.unix_micros("_w.start").alias("_s"), (F.unix_micros("_w.end") - 1).alias("_e"))
-    # session_window takes sessions whose bounds only meet as one or as two, depending on the version; both are right after this
+    merged = merged.select(*keys, "_b", F.unix_micros("_w.start").alias("_s"), F.unix_micros("_w.end").alias("_e"))
+    # sessions whose bounds only meet are one to Spark 4.1; this keeps them one wherever they come out as two
     inside = W.partitionBy(*keys, "_b").orderBy("_s")
     flagged = merged.withColumn("_p", F.max("_e").over(inside.rowsBetween(W.unboundedPreceding, -1)))
     merged = flagged.withColumn("_g", F.sum(F.when(F.col("_s") <= F.col("_p"), 0).otherwise(1)).over(inside)).groupBy(*keys, "_b", "_g").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).drop("_g")
