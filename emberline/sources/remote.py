@@ -166,7 +166,7 @@ class RecordsReader(DataSourceReader):
         from pyspark.sql.datasource import GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
 
         for f in filters:
-            if getattr(f, "attribute", None) == ("t",) and isinstance(f.value, int):
+            if getattr(f, "attribute", None) == ("t",) and isinstance(getattr(f, "value", None), int):
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     self.low = max(self.low, f.value)
                 elif isinstance(f, (LessThan, LessThanOrEqual)):
