@@ -42,10 +42,10 @@ def features(pdf: pd.DataFrame, dimension: int = FEATURES) -> list[np.ndarray]:
 
 
 def train(sample: pd.DataFrame, names: list[str], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression with weights that give every source its true share of the labelled rows."""
+    """Softmax regression on rows ``label, f`` (hashed features), weighted so that every source has its true share of the labelled rows."""
     y = np.array([names.index(s) for s in sample.label])
     X = np.zeros((len(sample), FEATURES), dtype="float32")
-    for i, f in enumerate(features(sample)):
+    for i, f in enumerate(sample.f):
         X[i, f] = 1 / np.sqrt(len(f))
     weight = (prior / np.maximum(np.bincount(y, minlength=len(names)), 1))[y].astype("float32")
     target = np.eye(len(names), dtype="float32")[y]
@@ -72,7 +72,13 @@ def posteriors(documents: DataFrame, names: list[str]) -> DataFrame:
     order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = documents.filter(F.col("label").isNotNull())
     chosen = known.select("doc_id", "label").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= SAMPLE_PER_SOURCE)
-    sample = known.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("label", "repo", "author_email", "lang", "text").toPandas()  # bounded: SAMPLE_PER_SOURCE rows of each source
+    text = known.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("label", "repo", "author_email", "lang", "text")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"label": pdf.label, "f": features(pdf)})
+
+    sample = text.mapInPandas(hashed, "label string, f array<int>").toPandas()  # bounded: SAMPLE_PER_SOURCE rows of each source, FEATURES numbers in each
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = np.array([counts.get(n, 0) for n in names], dtype=float)
     prior = prior / prior.sum() if prior.sum() else np.full(len(names), 1 / len(names))
