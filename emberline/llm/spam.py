@@ -60,12 +60,12 @@ BETWEEN = re.compile(r"\s[|/;·•*–-]\s|[,;|]\s*|\s::\s")
 ITEM = 5
 TABLE = re.compile(r"\S \| \S.* \| ")
 #: Tokens of a line from which it may be a sentence, the share of function words in prose that the model learns from, and that which
-#: makes a line a sentence.
-SENTENCE, PROSE, SENTENCE_SHARE = 6, 0.25, 0.3
-#: How many standard errors from prose's mean surprisal a stretch is abnormal; how often a term must come to be repeated (twice where
-#: there are at most SHORT words); the number of
-#: sites that make a link list; the share of filler that makes a document spam.
-ERRORS, REPEATED, SHORT, SITES, MOSTLY = 2.0, 3, 120, 3, 0.4
+#: makes a line a sentence; up to how many tokens a line is short, and the share of its words that must be different ones.
+SENTENCE, PROSE, SENTENCE_SHARE, LINE, VARIED = 6, 0.25, 0.3, 25, 0.6
+#: How many standard errors from prose's mean surprisal a stretch is abnormal; how often a term must come to be repeated (twice where there
+#: are at most SHORT words); the number of sites that make a link list; the characters of filler below which there is none to speak of; the
+#: share of filler that makes a document spam.
+ERRORS, REPEATED, SHORT, SITES, LEAST, MOSTLY = 2.0, 3, 120, 3, 80, 0.4
 
 
 def plain(text: str) -> str:
@@ -154,9 +154,12 @@ def prose_share(ids: list[int]) -> float:
 
 
 def sentence(ids: list[int], tokens: list[str]) -> bool:
-    """Whether a line has as many and as different function words as a sentence."""
+    """Whether a line has as many and as different function words as a sentence, and if it is short doesn't keep saying the same."""
     if len(ids) < SENTENCE or prose_share(ids) < SENTENCE_SHARE:
         return False
+    own = [t.lower() for t, i in zip(tokens, ids) if WORD <= i <= WORD + RUN]
+    if len(ids) <= LINE and len(set(own)) < VARIED * len(own):
+        return False
     return len({t.lower() for t, i in zip(tokens, ids) if 2 <= i < WORD}) >= max(2, min(6, 0.15 * len(ids)))
 
 
@@ -267,7 +270,7 @@ def judge(text: str, model: ProseModel) -> tuple[float, float, int]:
             over = model.total(ids) - (len(ids) + 1) * model.mean
             filler, off, length = filler + len(s), off + over, length + len(ids) + 1
             squares, n = squares + over * over / (len(ids) + 1), n + 1
-    if not n:
+    if filler < LEAST:
         return 0.0, 0.0, len(sites)
     variance = model.deviation**2
     return filler / total, float(max(abs(off) / np.sqrt(length * variance), (squares / variance - n) / np.sqrt(2 * n))), len(sites)
