@@ -111,22 +111,27 @@ def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, total: fl
     """
     k = len(shares)
     component = lambda rate: [F.sum(F.col("p")[i] * F.col("mass") * rate) for i in range(k)]
-    row = groups.agg(*[x.alias(f"m{i}") for i, x in enumerate(component(F.lit(1.0)))], *[x.alias(f"c{i}") for i, x in enumerate(component(F.col("cap")))]).first()
-    mass, most = np.array([row[f"m{i}"] or 0.0 for i in range(k)]), np.array([row[f"c{i}"] or 0.0 for i in range(k)])
+    sure = F.when(F.array_max("p") >= 1, F.col("cap")).otherwise(0)
+    row = groups.agg(*[x.alias(f"{n}{i}") for n, rate in (("m", F.lit(1.0)), ("c", F.col("cap")), ("s", sure)) for i, x in enumerate(component(rate))]).first()
+    mass, most, own = (np.array([row[f"{n}{i}"] or 0.0 for i in range(k)]) for n in "mcs")
     wanted = shares > 0
-    if total is None:  # the largest total that every source can fill its share of
-        total = float((most[wanted] / shares[wanted]).min()) if wanted.any() else 0.0
+    if total is None:  # the largest total of which every source can fill its share with documents that surely are its own, or else with all it may have
+        reach = np.where(own > 0, own, most)
+        total = float((reach[wanted] / shares[wanted]).min()) if wanted.any() else 0.0
     goal = shares * total
     start = np.clip(np.divide(goal, mass, out=np.zeros(k), where=mass > 0), 0, None)
     scale = np.divide(1.0, mass, out=np.zeros(k), where=mass > 0)
     dot = lambda v: sum((F.col("p")[i] * float(v[i]) for i in range(k)), F.lit(0.0))
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.col("cap").cast("double"))
     current = groups.withColumn("rate", clip(dot(start)))
+    last = np.inf
     for n in range(iterations):
         now = current.agg(*[x.alias(f"t{i}") for i, x in enumerate(component(F.col("rate")))]).first()
         reached = np.array([now[f"t{i}"] or 0.0 for i in range(k)])
-        if total <= 0 or np.abs(reached - goal).max() <= ACCURACY * total:
+        off = float(np.abs(reached - goal).max())
+        if total <= 0 or off <= ACCURACY * total or off > 0.99 * last:  # reached, or no nearer than before
             break
+        last = off
         current = current.withColumn("rate", clip(F.col("rate") - dot((reached - goal) * scale)))
         if n % 10 == 9:
             current = checkpointed(current)
@@ -143,7 +148,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     ``documents`` has ``doc_id`` (unique), ``source, tokens, repo, author_email, lang, text``; ``targets`` has ``source_name, target_share, max_repeats``
     (a small table; rows with a null are ignored). A source that compares equal after ``source_name`` labels a document; null and unknown
     sources leave it to the classifier, and such a document is used at most as often as every source allows. Without ``total`` the
-    largest total is taken of which all sources can fill their shares. Empty texts have no tokens and rate 0. Empty tables give no rows.
+    largest total is taken of which all sources can fill their shares with their own documents. Empty texts have no tokens and rate 0. Empty tables give no rows.
     """
     wanted = sorted((r[0], float(r[1]), int(r[2])) for r in targets.select(source_name("source_name"), "target_share", "max_repeats").distinct().collect() if None not in tuple(r))
     names, shares, caps = [w[0] for w in wanted], np.array([w[1] for w in wanted]), np.array([max(0, w[2]) for w in wanted])
