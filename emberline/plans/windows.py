@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query("select t, round(carbon, 6) as carbon from carbon_hourly")
@@ -233,7 +233,7 @@ def _decisions(spark, d, **kw):
 
 
 @query(_DECISIONS + """select model, origin, duration, candidates, selected_start, round(selected_predicted, 6) as selected_predicted, round(selected_cost, 6) as selected_cost, oracle_start, round(oracle_cost, 6) as oracle_cost, round(asap_cost, 6) as asap_cost,
-  round(random_cost, 6) as random_cost, round(regret, 6) as regret, round(savings, 6) as savings, round(opportunity, 6) as opportunity, round(random_improvement, 6) as random_improvement, round(random_regret, 6) as random_regret, top1, epsilon_optimal, rank,
+  round(random_cost, 6) as random_cost, round(regret, 6) + 0.0 as regret, round(savings, 6) + 0.0 as savings, round(opportunity, 6) + 0.0 as opportunity, round(random_improvement, 6) + 0.0 as random_improvement, round(random_regret, 6) + 0.0 as random_regret, top1, epsilon_optimal, rank,
   round(rank_percentile, 6) as rank_percentile, top10, round(spearman, 6) as spearman, predicted_ties, oracle_ties from decisions""")
 def e_decisions(spark, d):
     return rounded(_decisions(spark, d))
