@@ -55,3 +55,12 @@ def next_in_order(df: DataFrame, keys: list[str], order: list[str], width: int,
     joined = inner.alias("i").join(ahead.alias("a"), [F.col(f"i.{k}").eqNullSafe(F.col(f"a.{k}")) for k in by], "left")
     return joined.select(*[f"i.{c}" for c in df.columns], F.coalesce(F.col(f"i.{out}"), F.col("a._ahead")).alias(out))
 
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, hashed over all cores if it would otherwise come in fewer partitions than there are (a small input in one file).
+
+    For work that costs far more than the shuffle of its rows; large inputs have enough partitions and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
