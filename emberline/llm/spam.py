@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread
+
 # Frequent function words of English, French, German and Spanish by group.
 GROUPS = {
     "article": "l' d' the a an le la les un une des du der die das den dem ein eine einen einem einer el los las una unos unas del al au aux",
@@ -49,7 +51,7 @@ SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")
 LINK = re.compile(r"(?:https?://|www\.)([^\s/?#\"'<>\])|]+)[^\s\"'<>\])|]*", re.I)
 TAG = re.compile(r"#[^\W\d_]\w*")
 HYPHENED = re.compile(r"\b[^\W\d_]+(?:-[^\W\d_]+){2,}\b")
-MARKUP = re.compile(r"</?\w+[^>]*>|\[/?url\b=?|[\[\]()<>\"']")
+MARKUP = re.compile(r"</?\w{1,40}[^<>]{0,400}>|\[/?url\b=?|[\[\]()<>\"']")
 # Words of offers and prices in four languages.
 OFFER = re.compile(r"\b(?:sale|hot|new|deals?|cheap|buy|discount|free|best|offer|order|price|kaufen|günstig|rabatt|gratis|angebot|acheter|promo|soldes?|gratuite?s?|barat[oa]s?|oferta|comprar|descuento)\b|[-–]\d+ ?%|\d[.,]\d\d\b", re.I)
 #: A line with one of these is code or data unless it is a link or a tag line.
@@ -287,7 +289,7 @@ def train(documents: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"k": at, "n": table[at]})
 
     counts = np.zeros(SIZE**3, dtype="int64")
-    binary = documents.select(F.col("text").cast("binary").alias("text"))
+    binary = spread(documents.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id").select("text")
     for k, n in binary.mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n")).collect():
         counts[k] = n
     return counts
@@ -307,7 +309,7 @@ def scored(documents: DataFrame) -> DataFrame:
             rows = [judge("" if x is None else bytes(x).decode("utf-8", "replace"), prose) for x in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "filler": [r[0] for r in rows], "deviation": [r[1] for r in rows], "sites": [r[2] for r in rows]})
 
-    binary = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    binary = spread(documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id")
     return binary.mapInPandas(score, "doc_id bigint, filler double, deviation double, sites int")
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread
+
 #: Where the vocabulary's ranks lie on every machine; the file isn't part of this repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The published pre-tokenization pattern of this vocabulary.
@@ -66,4 +68,5 @@ def token_count(column: str = "text", vocabulary: str = VOCABULARY):
 
 def sized(documents: DataFrame, *columns: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, the given columns and ``tokens``; rows without id are left out."""
-    return documents.filter(F.col("doc_id").isNotNull()).select("doc_id", *columns, token_count("text", vocabulary).alias("tokens"))
+    named = spread(documents.filter(F.col("doc_id").isNotNull()), "doc_id")
+    return named.select("doc_id", *columns, token_count("text", vocabulary).alias("tokens"))

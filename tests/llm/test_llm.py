@@ -186,6 +186,16 @@ def test_spam_pages(spark, rows):
     assert spam.spam_pages(d.limit(0)).count() == 0
 
 
+def test_very_long_texts_take_linear_time():
+    import time
+
+    model = spam.ProseModel(np.ones(spam.SIZE**3, dtype="int64"))
+    began = time.time()
+    for unit in ("<a ", "a", "a ", "- ", "a-", "http://a.b ", "| a ", "#a ", "\n", "a b c d e f ", "+x = 1\n", ", "):
+        spam.judge("http://x.y " + unit * (300_000 // len(unit)), model)
+    assert time.time() - began < 60
+
+
 def test_content_leaves_headers_and_signs_out():
     text = "From 0123456789012345678901234567890123456789 Mon Sep 17 00:00:00 2001\nFrom: A <a@b.c>\nSubject: [PATCH] Fix it\n---\n 2 files changed\n\ndiff --git a/x b/x\nindex 012..345 100644\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-old words\r\n+new words\n same"
     assert spam.content(text) == ["Fix it", "old words", "new words", "same"]
