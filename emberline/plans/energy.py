@@ -337,10 +337,10 @@ def x_repeatability(spark, d):
 
 
 @query("""i as (select quantile_cont(energy / runtime, 0.5::double) as idle from trials where valid and seed = 0)
-select run_id, round(energy / runtime, 6) as power, round(idle, 6) as idle, round(energy / runtime - idle, 6) as above, round(100.0::double * (energy / runtime - idle) / idle, 6) as above_pct from trials, i where seed <> 0""")
+select run_id, round(energy / runtime, 9) as power, round(idle, 9) as idle, round(energy / runtime - idle, 9) as above, round(100.0::double * (energy / runtime - idle) / idle, 9) as above_pct from trials, i where seed <> 0""")
 def x_idle_compare(spark, d):
     t = ad.trials(spark, d).withColumn("power", F.col("energy") / F.col("runtime"))
-    return rounded(experiment.idle_comparison(t.filter("seed <> 0").select("run_id", "power"), t.filter("seed = 0"), "power", "power"))
+    return rounded(experiment.idle_comparison(t.filter("seed <> 0").select("run_id", "power"), t.filter("seed = 0"), "power", "power"), 9)
 
 
 @query("""a as (select policy, seed, avg(energy) as energy, avg(runtime) as runtime from trials where valid group by 1, 2), p as (select * from a where policy like '1%'), q as (select * from a where policy like '5%')
@@ -356,10 +356,10 @@ def x_inventory(spark, d):
     return rounded(experiment.metric_inventory(e, ["event_type", "zone"]))
 
 
-@query("""select run_id, runtime > 0 and valid as usable, case when runtime <> 0 then round_even(energy * 900 / runtime, 0)::bigint end as recommended, round(energy / nullif(runtime, 0), 6) as watts, round(energy / (seed + 1), 6) as per_sample from trials""")
+@query("""select run_id, runtime > 0 and valid as usable, case when runtime <> 0 then round_even(energy * 900 / runtime, 0)::bigint end as recommended, round(energy / nullif(runtime, 0), 9) as watts, round(energy / (seed + 1), 9) as per_sample from trials""")
 def x_trial_result(spark, d):
     t = ad.trials(spark, d)
-    return rounded(t.select("run_id", ((F.col("runtime") > 0) & F.col("valid")).alias("usable"), experiment.recommended_samples(F.col("energy"), 900, F.col("runtime")).alias("recommended"), F.try_divide("energy", "runtime").alias("watts"), (F.col("energy") / (F.col("seed") + 1)).alias("per_sample")))
+    return rounded(t.select("run_id", ((F.col("runtime") > 0) & F.col("valid")).alias("usable"), experiment.recommended_samples(F.col("energy"), 900, F.col("runtime")).alias("recommended"), F.try_divide("energy", "runtime").alias("watts"), (F.col("energy") / (F.col("seed") + 1)).alias("per_sample")), 9)
 
 
 @query("select user_id, count(*) / 40.0::double as coverage, (count(*) / 40.0::double >= 0.8 and max(us) > 1706400000000000) as usable from ev group by 1")

@@ -89,12 +89,12 @@ def t_pivot(spark, d):
 
 
 @query("""g as (select user_id, us // 1000000 as t, value, us // 1000000 - lag(us // 1000000) over (partition by user_id order by us // 1000000) as gap from ev)
-select user_id, count(*) as rows, avg((value is null)::int::double) as missing_fraction, round(avg(coalesce((value = 0)::int::double, 0.0)), 6) as zero_fraction, coalesce(sum((gap = 0)::int), 0)::bigint as duplicate_times,
-  coalesce(sum((gap > 86400)::int), 0)::bigint as gaps, round(max(gap / 86400.0::double), 6) as longest_gap, coalesce(sum((not value between 1 and 50)::int), 0)::bigint as out_of_range from g group by 1""")
+select user_id, count(*) as rows, avg((value is null)::int::double) as missing_fraction, round(avg(coalesce((value = 0)::int::double, 0.0)), 9) as zero_fraction, coalesce(sum((gap = 0)::int), 0)::bigint as duplicate_times,
+  coalesce(sum((gap > 86400)::int), 0)::bigint as gaps, round(max(gap / 86400.0::double), 9) as longest_gap, coalesce(sum((not value between 1 and 50)::int), 0)::bigint as out_of_range from g group by 1""")
 def t_quality_report(spark, d):
     e = ad.events(spark, d).withColumn("t", F.expr("us div 1000000"))
     r = se.quality_report(e, ["user_id"], "t", "value", 86400, 1.0, 50.0)
-    return rounded(r.fillna(0, ["duplicate_times", "gaps", "out_of_range"]))
+    return rounded(r.fillna(0, ["duplicate_times", "gaps", "out_of_range"]), 9)
 
 
 @query("""d as (select *, row_number() over (partition by us // 60000000 order by event_id desc) as n from ev)
@@ -223,20 +223,20 @@ def e_validate(spark, d):
     return ex.query_violations(ad.predictions(spark, d))
 
 
-@query(_CATALOG.rstrip().rstrip(",") + ' select model, origin, duration, start, "end", round(predicted, 6) as predicted, round(actual, 6) as actual from catalog')
+@query(_CATALOG.rstrip().rstrip(",") + ' select model, origin, duration, start, "end", round(predicted, 9) as predicted, round(actual, 9) as actual from catalog')
 def e_catalog(spark, d):
-    return rounded(ex.catalog(ad.predictions(spark, d)))
+    return rounded(ex.catalog(ad.predictions(spark, d)), 9)
 
 
 def _decisions(spark, d, **kw):
     return ex.decisions(ex.catalog(ad.predictions(spark, d), **kw))
 
 
-@query(_DECISIONS + """select model, origin, duration, candidates, selected_start, round(selected_predicted, 6) as selected_predicted, round(selected_cost, 6) as selected_cost, oracle_start, round(oracle_cost, 6) as oracle_cost, round(asap_cost, 6) as asap_cost,
-  round(random_cost, 6) as random_cost, round(regret, 6) + 0.0 as regret, round(savings, 6) + 0.0 as savings, round(opportunity, 6) + 0.0 as opportunity, round(random_improvement, 6) + 0.0 as random_improvement, round(random_regret, 6) + 0.0 as random_regret, top1, epsilon_optimal, rank,
-  round(rank_percentile, 6) as rank_percentile, top10, round(spearman, 6) as spearman, predicted_ties, oracle_ties from decisions""")
+@query(_DECISIONS + """select model, origin, duration, candidates, selected_start, round(selected_predicted, 9) as selected_predicted, round(selected_cost, 9) as selected_cost, oracle_start, round(oracle_cost, 9) as oracle_cost, round(asap_cost, 9) as asap_cost,
+  round(random_cost, 9) as random_cost, round(regret, 9) + 0.0 as regret, round(savings, 9) + 0.0 as savings, round(opportunity, 9) + 0.0 as opportunity, round(random_improvement, 9) + 0.0 as random_improvement, round(random_regret, 9) + 0.0 as random_regret, top1, epsilon_optimal, rank,
+  round(rank_percentile, 9) as rank_percentile, top10, round(spearman, 9) as spearman, predicted_ties, oracle_ties from decisions""")
 def e_decisions(spark, d):
-    return rounded(_decisions(spark, d))
+    return rounded(_decisions(spark, d), 9)
 
 
 _AGG = """select {k}, count(distinct origin) as origins, round(avg(selected_cost), 6) as mean_selected, round(avg(oracle_cost), 6) as mean_oracle, round(avg(asap_cost), 6) as mean_asap, round(avg(random_cost), 6) as mean_random, round(avg(regret), 6) as mean_regret,
