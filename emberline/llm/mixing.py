@@ -32,11 +32,11 @@ def source_name(column: str = "source") -> Column:
 
 
 def features(pdf: pd.DataFrame, dimension: int = FEATURES) -> list[np.ndarray]:
-    """Per row the hashed features: repository, author's mail domain, language, layout of the first line, and all words of the whole text."""
+    """Per row the hashed features: repository, author's mail domain, language, and all words of the whole text."""
     out = []
     for repo, mail, lang, text in zip(pdf.repo, pdf.author_email, pdf.lang, pdf.text):
         text = text or ""
-        words = [f"r:{repo}", f"m:{(mail or '').rpartition('@')[2]}", f"l:{(lang or '').lower()}", f"h:{text[:5]}", *set(text.split())]
+        words = [f"r:{repo}", f"m:{(mail or '').rpartition('@')[2]}", f"l:{(lang or '').lower()}", *set(text.split())]
         out.append(np.unique([zlib.crc32(w.encode("utf-8", "replace")) % dimension for w in words]))
     return out
 
