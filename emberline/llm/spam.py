@@ -1,9 +1,9 @@
 """Problem 9: keyword-stuffed and link-list pages.
 
 A text's words become function-word groups and word classes. A trigram model of these classes is trained on the corpus' own prose (sentences
-in the bodies of all documents). Stretches of a document whose perplexity under the model is abnormally high or low for prose are
-candidates; an exact check then asks whether such a stretch is filler: terms over and over, links to many sites, or strings of
-tags. A document is spam if most of its text, commit headers and diff mark-up aside, is filler.
+in the bodies of all documents). Every line of a document is scored; lines and stretches whose perplexity under the model is abnormally
+high or low for prose are candidates; an exact check then asks whether such a line is filler: terms over and over, links to many sites, or
+strings of tags. A document is spam if most of its text, commit headers and diff mark-up aside, is filler.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,10 @@ MARKUP = re.compile(r"</?\w{1,40}[^<>]{0,400}>|\[/?url\b=?|[\[\]()<>\"']")
 OFFER = re.compile(r"\b(?:sale|hot|new|deals?|cheap|buy|discount|free|best|offer|order|price|kaufen|günstig|rabatt|gratis|angebot|acheter|promo|soldes?|gratuite?s?|barat[oa]s?|oferta|comprar|descuento)\b|[-–]\d+ ?%|\d[.,]\d\d\b", re.I)
 #: A line with one of these is code or data unless it is a link or a tag line.
 CODE = re.compile(r"[_={}\[\]<>\"`\\$%^~]|\w\(|\w\.\w|\w::|\w->|^//|^#\s|^--\s|^(?:ORDER|GROUP) BY\b|^(?:LEFT )?JOIN\b|--\w|[:;]$|\w:\w|\S@\S|\d{4}-\d\d|^\w+: ")
+#: Prices, shares and the label before a list make no code.
+PRICE = re.compile(r"[€$£]\s?\d[\d.,]*|\d[\d.,]*\s?[€$£%]|(?<![\d.])\d+[.,]\d\d(?![\d.])")
+CERTAIN, ROW = re.compile(r"[_={}\[\]<>\"`\\^~]"), re.compile(r"\w\(|\w,\w.*\w,\w")  # code whatever else is there; calls and cells of a data file
+LABEL = re.compile(r"[^\W\d_]\w*(?: \w+){0,2}: (?=[^,;|]+[,;|][^,;|]+[,;|])")
 TOKEN = re.compile(r"(?:[cdjlmnst]|qu|[CDJLMNST]|Qu)['’](?=\w)|#?[^\W_]+(?:['’-][^\W_]+)*|[^\w\s]+")
 #: Lists: what stands between their items, and an item's most words.
 BETWEEN = re.compile(r"\s[|/;·•*–-]\s|[,;|]\s*|\s::\s")
@@ -64,6 +69,8 @@ TABLE = re.compile(r"\S \| \S.* \| ")
 #: Tokens of a line from which it may be a sentence, the share of function words in prose that the model learns from, and that which
 #: makes a line a sentence; up to how many tokens a line is short, and the share of its words that must be different ones.
 SENTENCE, PROSE, SENTENCE_SHARE, LINE, VARIED = 6, 0.25, 0.3, 25, 0.6
+#: The share of different words under which an abnormal longer line with a sentence's function words is stuffed (prose has 0.5 and more).
+STUFFED = 0.45
 #: How many standard errors from prose's mean surprisal a stretch is abnormal; how often a term must come to be repeated (twice where there
 #: are at most SHORT words); the number of sites that make a link list; the characters of filler below which there is none to speak of; the
 #: share of filler that makes a document spam.
@@ -99,10 +106,20 @@ def content(text: str) -> list[str]:
     return out
 
 
+class Letters(dict):
+    def __missing__(self, token: str) -> str:
+        t = token.translate(LEET) if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) else token
+        if len(self) < 200_000:
+            self[token] = t
+        return t
+
+
+_letters = Letters()
+
+
 def words(line: str) -> list[str]:
     """Tokens of a line; digits put for letters within words are read as letters."""
-    out = TOKEN.findall(line)
-    return [t.translate(LEET) if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) else t for t in out]
+    return [t if t.isalpha() else _letters[t] for t in TOKEN.findall(line)]
 
 
 def word_class(token: str) -> int:
@@ -173,7 +190,17 @@ def line_kind(line: str) -> str:
         return "tags"
     if line.count("-") >= 4 and len(HYPHENED.findall(line)) >= 2 and "," in line:
         return "tags"
-    return "code" if CODE.search(line) and not TABLE.search(line) else "words"
+    certain = CERTAIN.search(line)
+    if not (certain or CODE.search(line)) or TABLE.search(line):
+        return "words"
+    if certain or ROW.search(line):
+        return "code"
+    rest = PRICE.sub("0", line) if any(map(str.isdigit, line)) else line
+    if ": " in rest:
+        rest = LABEL.sub("", rest, count=1) if LABEL.match(rest) else rest
+    if rest.count(" ") >= SENTENCE - 1:  # a heading, not the start of a block
+        rest = rest.rstrip(": ")
+    return "code" if CODE.search(rest) else "words"
 
 
 def trigrams(texts: Iterator[str], table: np.ndarray) -> None:
@@ -187,6 +214,20 @@ def trigrams(texts: Iterator[str], table: np.ndarray) -> None:
                     np.add.at(table, (a[:-2] * SIZE + a[1:-1]) * SIZE + a[2:], 1)
 
 
+def read(line: str) -> tuple[str, list[str], list[int]]:
+    """Kind, tokens and classes of a line."""
+    kind = line_kind(line)
+    if kind == "link":
+        rest = MARKUP.sub(" ", LINK.sub(" \x01 ", line))
+        tokens = [LINK_MARK if t == "\x01" else t for t in re.split(r"(\x01)", rest) for t in ([t] if t == "\x01" else words(t))]
+    elif kind == "tags":
+        tokens = TAG.findall(line) or ["#" + t for t in HYPHENED.findall(line)]
+    else:
+        tokens = words(line)
+    ids = classed(tokens)
+    return "sentence" if kind == "words" and sentence(ids, tokens) else kind, tokens, ids
+
+
 class ProseModel:
     """Interpolated trigram model of the classes, with the mean and deviation of prose's surprisal per token."""
 
@@ -211,6 +252,12 @@ class ProseModel:
             a, b = b, k
         return s + table[(a * SIZE + b) * SIZE + 1]
 
+    def scored(self, line: str) -> tuple:
+        """The line, its kind, tokens and classes (no longer needed of code), its surprisal over the mean, and its length."""
+        kind, tokens, ids = read(line)
+        over, n = self.total(ids) - (len(ids) + 1) * self.mean, len(ids) + 1
+        return (line, kind, (), (), over, n) if kind == "code" else (line, kind, tokens, ids, over, n)
+
 
 def site(host: str) -> str:
     return ".".join(host.lower().split(":")[0].rstrip(".,").split(".")[-2:])
@@ -222,42 +269,54 @@ def listed(line: str, low: list[str], ids: list[int]) -> bool:
     return items >= 3 and len(low) <= ITEM * items and prose_share(ids) < 0.1
 
 
+def deviation(scores: list[tuple[float, int]], model: ProseModel) -> float:
+    """Deviation of lines (surprisal over the mean, length) from prose's mean surprisal in standard errors or, if larger, that of their
+    squared deviations: lines above and lines below the mean must not cancel out."""
+    variance, n = model.deviation**2, len(scores)
+    off, length, squares = 0.0, 0, 0.0
+    for x, k in scores:
+        off, length, squares = off + x, length + k, squares + x * x / k / variance
+    return max(abs(off) / (length * variance) ** 0.5, (squares - n) / (2 * n) ** 0.5)
+
+
+def abnormal(scores: list[tuple], model: ProseModel) -> Iterator[tuple]:
+    """The scored lines that are abnormal for prose: by themselves, or as part of a stretch of lines that are no sentences."""
+    for one, group in groupby(scores, lambda x: x[1] == "sentence"):
+        stretch = list(group)
+        whole = not one and deviation([x[-2:] for x in stretch], model) >= ERRORS
+        for x in stretch:
+            if whole or abs(x[-2]) >= ERRORS * model.deviation * x[-1] ** 0.5:
+                yield x
+
+
 def judge(text: str, model: ProseModel) -> tuple[float, float, int]:
-    """Share of filler in the text, how abnormal its surprisal is for prose, and the number of sites linked.
+    """Share of filler in the text, how abnormal the filler's surprisal is for prose, and the number of sites linked.
 
-    The second is the deviation of the whole filler from prose's mean surprisal in standard errors or, if larger, that of the
-    squared deviations of its lines: lines above and lines below the mean must not cancel out.
+    Every line is scored; only abnormal ones are checked for filler. A line with the function words of a sentence must also keep saying the same.
     """
     lines = content(plain(text))
     total = sum(map(len, lines))
     if not total:
         return 0.0, 0.0, 0
+    scores = [model.scored(s) for s in lines]
     sites: set[str] = set()
     pairs: Counter[tuple[str, str]] = Counter()
     single: Counter[str] = Counter()
-    stretches = []  # lines that are neither code nor sentences
-    for s in lines:
-        kind = line_kind(s)
-        if kind == "code":
+    candidates = []
+    for s, kind, tokens, ids, over, n in abnormal(scores, model):
+        if kind == "code" or not ids:
             continue
         if kind == "link":
             sites.update(site(h) for h in LINK.findall(s))
-            rest = MARKUP.sub(" ", LINK.sub(" \x01 ", s))
-            tokens = [LINK_MARK if t == "\x01" else t for t in re.split(r"(\x01)", rest) for t in ([t] if t == "\x01" else words(t))]
-        elif kind == "tags":
-            tokens = TAG.findall(s) or ["#" + t for t in HYPHENED.findall(s)]
-        else:
-            tokens = words(s)
-        ids = classed(tokens)
-        if not ids or (kind == "words" and sentence(ids, tokens)):
-            continue
         low = [t.lower() for t, i in zip(tokens, ids) if WORD <= i <= WORD + RUN]
+        if kind == "sentence" and len(set(low)) >= STUFFED * len(low):
+            continue
         pairs.update(zip(low, low[1:]))
         single.update(low)
-        stretches.append((s, kind, low, ids))
+        candidates.append((s, kind, low, ids, over, n))
     least = REPEATED if sum(single.values()) > SHORT else 2
-    filler, off, length, squares, n = 0, 0.0, 0, 0.0, 0
-    for s, kind, low, ids in stretches:
+    filler, found_scores = 0, []
+    for s, kind, low, ids, over, n in candidates:
         if kind == "link":
             found = len(sites) >= SITES
         elif kind == "tags":
@@ -269,13 +328,11 @@ def judge(text: str, model: ProseModel) -> tuple[float, float, int]:
             if not found and low and listed(s, low, ids):
                 found = sum(single[w] >= 2 for w in low) >= (0.2 if OFFER.search(s) and TABLE.search(s) else 0.5) * len(low)
         if found:
-            over = model.total(ids) - (len(ids) + 1) * model.mean
-            filler, off, length = filler + len(s), off + over, length + len(ids) + 1
-            squares, n = squares + over * over / (len(ids) + 1), n + 1
+            filler += len(s)
+            found_scores.append((over, n))
     if filler < LEAST:
         return 0.0, 0.0, len(sites)
-    variance = model.deviation**2
-    return filler / total, float(max(abs(off) / np.sqrt(length * variance), (squares / variance - n) / np.sqrt(2 * n))), len(sites)
+    return filler / total, deviation(found_scores, model), len(sites)
 
 
 def train(documents: DataFrame) -> np.ndarray:

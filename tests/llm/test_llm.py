@@ -186,6 +186,22 @@ def test_spam_pages(spark, rows):
     assert spam.spam_pages(d.limit(0)).count() == 0
 
 
+def test_priced_labelled_and_long_stuffed_lines_are_scored_and_found(spark, rows):
+    bad = {
+        21: "add page\n\n" + "Cheap lamps 9.99, car rental 19.99, cheap lamps 4.99, free spins 1.50, car rental 8.99\n" * 6,
+        22: "add page\n\n" + "Keywords: cheap lamps, car rental, cheap lamps, free spins, car rental\n" * 6,
+        23: "add page\n\n" + "cheap lamps -50%, car rental -20%, cheap lamps -10%, free spins\n" * 6,
+        24: "add page\n\n" + "Order the cheap lamps and the car rental for free spins or a cheap lamps deal with the car rental and free spins in your town, get cheap lamps now or the car rental of free spins with our cheap lamps.\n" * 4,
+    }
+    good = {
+        31: "Add stock\n\n" + "\n".join(f"+a{i}f{i},teal lamp strip,{i},9.{10 + i},bin-{i}" for i in range(20)),
+        32: "Cover it\n\n" + "Tests now cover an empty queue and the case where the meter is absent. We read the meter twice and that takes time for the runs. " * 2,
+    }
+    docs = [*bad.items(), *good.items(), *((100 + i, f"Change {i}\n\n" + PROSE) for i in range(60))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert [r[0] for r in rows(spam.spam_pages(d), "doc_id")] == sorted(bad)
+
+
 def test_very_long_texts_take_linear_time():
     import time
 
