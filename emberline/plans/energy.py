@@ -147,6 +147,13 @@ def j_asof(spark, d):
     return rounded(asof.asof_join(left, right, ["zone"], "ts", "t", ["carbon"], 7200.0, "event_id").select("event_id", "matched_at", "carbon"))
 
 
+@query("select h.event_id, case when ts - c.t <= 7200 then c.t end as matched_at, case when ts - c.t <= 7200 then round(c.carbon, 6) end as carbon from (select event_id, us / 1e6 as ts from ev) h asof left join carbon_hourly c on h.ts >= c.t where true")
+def j_asof_hourly(spark, d):
+    """As ``j_asof``, against the whole hourly table."""
+    left = ad.events(spark, d).select("event_id", F.lit("FR").alias("zone"), (F.col("us") / 1e6).alias("ts"))
+    return rounded(asof.asof_join(left, ad.carbon_hourly(spark, d), ["zone"], "ts", "t", ["carbon"], 7200.0, "event_id").select("event_id", "matched_at", "carbon"))
+
+
 _POINTS = "pts as (select 788918400 + i * 7776000 as point from range(28) r(i)),"
 
 

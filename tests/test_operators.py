@@ -221,6 +221,26 @@ def test_asof_equals_brute_force(spark, rows):
         assert rows(got, "id", "matched_at", "v") == sorted(expected)
 
 
+def test_asof_over_the_whole_hourly_table(spark, tmp_path):
+    import datetime
+
+    import __spark_entry__ as entry
+
+    utc = lambda s: datetime.datetime.fromtimestamp(s, datetime.timezone.utc)
+    at = [(i, h * H + 600) for i, h in enumerate([0, 1, 2, 3, 5, 6, 11, 12])]
+    d = frame(spark, [(i, 1, "click", float(i), "{}", utc(t)) for i, t in at], "event_id bigint, user_id bigint, event_type string, value double, props string, ts timestamp")
+    d.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.matched_at, r.carbon) for r in entry.queries()["j_asof_hourly"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t - 600, float(i)) for i, t in at}
+
+
+def test_asof_tolerance_in_gaps(spark, rows):
+    points = frame(spark, [("FR", h * H, float(h)) for h in (0, 1, 2, 6, 11)], "zone string, t bigint, carbon double")
+    left = frame(spark, [(i, "FR", float(t)) for i, t in enumerate([2 * H + 7200, 2 * H + 7201, 5 * H, 6 * H, 9 * H, 11 * H - 1, 13 * H])], "id bigint, zone string, ts double")
+    got = asof.asof_join(left, points, ["zone"], "ts", "t", ["carbon"], 7200.0, "id")
+    assert rows(got, "id", "matched_at") == [(0, 2 * H), (1, None), (2, None), (3, 6 * H), (4, None), (5, None), (6, 11 * H)]
+
+
 def test_isolation(spark):
     job = frame(spark, [("j", 95.0), ("k", 0.0)], "job string, joules double")
     pods = frame(spark, [("j", "p")], "job string, pod string")
