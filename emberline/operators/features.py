@@ -25,6 +25,11 @@ def local_midnight(t: Column, tz: str = TZ) -> Column:
     return F.unix_seconds(F.to_utc_timestamp(F.date_trunc("day", local(t, tz)), tz))
 
 
+def next_midnight(t: Column, tz: str = TZ) -> Column:
+    """Epoch seconds of the first local midnight after t."""
+    return F.unix_seconds(F.to_utc_timestamp(F.date_add(F.to_date(local(t, tz)), 1).cast("timestamp"), tz))
+
+
 def stack(origins: DataFrame, horizons: int = 24, step: int = HOUR) -> DataFrame:
     d = origins.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizons))))
     return d.withColumn("target", F.col("origin") + F.col("horizon") * step)
@@ -165,6 +170,27 @@ def outage_by_delivery_day(messages: DataFrame, hours: DataFrame, groups: list[s
     return hours.join(g, "t", "left").select("t", *[F.coalesce(f"{x}_mw", F.lit(0.0)).alias(f"{x}_mw") for x in groups])
 
 
+def outage_every_hour(messages: DataFrame, groups: list[str], tz: str = TZ) -> DataFrame:
+    """``outage_by_delivery_day`` for every hour from the first interval's start to the last one's end.
+
+    A row is the last known at the local midnights in (its publication, the next one], so it counts in one stretch of hours: it adds its MW at the
+    first and takes them off after the last. No pair of a row and an hour is made; the running sum goes over one row per hour, in decimals.
+    """
+    m = messages.filter("pub is not null and start < end")
+    heads = messages.filter("pub is not null").select("identifier", "pub").distinct().withColumn("_until", F.lead("pub").over(W.partitionBy("identifier").orderBy("pub")))
+    up = lambda c: F.ceil(c / HOUR) * HOUR
+    spans = m.filter("status = 'ACTIVE'").withColumn("_group", fuel_group(F.col("fuel"))).filter(F.col("_group").isin(groups)).join(heads, ["identifier", "pub"])
+    lo = up(F.greatest("start", next_midnight(F.col("pub"), tz)))
+    hi = up(F.when(F.col("_until").isNull(), F.col("end")).otherwise(F.least(F.col("end"), next_midnight(F.col("_until"), tz))))
+    mw = F.col("mw").cast("decimal(28,9)")
+    steps = spans.select("_group", F.explode(F.array(F.struct(lo.alias("t"), mw.alias("x")), F.struct(hi.alias("t"), (-mw).alias("x")))).alias("_e"), lo.alias("_lo"), hi.alias("_hi")).filter("_lo < _hi").select("_group", "_e.*")
+    change = steps.groupBy("t").agg(*[F.coalesce(F.sum(F.when(F.col("_group") == g, F.col("x"))), F.lit(0)).alias(g) for g in groups])
+    span = m.agg(up(F.min("start")).alias("_a"), (up(F.max("end")) - HOUR).alias("_z")).filter("_a <= _z")
+    hours = span.select(F.explode(F.sequence("_a", "_z", F.lit(HOUR))).alias("t"))
+    w = W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    return hours.join(change, "t", "left").select("t", *[F.coalesce(F.sum(g).over(w), F.lit(0)).cast("double").alias(f"{g}_mw") for g in groups])
+
+
 def thermal_margin(residual: DataFrame, outages: DataFrame, column: str, groups: list[str]) -> DataFrame:
     """Residual load plus unavailable MW per group and its change over exactly 24 hours."""
     if column not in residual.columns:

@@ -155,6 +155,18 @@ def f_thermal(spark, d):
     return fe.thermal_margin(residual, out, "residual", ["nuclear", "gas"])
 
 
+@query()
+def f_outage_hourly(spark, d):
+    """As ``f_outage_by_day``, for every hour of the messages' own range."""
+    return fe.outage_every_hour(ad.messages(spark, d), ["nuclear", "gas"])
+
+
+@query()
+def f_thermal_hourly(spark, d):
+    out = fe.outage_every_hour(ad.messages(spark, d), ["nuclear", "gas"])
+    return fe.thermal_margin(out.select("t", (F.col("t") % 1000).cast("double").alias("residual")), out, "residual", ["nuclear", "gas"])
+
+
 @query(_LONG + """ j as (select l.origin, l.horizon, v.production_type, v.value, row_number() over (partition by l.origin, l.horizon, production_type order by updated desc, l_orderkey desc, l_linenumber desc, l_partkey desc, value desc) as n from ls l join vintages v on v.target = l.target and updated <= l.origin and updated <= l.target),
 w as (select origin, horizon, max(value) filter (production_type = 'WIND_ONSHORE') as onv, max(value) filter (production_type = 'WIND_OFFSHORE') as offv, max(value) filter (production_type = 'SOLAR') as sol from j where n = 1 group by 1, 2)
 select ls.origin, ls.horizon, ls.target, case when onv is not null or offv is not null then coalesce(onv, 0) + coalesce(offv, 0) end as wind_mw, sol as solar_mw, onv + offv + sol as vre_mw from ls left join w using (origin, horizon)""")

@@ -279,6 +279,44 @@ def test_delivery_day_mask_follows_local_midnight(spark, rows):
     assert rows(got, "origin", "h") == [(winter, 23), (summer, 22)]
 
 
+def test_outages_of_every_hour_equal_those_by_day(spark, rows):
+    import random
+
+    rng = random.Random(5)
+    base = 1711774800  # 2024-03-30 05:00 UTC, a day before the clock changes
+    data = []
+    for i in range(150):
+        start = base + rng.randint(0, 12 * 24) * 900 * 4 + rng.choice([0, 0, 900])
+        data.append((rng.randint(0, 12), rng.choice([None, *(base + h * H for h in range(-60, 300, 7))]), rng.choice(["ACTIVE", "ACTIVE", "DISMISSED"]), rng.choice(["NUCLEAR", "FOSSIL_GAS", "OTHER"]), start, start + rng.randint(-2, 90) * H, rng.randint(1, 50) / 10))
+    m = frame(spark, data, "identifier int, pub bigint, status string, fuel string, start bigint, end bigint, mw double")
+    got = fe.outage_every_hour(m, ["nuclear", "gas"])
+    expected = fe.outage_by_delivery_day(m, got.select("t"), ["nuclear", "gas"])
+    tidy = lambda d: rows(d.select("t", F.round("nuclear_mw", 6).alias("n"), F.round("gas_mw", 6).alias("g")))
+    assert tidy(got) == tidy(expected) and got.filter("nuclear_mw > 0").count() > 20
+    t = [r.t for r in got.orderBy("t").collect()]
+    valid = [r for r in data if r[1] is not None and r[4] < r[5]]
+    assert t == list(range(-(-min(r[4] for r in valid) // H) * H, -(-max(r[5] for r in valid) // H) * H, H))
+
+
+def test_outage_queries_cover_the_whole_range_of_the_messages(spark):
+    import os
+
+    import __spark_entry__ as entry
+    from emberline import adapters as ad
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        return
+    a, z = ad.messages(spark, d).filter("start < end").agg(F.min("start"), F.max("end")).first()
+    out = {r.t: r for r in entry.queries()["f_outage_hourly"](spark, d).collect()}
+    assert sorted(out) == list(range(a, z, H))
+    known = {r.t: r for r in entry.queries()["f_outage_by_day"](spark, d).collect()}
+    assert all((r.nuclear_mw, r.gas_mw) == (out[t].nuclear_mw, out[t].gas_mw) for t, r in known.items())
+    thermal = {r.t: r for r in entry.queries()["f_thermal_hourly"](spark, d).collect()}
+    assert sorted(thermal) == sorted(out)
+    assert all(r.gas_delta_24h == r.gas_tightness - thermal[t - 24 * H].gas_tightness for t, r in thermal.items() if t - 24 * H in thermal)
+
+
 def test_local_midnight_on_days_the_clock_changes(spark):
     from datetime import datetime, timezone
 
