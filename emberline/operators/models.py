@@ -99,20 +99,22 @@ def recency_weight(age_days: Column, half_life: float) -> Column:
     return F.pow(F.lit(2.0), -age_days / half_life)
 
 
-def refit_per_origin(frame: DataFrame, features: list[str], fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.Series], window_days: int = 60) -> DataFrame:
-    """``origin, horizon, prediction`` of a learner refitted for every origin on rows with target < origin, at most ``window_days`` old.
+def refit_per_origin(frame: DataFrame, features: list[str], fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.Series], window_days: int | None = None, expected: int = 24) -> DataFrame:
+    """``origin, horizon, prediction`` of a learner refitted for every origin on all rows with target < origin.
 
-    ``frame`` has ``origin, horizon, target, actual`` and the features. Each origin is one group of bounded size: its rows and those of the
-    window before it, found by day cells.
+    ``frame`` has ``origin, horizon, target, actual`` and the features. Each origin is one group: its rows and the whole history before it, found
+    by day cells; ``window_days`` leaves rows out that are older. An origin that hasn't exactly ``expected`` rows is an error.
     """
     from .asof import stab
 
-    h = frame.withColumn("_open", F.greatest("origin", "target")).withColumn("_close", F.col("target") + window_days * 86400)
+    h = frame.withColumn("_open", F.greatest("origin", "target")).withColumn("_close", F.col("target") + window_days * 86400 if window_days else F.lit(None).cast("bigint"))
     train = stab(h, frame.select(F.col("origin").alias("at")).distinct(), "_open", "_close", "at", open_start=True).drop("_open", "_close").withColumn("_train", F.lit(True))
     both = train.unionByName(frame.withColumn("at", F.col("origin")).withColumn("_train", F.lit(False)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         t, e = pdf[pdf["_train"]], pdf[~pdf["_train"]]
+        if len(e) != expected:
+            raise ValueError(f"origin {pdf['at'].iloc[0]} has {len(e)} targets, expected {expected}")
         p = fit_predict(t, e) if len(t) else pd.Series([None] * len(e), index=e.index, dtype="float64")
         return pd.DataFrame({"origin": e["origin"], "horizon": e["horizon"], "prediction": p})
 

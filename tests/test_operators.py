@@ -317,6 +317,23 @@ def test_outage_queries_cover_the_whole_range_of_the_messages(spark):
     assert all(r.gas_delta_24h == r.gas_tightness - thermal[t - 24 * H].gas_tightness for t, r in thermal.items() if t - 24 * H in thermal)
 
 
+def test_refit_trains_on_the_whole_history_and_needs_24_rows(spark):
+    import pandas as pd
+    import pytest
+
+    day = 86400
+    data = [(o * day, h, o * day + h * H, float(o * 100 + h)) for o in (0, 1, 70, 71, 200) for h in range(1, 25)]
+    d = frame(spark, data, "origin bigint, horizon int, target bigint, actual double")
+    count = lambda t, e: pd.Series([t["actual"].sum()] * len(e), index=e.index)
+    total = lambda at, since=-1: sum(a for _, _, t, a in data if since < t < at) or None
+    got = {(r.origin // day, r.prediction) for r in models.refit_per_origin(d, [], count).collect()}
+    assert got == {(o, total(o * day)) for o in (0, 1, 70, 71, 200)}
+    got = {(r.origin // day, r.prediction) for r in models.refit_per_origin(d, [], count, 140).filter("origin > 0").collect()}
+    assert got == {(o, total(o * day, (o - 140) * day - 1)) for o in (1, 70, 71, 200)}
+    with pytest.raises(Exception, match="has 23 targets, expected 24"):
+        models.refit_per_origin(d.filter("origin = 0 or horizon < 24"), [], count).collect()
+
+
 def test_local_midnight_on_days_the_clock_changes(spark):
     from datetime import datetime, timezone
 
