@@ -306,7 +306,7 @@ def _training(spark, d):
 def m_direct_moe(spark, d):
     t = _training(spark, d)
     cut = 1706140800
-    predict = models.fit_regime_experts(t.filter(F.col("t") < cut), ["lag24", "hour", "nuclear_mw", "wind_mw", "solar_mw"], "y", "regime", trees=5)
+    predict = models.fit_regime_experts(t.filter(F.col("t") < cut), ["lag24", "hour", "nuclear_mw", "wind_mw", "solar_mw"], "y", "regime", trees=250, step=0.04)
     return rounded(predict(t.filter(F.col("t") >= cut)).select("t", "p0", "p1", "p2", "prediction", "y"))
 
 
@@ -314,13 +314,9 @@ def m_direct_moe(spark, d):
 def m_physical_moe(spark, d):
     t = _training(spark, d)
     cut, x = 1706140800, ["lag24", "hour", "nuclear_mw", "wind_mw"]
-    train, test = t.filter(F.col("t") < cut), t.filter(F.col("t") >= cut)
-    gas = models.fit_regime_experts(train, x, "gas_mw", "regime", floor=12.0, trees=5)(test).select("t", F.col("prediction").alias("gas"))
-    out = test
-    for c in ("coal_mw", "bioenergy_mw"):
-        out = models.fit_regressor(train, x, c, f"hat_{c}", trees=5)(out)
-    p, den = models.physical_head(F.col("gas"), F.col("hat_coal_mw"), F.lit(0.0), F.col("hat_bioenergy_mw"), F.col("nuclear_mw") + F.col("wind_mw"))
-    return rounded(out.join(gas, "t").select("t", p.alias("prediction"), den.alias("denominator"), "y"))
+    t = t.withColumn("total_generation_mw", sum((F.greatest(c, F.lit(0.0)) for c in se.PARTS), F.lit(0.0)))
+    predict = models.fit_physical_experts(t.filter(F.col("t") < cut), x, "regime", "y", "t")
+    return rounded(predict(t.filter(F.col("t") >= cut)).select("t", "prediction", "denominator", "y"))
 
 
 def _ridge(train: pd.DataFrame, test: pd.DataFrame) -> pd.Series:

@@ -334,6 +334,24 @@ def test_refit_trains_on_the_whole_history_and_needs_24_rows(spark):
         models.refit_per_origin(d.filter("origin = 0 or horizon < 24"), [], count).collect()
 
 
+def test_physical_experts_fit_oil_and_total_and_weights(spark):
+    import random
+
+    rng = random.Random(1)
+    data = []
+    for i in range(240):
+        x = float(i % 3)
+        data.append((i * H, x, i % 3, [100.0, 800.0, 3000.0][i % 3], 10.0, 200.0 + 100 * x if i >= 40 else 0.0, 50.0, 9000.0 + 1000 * x, 20.0 + rng.random()))
+    d = frame(spark, data, "t bigint, x double, regime int, gas_mw double, coal_mw double, fuel_oil_mw double, bioenergy_mw double, total_generation_mw double, y double")
+    got = models.fit_physical_experts(d, ["x"], "regime", "y", "t", half_life=1.0, trees=8, classes=8, step=0.5, pooled_gas=True)(d.filter("t >= 237 * 3600")).collect()
+    for r in got:
+        oil, total = 200.0 + 100 * r.x, 9000.0 + 1000 * r.x
+        assert abs(r.hat_fuel_oil_mw - oil) < 30 and abs(r.hat_total_generation_mw - total) < 300 and abs(r.denominator - total) < 300
+        assert r.prediction_pooled is not None
+        grams = 429 * r.gas_mw + 986 * 10 + 777 * oil + 494 * 50
+        assert abs(r.prediction - grams / total) < 0.1 * grams / total
+
+
 def test_local_midnight_on_days_the_clock_changes(spark):
     from datetime import datetime, timezone
 
