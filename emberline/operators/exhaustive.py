@@ -150,7 +150,7 @@ def paired(dec: DataFrame, primary: str, most: int = 24) -> DataFrame:
     return d.groupBy("reference").agg(F.avg("delta").alias("mean_delta"), pct(F.col("delta") > 1e-12).alias("better_pct"), pct(F.abs("delta") <= 1e-12).alias("tie_pct"), F.count("*").alias("origins"))
 
 
-def block_bootstrap(values: DataFrame, keys: list[str], order: str, value: str, block: int = 14, draws: int = 2000, seed: int = 42) -> DataFrame:
+def block_bootstrap(values: DataFrame, keys: list[str], order: str, value: str, block: int = 14, draws: int = 20_000, seed: int = 42) -> DataFrame:
     """95 % interval of the mean by circular block bootstrap: ``keys, low, high, draws``.
 
     A counter-based hash gives the start of every block of every draw, so the result doesn't depend on partitioning or call order. Means of

@@ -279,6 +279,16 @@ def e_bootstrap(spark, d):
     return rounded(ex.block_bootstrap(ex.daily_deltas(_decisions(spark, d), "d2"), ["reference"], "origin", "delta"))
 
 
+@query()
+def e_bootstrap_week(spark, d):
+    return rounded(ex.block_bootstrap(ex.daily_deltas(_decisions(spark, d), "d2"), ["reference"], "origin", "delta", block=7))
+
+
+@query()
+def e_bootstrap_iid(spark, d):
+    return rounded(ex.block_bootstrap(ex.daily_deltas(_decisions(spark, d), "d2"), ["reference"], "origin", "delta", block=1))
+
+
 @query("""e_p as (select model, origin, horizon, prediction, actual, round(prediction, 9) as rp, round(actual, 9) as ra from predictions),
 r as (select *, rank() over (partition by model, origin order by rp) + (count(*) over (partition by model, origin, rp) - 1) / 2.0::double as xp, rank() over (partition by model, origin order by ra) + (count(*) over (partition by model, origin, ra) - 1) / 2.0::double as xa from e_p),
 q as (select model, origin, arg_min(actual, (prediction, horizon)) as real, min(actual) as best, corr(xp, xa) as rho, any_value(h.carbon) as now from r left join hourly h on h.t = origin group by model, origin),

@@ -352,6 +352,19 @@ def test_physical_experts_fit_oil_and_total_and_weights(spark):
         assert abs(r.prediction - grams / total) < 0.1 * grams / total
 
 
+def test_bootstrap_draws_and_block_variants(spark):
+    import os
+
+    import __spark_entry__ as entry
+
+    v = frame(spark, [("a", i, float(i % 5)) for i in range(20)], "k string, o int, v double")
+    assert ex.block_bootstrap(v, ["k"], "o", "v").first().draws == 20_000
+    d = "/root/testdata/sf0.001"
+    if os.path.isdir(d):
+        for name in ("e_bootstrap", "e_bootstrap_week", "e_bootstrap_iid"):
+            assert {r.draws for r in entry.queries()[name](spark, d).collect()} == {20_000}
+
+
 def test_local_midnight_on_days_the_clock_changes(spark):
     from datetime import datetime, timezone
 
