@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def windows(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Greenest windows of the last hours of a snapshot ``timestamp, <column>``; the reference is the whole snapshot only if asked for."""
+    """Windows of lowest carbon of the last hours of a snapshot ``timestamp, <column>``; the reference is the whole snapshot only if asked for."""
     from .config import load, window_parameters
-    from .operators.greenwindows import low_carbon_windows
+    from .operators.lowcarbon import low_carbon_windows
     from .sources.records import snapshot
 
     d = snapshot(spark, a.input)

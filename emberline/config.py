@@ -38,19 +38,16 @@ def secret(variable: str) -> str:
     return value
 
 
-#: Names in the ``windows`` section and the detector's parameters.
-WINDOWS = {
-    "enter_percentile": "enter_quantile", "exit_percentile": "leave_quantile", "enter_gco2": "enter_value", "exit_gco2": "leave_value", "absolute_green_gco2": "floor", "absolute_dirty_gco2": "ceiling",
-    "min_duration_hours": "shortest", "max_duration_hours": "longest", "max_windows": "most",
-}
+#: Options of the ``windows`` section: the detector's own parameters. Durations are in hours.
+WINDOWS = ["enter_quantile", "leave_quantile", "enter_value", "leave_value", "floor", "ceiling", "shortest", "longest", "most"]
 
 
 def window_parameters(config: dict[str, Any], **overrides: Any) -> dict[str, Any]:
-    """Parameters of ``low_carbon_windows`` from a configuration; overrides win. ``percentile`` stands for both thresholds where they are absent."""
+    """Parameters of ``low_carbon_windows`` from a configuration; overrides win. ``quantile`` stands for both thresholds where they are absent, ``merge_hours`` for the longest gap joined."""
     w = config.get("windows", {})
-    out: dict[str, Any] = {"enter_quantile": w.get("percentile", 0.25)}
-    out |= {target: w[name] for name, target in WINDOWS.items() if w.get(name) is not None}
+    out: dict[str, Any] = {"enter_quantile": w.get("quantile", 0.25)}
+    out |= {name: w[name] for name in WINDOWS if w.get(name) is not None}
     out.setdefault("leave_quantile", out["enter_quantile"])
     out |= {k: int(out[k]) for k in ("shortest", "longest", "most") if k in out}
-    out["merge_gap"] = int(float(w.get("merge_gap_hours", 1.0)) * 3600)
+    out["merge_gap"] = int(float(w.get("merge_hours", 1.0)) * 3600)
     return out | overrides

@@ -16,7 +16,7 @@ FUNCTIONS = {
     "fossil_regime": ("gas DOUBLE", "INT", f"CASE WHEN gas >= {GAS_PEAK}D THEN 2 WHEN gas >= {GAS_ON}D THEN 1 WHEN gas IS NOT NULL THEN 0 END"),
     "emission_rate": ("watts DOUBLE, intensity DOUBLE", "DOUBLE", "watts * intensity / 3.6e6D"),
     "counter_rise": ("current DOUBLE, previous DOUBLE", "DOUBLE", "CASE WHEN current >= previous THEN current - previous WHEN current IS NOT NULL AND previous IS NOT NULL THEN greatest(current, 0D) END"),
-    "green_score_minmax": ("v DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE", "CASE WHEN high - low < 1e-9D THEN 0.5D ELSE 1D - (v - low) / (high - low) END"),
+    "minmax_score": ("v DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE", "CASE WHEN high - low < 1e-9D THEN 0.5D ELSE 1D - (v - low) / (high - low) END"),
 }
 
 

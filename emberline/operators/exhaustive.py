@@ -214,6 +214,6 @@ def policy(cat: DataFrame, duration: int, deadline: int, least_reduction: float
 
 def savings(p: DataFrame, energy_kwh: float, pue: float) -> DataFrame:
     """Carbon of running now, as decided and with perfect foresight for an amount of energy, the paired and the captured saving, and the facility's carbon."""
-    d = p.select(*QUERY, *[(F.col(c) * energy_kwh).alias(n) for c, n in (("now_actual", "now_g"), ("chosen_actual", "green_g"), ("foresight", "foresight_g"))])
+    d = p.select(*QUERY, *[(F.col(c) * energy_kwh).alias(n) for c, n in (("now_actual", "now_g"), ("chosen_actual", "chosen_g"), ("foresight", "foresight_g"))])
     pct = lambda a, b: F.when(b > 1e-12, 100.0 * a / b)
-    return d.select("*", pct(F.col("now_g") - F.col("green_g"), F.col("now_g")).alias("saving_pct"), pct(F.col("now_g") - F.col("green_g"), F.col("now_g") - F.col("foresight_g")).alias("captured_pct"), (F.col("green_g") * pue).alias("facility_g"))
+    return d.select("*", pct(F.col("now_g") - F.col("chosen_g"), F.col("now_g")).alias("saving_pct"), pct(F.col("now_g") - F.col("chosen_g"), F.col("now_g") - F.col("foresight_g")).alias("captured_pct"), (F.col("chosen_g") * pue).alias("facility_g"))

@@ -1,4 +1,4 @@
-"""Green scores and hysteresis windows of series ``keys, t, v`` (epoch seconds, value); missing values are no observations.
+"""Rank scores and hysteresis windows of series ``keys, t, v`` (epoch seconds, value); missing values are no observations.
 
 Windows are runs of successive observations: a missing hour doesn't end one.
 """
@@ -50,9 +50,9 @@ def hysteresis_runs(df: DataFrame, keys: list[str], enter: Column, leave: Column
     that can enter.
     """
     v = F.col("v")
-    green = F.lit(False) if floor is None else v <= floor
+    always = F.lit(False) if floor is None else v <= floor
     allowed = F.lit(True) if ceiling is None else v <= ceiling
-    stay, start = allowed & ((v <= F.greatest(enter, leave)) | green), allowed & ((v <= enter) | green)
+    stay, start = allowed & ((v <= F.greatest(enter, leave)) | always), allowed & ((v <= enter) | always)
     by_time = W.partitionBy(*keys).orderBy("t")
     d = observed(df).withColumn("_stay", stay).withColumn("_enter", start).withColumn("run", F.sum((~F.col("_stay")).cast("long")).over(by_time))
     within = W.partitionBy(*keys, "run").orderBy("t")
@@ -88,7 +88,7 @@ def low_carbon_windows(
     df: DataFrame, keys: list[str], enter_quantile: float = 0.25, leave_quantile: float = 0.40, enter_value: float | None = None, leave_value: float | None = None, floor: float | None = None, ceiling: float | None = None,
     step: int = 3600, merge_gap: int = 3600, shortest: int = 1, longest: int = 6, most: int = 10, reference: DataFrame | None = None,
 ) -> DataFrame:
-    """The greenest windows per key: ``rank, start, end, hours, score, mean, confidence``.
+    """The windows of lowest carbon per key: ``rank, start, end, hours, score, mean, confidence``.
 
     Thresholds are values or exact quantiles of the reference series (of the series itself by default); the one for leaving is never stricter than
     the one for entering. Runs at most ``step + merge_gap`` apart are joined with the observations between them, longer blocks cut to

@@ -88,7 +88,7 @@ def s_json_path(spark, d):
 def a_summary(spark, d):
     g = ad.events(spark, d).groupBy("user_id").agg(F.sum("value").alias("j"), F.min("us").alias("a"), F.max("us").alias("z"))
     doc = F.to_json(F.struct(
-        F.struct(F.col("user_id").cast("string").alias("uid"), F.lit("ns").alias("namespace"), F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("name"), F.lit("succeeded").alias("outcome"), F.create_map(F.lit("x/policy"), F.lit("green")).alias("labels")).alias("job"),
+        F.struct(F.col("user_id").cast("string").alias("uid"), F.lit("ns").alias("namespace"), F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("name"), F.lit("succeeded").alias("outcome"), F.create_map(F.lit("x/policy"), F.lit("deferred")).alias("labels")).alias("job"),
         _iso(F.expr("a div 1000000")).alias("execution_started_at"), F.struct(F.col("j").alias("total_joules")).alias("energy"), F.struct((F.col("user_id") % 2 == 0).alias("valid"), (F.col("user_id") % 2 == 0).alias("final"), F.array(F.lit("w1"), F.lit("w2")).alias("warnings")).alias("quality"),
     ))
     return rounded(sinks.summarize_reports(g.select(doc.alias("value")), ["policy"], "x/"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapters as ad
 from ..adapters import oracle
 from ..operators import exhaustive as ex
-from ..operators import greenwindows as gw
+from ..operators import lowcarbon as lc
 from ..operators import series as se
 
 QUERIES: dict = {}
@@ -109,24 +109,24 @@ def _series(spark, d):
 
 
 @query("select t, round(1 - cume_dist() over (order by carbon), 6) as score from hourly")
-def w_green_score(spark, d):
-    return rounded(gw.rank_score(_series(spark, d), ["zone"]).select("t", "score"))
+def w_rank_score(spark, d):
+    return rounded(lc.rank_score(_series(spark, d), ["zone"]).select("t", "score"))
 
 
 @query("select h.t, round(1 - (select count(*) from carbon_hourly r where r.carbon <= h.carbon)::double / (select count(*) from carbon_hourly), 6) as score from hourly h")
-def w_green_score_reference(spark, d):
+def w_rank_score_reference(spark, d):
     ref = ad.carbon_hourly(spark, d).withColumnRenamed("carbon", "v")
-    return rounded(gw.rank_score_against(_series(spark, d), ref, ["zone"]).select("t", "score"))
+    return rounded(lc.rank_score_against(_series(spark, d), ref, ["zone"]).select("t", "score"))
 
 
 @query("select t, round(1 - (carbon - min(carbon) over ()) / (max(carbon) over () - min(carbon) over ()), 6) as score from hourly")
 def w_minmax(spark, d):
-    return rounded(gw.min_max_score(_series(spark, d), ["zone"]).select("t", "score"))
+    return rounded(lc.min_max_score(_series(spark, d), ["zone"]).select("t", "score"))
 
 
 @query("select t, (carbon <= (select quantile_cont(carbon, 0.25::double) from hourly))::int::double as score from hourly")
 def w_threshold(spark, d):
-    return gw.threshold_score(_series(spark, d), ["zone"]).select("t", "score")
+    return lc.threshold_score(_series(spark, d), ["zone"]).select("t", "score")
 
 
 _RUNS = """q as (select quantile_cont(carbon, 0.25::double) as lo, quantile_cont(carbon, 0.40::double) as hi from hourly),
@@ -143,7 +143,7 @@ merged as (select min(first) as first, max(last) as last from mg group by k)
 def _spans(spark, d):
     s = _series(spark, d)
     q = s.groupBy("zone").agg(F.expr("percentile(v, 0.25)").alias("lo"), F.expr("percentile(v, 0.40)").alias("hi"))
-    return gw.run_spans(gw.hysteresis_runs(s.join(q, "zone"), ["zone"], F.col("lo"), F.col("hi")), ["zone"])
+    return lc.run_spans(lc.hysteresis_runs(s.join(q, "zone"), ["zone"], F.col("lo"), F.col("hi")), ["zone"])
 
 
 @query(_RUNS + "select first, last from runs")
@@ -153,7 +153,7 @@ def w_hysteresis(spark, d):
 
 @query(_RUNS + "select first, last from merged")
 def w_merge_gap(spark, d):
-    return gw.merge_spans(_spans(spark, d), ["zone"], 7200).drop("zone")
+    return lc.merge_spans(_spans(spark, d), ["zone"], 7200).drop("zone")
 
 
 _SLICE = """b as (select t, carbon as v, t // 86400 as day from hourly),
@@ -166,7 +166,7 @@ best as (select day, i as first from (select *, row_number() over (partition by
 @query(_SLICE + "select m.day, m.t from m left join best b on b.day = m.day where case when n > 6 then i >= first and i < first + 6 else i <= 6 end")
 def w_best_subwindow(spark, d):
     s = _series(spark, d).withColumn("day", F.expr("t div 86400"))
-    return gw.best_slice(s, ["day"], 6).select("day", "t")
+    return lc.best_slice(s, ["day"], 6).select("day", "t")
 
 
 _WINDOWS = _RUNS + """, sc as (select t, carbon as v, 1 - cume_dist() over (order by carbon) as score from hourly),
@@ -181,14 +181,14 @@ win as (select row_number() over (order by round(score, 9) desc, start)::int as
 
 @query(_WINDOWS + 'select rank, start, "end", hours, round(score, 6) as score, round(mean, 6) as mean, round(confidence, 6) as confidence from win where rank <= 10')
 def w_low_carbon_windows(spark, d):
-    return rounded(gw.low_carbon_windows(_series(spark, d), ["zone"]).drop("zone"))
+    return rounded(lc.low_carbon_windows(_series(spark, d), ["zone"]).drop("zone"))
 
 
 @query(_WINDOWS + """, a as (select distinct unnest(range(start, "end", 3600)) as t from win where rank <= 10), b as (select distinct unnest(range(start, "end", 3600)) as t from win where rank <= 5)
 select round((select count(*) from a semi join b using (t))::double / count(*), 6) as iou, (select count(*) from a semi join b using (t)) as common, count(*) as either from (select t from a union select t from b)""")
 def w_iou(spark, d):
-    w = gw.low_carbon_windows(_series(spark, d), ["zone"])
-    return rounded(gw.hour_iou(w, w.filter("rank <= 5")))
+    w = lc.low_carbon_windows(_series(spark, d), ["zone"])
+    return rounded(lc.hour_iou(w, w.filter("rank <= 5")))
 
 
 _CATALOG = """pre as (select model, origin, horizon, sum(prediction) over w as p, sum(actual) over w as a from predictions window w as (partition by model, origin order by horizon)),
@@ -330,7 +330,7 @@ def d_perfect_foresight(spark, d):
     return rounded(c.groupBy("origin", "duration").agg(F.min("actual").alias("foresight")))
 
 
-@query(_POLICY + """select model, origin, round(now_actual * 2.5, 6) as now_g, round(chosen_actual * 2.5, 6) as green_g, round(foresight * 2.5, 6) as foresight_g, round(case when now_actual * 2.5 > 1e-12 then 100.0::double * (now_actual - chosen_actual) / now_actual end, 6) as saving_pct,
+@query(_POLICY + """select model, origin, round(now_actual * 2.5, 6) as now_g, round(chosen_actual * 2.5, 6) as chosen_g, round(foresight * 2.5, 6) as foresight_g, round(case when now_actual * 2.5 > 1e-12 then 100.0::double * (now_actual - chosen_actual) / now_actual end, 6) as saving_pct,
   round(case when (now_actual - foresight) * 2.5 > 1e-12 then 100.0::double * (now_actual - chosen_actual) / (now_actual - foresight) end, 6) as captured_pct, round(chosen_actual * 2.5 * 1.2, 6) as facility_g from policy""")
 def d_savings(spark, d):
     return rounded(ex.savings(_policy(spark, d), 2.5, 1.2))

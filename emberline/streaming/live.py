@@ -60,7 +60,7 @@ def emission_rates(stream: DataFrame, width: int = 15, most_age: float = 5400.0)
 
 
 def hysteresis(stream: DataFrame, enter: float, leave: float) -> DataFrame:
-    """Green runs per zone as they close: the state is the open run. Rows ``zone, t, v`` must come in time order across batches."""
+    """Low-carbon runs per zone as they close: the state is the open run. Rows ``zone, t, v`` must come in time order across batches."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         first, last = state.get if state.exists else (None, None)

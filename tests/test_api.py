@@ -14,9 +14,9 @@ ROOT = Path(__file__).resolve().parents[1]
 
 
 def test_configuration(tmp_path):
-    (tmp_path / "w.json").write_text(json.dumps({"windows": {"percentile": 0.3, "max_duration_hours": 4.0, "enter_gco2": None}}))
+    (tmp_path / "w.json").write_text(json.dumps({"windows": {"quantile": 0.3, "longest": 4.0, "enter_value": None}}))
     c = config.load("w", str(tmp_path))
-    assert config.get(c, "windows.percentile") == 0.3 and config.get(c, "a.b", 7) == 7
+    assert config.get(c, "windows.quantile") == 0.3 and config.get(c, "a.b", 7) == 7
     assert config.window_parameters(c, most=3) == {"enter_quantile": 0.3, "leave_quantile": 0.3, "longest": 4, "merge_gap": 3600, "most": 3}
     with pytest.raises(FileNotFoundError):
         config.load("x", str(tmp_path))
@@ -37,7 +37,7 @@ def test_windows_command(spark, tmp_path):
 
 def test_sql_functions(spark):
     register_sql(spark)
-    r = spark.sql("select fossil_regime(600D), emission_rate(100D, 36D), counter_rise(5D, 9D), counter_rise(NULL, 9D), green_score_minmax(1D, 1D, 1D), proxy_intensity(60D, 10D, 5D, 3D, 10D, 5D, 5D, 2D)").first()
+    r = spark.sql("select fossil_regime(600D), emission_rate(100D, 36D), counter_rise(5D, 9D), counter_rise(NULL, 9D), minmax_score(1D, 1D, 1D), proxy_intensity(60D, 10D, 5D, 3D, 10D, 5D, 5D, 2D)").first()
     assert list(r[:5]) == [1, 0.001, 5.0, None, 0.5] and r[5] == pytest.approx((986 * 5 + 777 * 2 + 429 * 10 + 494 * 5) / 100)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import accounting as ac
-from emberline.operators import asof, exhaustive as ex, experiment, features as fe, gate, greenwindows as gw, metricsql as mq, models, series as se
+from emberline.operators import asof, exhaustive as ex, experiment, features as fe, gate, lowcarbon as lc, metricsql as mq, models, series as se
 
 H = 3600
 
@@ -50,7 +50,7 @@ def test_regimes(spark):
         se.regime(F.col("g"), 10, 5)
 
 
-# -- green windows
+# -- low-carbon windows
 
 
 def series(spark, values, t0=0):
@@ -59,16 +59,16 @@ def series(spark, values, t0=0):
 
 def test_scores(spark, rows):
     s = series(spark, [10.0, 20.0, 30.0, 40.0])
-    assert [r[1] for r in rows(gw.rank_score(s, ["zone"]), "t", "score")] == [0.75, 0.5, 0.25, 0.0]
-    assert [round(r[1], 4) for r in rows(gw.min_max_score(s, ["zone"]), "t", "score")] == [1.0, 0.6667, 0.3333, 0.0]
-    assert [r[1] for r in rows(gw.threshold_score(s, ["zone"]), "t", "score")] == [1.0, 0.0, 0.0, 0.0]
-    assert [r[0] for r in rows(gw.min_max_score(series(spark, [5.0, 5.0]), ["zone"]), "score")] == [0.5, 0.5]
+    assert [r[1] for r in rows(lc.rank_score(s, ["zone"]), "t", "score")] == [0.75, 0.5, 0.25, 0.0]
+    assert [round(r[1], 4) for r in rows(lc.min_max_score(s, ["zone"]), "t", "score")] == [1.0, 0.6667, 0.3333, 0.0]
+    assert [r[1] for r in rows(lc.threshold_score(s, ["zone"]), "t", "score")] == [1.0, 0.0, 0.0, 0.0]
+    assert [r[0] for r in rows(lc.min_max_score(series(spark, [5.0, 5.0]), ["zone"]), "score")] == [0.5, 0.5]
 
 
-def test_two_dips_greener_first(spark, rows):
+def test_two_dips_lower_first(spark, rows):
     v = [50.0] * 48
     v[10:13], v[30:34] = [12.0] * 3, [10.0] * 4
-    w = rows(gw.low_carbon_windows(series(spark, v), ["zone"], enter_value=20, leave_value=20, merge_gap=0), "rank", "start", "end", "hours", "mean")
+    w = rows(lc.low_carbon_windows(series(spark, v), ["zone"], enter_value=20, leave_value=20, merge_gap=0), "rank", "start", "end", "hours", "mean")
     assert w == [(1, 30 * H, 34 * H, 4, 10.0), (2, 10 * H, 13 * H, 3, 12.0)]
 
 
@@ -94,20 +94,20 @@ def test_hysteresis_equals_state_machine(spark, rows):
                 start = None
         if start is not None:
             runs.append((start * H, last * H))
-        got = gw.run_spans(gw.hysteresis_runs(series(spark, v), ["zone"], F.lit(25.0), F.lit(50.0), F.lit(5.0), F.lit(90.0)), ["zone"])
+        got = lc.run_spans(lc.hysteresis_runs(series(spark, v), ["zone"], F.lit(25.0), F.lit(50.0), F.lit(5.0), F.lit(90.0)), ["zone"])
         assert rows(got, "first", "last") == runs
 
 
 def test_long_block_is_cut_to_its_best_slice(spark, rows):
-    w = rows(gw.low_carbon_windows(series(spark, [9.0, 1.0, 1.0, 1.0, 9.0, 50.0, 60.0]), ["zone"], enter_value=10, leave_value=10, longest=3), "start", "end")
+    w = rows(lc.low_carbon_windows(series(spark, [9.0, 1.0, 1.0, 1.0, 9.0, 50.0, 60.0]), ["zone"], enter_value=10, leave_value=10, longest=3), "start", "end")
     assert w == [(H, 4 * H)]
-    assert gw.low_carbon_windows(series(spark, [None, None]), ["zone"]).count() == 0
+    assert lc.low_carbon_windows(series(spark, [None, None]), ["zone"]).count() == 0
 
 
 def test_iou(spark, rows):
     a, b = frame(spark, [(0, 4 * H)], "start bigint, end bigint"), frame(spark, [(2 * H, 6 * H)], "start bigint, end bigint")
-    assert rows(gw.hour_iou(a, b))[0] == (2 / 6, 2, 6)
-    assert rows(gw.hour_iou(a.limit(0), b.limit(0)))[0] == (1.0, 0, 0)
+    assert rows(lc.hour_iou(a, b))[0] == (2 / 6, 2, 6)
+    assert rows(lc.hour_iou(a.limit(0), b.limit(0)))[0] == (1.0, 0, 0)
 
 
 # -- exhaustive windows

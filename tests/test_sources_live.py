@@ -6,7 +6,7 @@ import urllib.error
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import greenwindows as gw
+from emberline.operators import lowcarbon as lc
 from emberline.sources import records, remote, sinks
 from emberline.streaming import live
 
@@ -197,7 +197,7 @@ def test_hysteresis_stream_equals_batch(spark, rows, tmp_path):
     rng = random.Random(5)
     d = spark.createDataFrame([("z", i * 3600, float(rng.randint(0, 60))) for i in range(80)] + [("z", 81 * 3600, 99.0)], "zone string, t bigint, v double")
     got = live.drained(live.hysteresis(files(spark, d, tmp_path, 5, "t"), 20.0, 35.0), str(tmp_path / "o"), "append")
-    batch = gw.run_spans(gw.hysteresis_runs(d, ["zone"], F.lit(20.0), F.lit(35.0)), ["zone"])
+    batch = lc.run_spans(lc.hysteresis_runs(d, ["zone"], F.lit(20.0), F.lit(35.0)), ["zone"])
     assert rows(got, "first", "last") == rows(batch, "first", "last")
 
 
