@@ -202,16 +202,68 @@ def test_priced_labelled_and_long_stuffed_lines_are_scored_and_found(spark, rows
     assert [r[0] for r in rows(spam.spam_pages(d), "doc_id")] == sorted(bad)
 
 
+def judged(text, model, least=0.0):
+    d, wording = spam.read([text])
+    return [x[0] for x in spam.judge(d, wording, 1, model, least)]
+
+
 def test_very_long_texts_take_linear_time():
     import time
 
-    model = spam.ProseModel(np.ones(spam.SIZE**3, dtype="int64"))
+    model = spam.ProseModel(np.ones((2, spam.SIZE**3), dtype="int64"))
     began = time.time()
-    for unit in ("<a ", "a", "a ", "- ", "a-", "http://a.b ", "| a ", "#a ", "\n", "a b c d e f ", "+x = 1\n", ", "):
-        spam.judge("http://x.y " + unit * (300_000 // len(unit)), model)
+    for unit in ("<a ", "<a", "a", "a ", "- ", "a-", "http://a.b ", "| a ", "#a ", "\n", "a b c d e f ", "+x = 1\n", ", "):
+        judged("http://x.y " + unit * (300_000 // len(unit)), model)
     assert time.time() - began < 60
 
 
+def prose_model(seed=3):
+    """A model of two halves of the same kind of prose, and one of the same counts in random order."""
+    halves = np.zeros((2, spam.SIZE**3), dtype="int64")
+    for h in (0, 1):
+        d, _ = spam.read([PROSE] * 60)
+        k, line = d.trigrams()
+        np.add.at(halves[h], k[d.prose()[line]], 1)
+    return spam.ProseModel(halves), spam.ProseModel(np.random.default_rng(seed).permutation(halves, axis=1))
+
+
+def test_the_prose_model_decides():
+    model, shuffled = prose_model()
+    pages = [BAD[i] for i in sorted(BAD)]
+    assert all(judged(p, model)[0] >= spam.MOSTLY for p in pages)
+    # to a model for which such lines are as usual as any other nothing is abnormal
+    flat = spam.ProseModel(np.zeros((2, spam.SIZE**3), dtype="int64"))
+    flat.surprise, flat.mean, flat.deviation = np.ones_like(flat.surprise), 1.0, 1.0
+    assert [judged(p, flat)[0] for p in pages] == [0.0] * len(pages)
+    text = PROSE + "\n" + PROSE
+    scores = [m.standard(*m.over(spam.read([text])[0])) for m in (model, shuffled)]
+    assert np.abs(scores[0]).max() < np.abs(scores[1]).max()
+
+
+def test_short_and_long_pages_are_judged_alike():
+    model, _ = prose_model()
+    line = "cheap lamps | car rental | cheap lamps | free spins | car rental"
+    assert all(judged("add page\n\n" + "\n".join([line] * n), model)[0] >= spam.MOSTLY for n in (1, 2, 3, 40, 4000))
+    long_tag = "<span style='" + "x" * 5000 + "'>"
+    assert judged("add page\n\n" + "\n".join(f"{long_tag}http://www.lamp-{w}.example/buy" for w in "a b c d".split()), model)[0] > 0.9
+
+
+def test_runs_of_any_length_have_classes_of_their_own():
+    k = spam.classed([f"zq{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(5000)], np.zeros(5000, dtype="int64"))
+    assert len(set(k)) == 6 + 10 and (np.diff(k) >= 0).all()
+
+
+def test_lines_come_back_from_their_arrays(spark):
+    texts = [*GOOD.values(), *BAD.values(), "\x0b a\x85b\n\nq r s t", "é日本 #a #b\n- - - -"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pdf = spam.lines_of(d).toPandas().sort_values("doc_id").reset_index(drop=True)
+    own, wording = spam.read(["" if t is None else t for t in texts])
+    [(_, back, kept)] = list(spam._joined(pdf))
+    for c in ("text", "kind", "chars", "size", "ids"):
+        assert (getattr(own, c) == getattr(back, c)).all(), c
+    assert all(k is None or k == w for k, w in zip(kept, wording)) and sum(k is not None for k in kept) == ((own.kind != spam.CODE_LINE) & (own.kind != spam.SAYING)).sum()
+
+
 def test_content_leaves_headers_and_signs_out():
     text = "From 0123456789012345678901234567890123456789 Mon Sep 17 00:00:00 2001\nFrom: A <a@b.c>\nSubject: [PATCH] Fix it\n---\n 2 files changed\n\ndiff --git a/x b/x\nindex 012..345 100644\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-old words\r\n+new words\n same"
     assert spam.content(text) == ["Fix it", "old words", "new words", "same"]
