@@ -15,7 +15,6 @@ FIRST_ORIGIN, ORIGINS = 1_704_758_400, 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,6 +74,61 @@ def power_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("user_id").alias("series"), (F.col("us") / 1e6).alias("ts"), F.col("value").alias("watts"))
 
 
+def kepler_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pod, ts, joules, seq``: the energy counters of the metric matrix, one key per series and capture, in order of delivery."""
+    from .operators.regrid import finite_number
+
+    s = table(spark, sf_dir, "kepler_samples").filter(F.col("metric_name").endswith("_total"))
+    return s.select(F.concat_ws("#", "series_id", "capture_id").alias("pod"), (F.unix_micros("sample_ts") / 1e6).alias("ts"), finite_number(F.col("sample_value")).alias("joules"), F.col("sample_id").alias("seq"))
+
+
+def kepler_pods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pod, job, start, end``: every counter of a capture over the capture, a minute less at both ends; the capture is the job."""
+    s = table(spark, sf_dir, "kepler_samples").filter(F.col("metric_name").endswith("_total")).select("series_id", "capture_id").distinct()
+    c = table(spark, sf_dir, "capture_runs").select("capture_id", (F.unix_micros("started_at") / 1e6 + 60).alias("start"), (F.unix_micros("ended_at") / 1e6 - 60).alias("end"))
+    return s.join(c, "capture_id").select(F.concat_ws("#", "series_id", "capture_id").alias("pod"), F.col("capture_id").alias("job"), "start", "end")
+
+
+def area_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``zone, t, carbon``: the valid points of production accounting, of those of one area and instant the last delivered."""
+    from .operators.skew import clean_key
+
+    v = F.col("carbon_intensity_gco2_kwh")
+    p = table(spark, sf_dir, "carbon_points").filter((clean_key("basis") == "PRODUCTION") & (v >= 0) & (v < float("inf")))
+    d = p.select(clean_key("area_code").alias("zone"), (F.unix_micros("point_ts") / 1e6).alias("t"), "point_id", v.alias("carbon")).dropna(subset=["zone", "t"])
+    return d.groupBy("zone", "t").agg(F.max_by("carbon", "point_id").alias("carbon"))
+
+
+def area_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return area_points(spark, sf_dir).groupBy("zone", (F.floor(F.col("t") / HOUR).cast("long") * HOUR).alias("t")).agg(F.avg("carbon").alias("carbon"))
+
+
+def outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the outage messages that aren't void, deliveries of the same only once; times in epoch seconds."""
+    from .operators.skew import clean_key
+
+    d = table(spark, sf_dir, "outage_messages").select(
+        clean_key("identifier").alias("identifier"), "message_id", "version", seconds("publication_date").alias("pub"), clean_key("event_status").alias("status"), clean_key("unavailability_type").alias("kind"), clean_key("fuel_type").alias("fuel"),
+        seconds("interval_start").alias("start"), seconds("interval_end").alias("end"), F.col("unavailable_capacity_mw").alias("mw"),
+    )
+    return d.dropna(subset=["identifier", "version", "pub", "start", "end", "mw"]).distinct()
+
+
+def publication_days(messages: DataFrame) -> DataFrame:
+    """``origin``: every midnight (UTC) from the first publication's day to the last one's."""
+    day = lambda f: F.floor(f("pub") / DAY).cast("long") * DAY
+    return messages.agg(day(F.min).alias("a"), day(F.max).alias("z")).filter("a is not null").select(F.explode(F.sequence("a", "z", F.lit(DAY))).alias("origin"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of windows as ``model, origin, duration, start, end, predicted, actual``: of windows delivered again the last, those without a cost left out."""
+    c = table(spark, sf_dir, "window_catalog")
+    row = F.struct("catalog_id", F.col("end_horizon").alias("end"), F.col("predicted_window_cost").alias("predicted"), F.col("actual_window_cost").alias("actual"))
+    d = c.groupBy("model", micros("origin").alias("_o"), F.col("duration_hours").alias("duration"), F.col("start_horizon").alias("start")).agg(F.max_by(row, "catalog_id").alias("r"))
+    d = d.select("model", F.expr("_o div 1000000").alias("origin"), "duration", "start", "r.end", "r.predicted", "r.actual")
+    return d.filter("not isnan(predicted) and not isnan(actual) and predicted is not null and actual is not null")
+
+
 def origins(spark: SparkSession) -> DataFrame:
     return spark.range(ORIGINS).select((F.col("id") * DAY + FIRST_ORIGIN).alias("origin"))
 
@@ -133,7 +187,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The views above for DuckDB; every oracle query begins with them.
-BASE = f"""
+BASE = rf"""
 ev as (select event_id, user_id, event_type, value, props, epoch_us(ts) as us, epoch_us(ts) // 3600000000 * 3600 as h from events),
 carbon_hourly as (select h as t, avg(value) as carbon from ev group by 1),
 grid as (select unnest(range((select min(t) from carbon_hourly), (select max(t) from carbon_hourly) + 1, 3600)) as t),
@@ -157,6 +211,19 @@ vintages as (
 schedules as (
   select ship + l_linenumber * 900 as t, n_name as border, case when l_returnflag = 'A' then 'export' else 'import' end as direction, pub as updated, l_quantity::double as mw, l_orderkey, l_linenumber, l_partkey
   from lines join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey),
+kcounters as (select concat_ws('#', series_id, capture_id) as pod, epoch_us(sample_ts) / 1e6 as ts, try_cast(trim(sample_value) as double) as joules, sample_id as seq from kepler_samples
+  where metric_name like '%\_total' escape '\' and regexp_full_match(trim(sample_value), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and isfinite(try_cast(trim(sample_value) as double))),
+kpods as (select distinct concat_ws('#', series_id, s.capture_id) as pod, s.capture_id as job, epoch_us(started_at) / 1e6 + 60 as start, epoch_us(ended_at) / 1e6 - 60 as "end" from kepler_samples s join capture_runs c on c.capture_id = s.capture_id where metric_name like '%\_total' escape '\'),
+area_points as (select upper(trim(area_code)) as zone, epoch_us(point_ts) / 1e6 as t, arg_max(carbon_intensity_gco2_kwh, point_id) as carbon from carbon_points
+  where upper(trim(basis)) = 'PRODUCTION' and isfinite(carbon_intensity_gco2_kwh) and carbon_intensity_gco2_kwh >= 0 and area_code is not null and point_ts is not null group by 1, 2),
+area_hourly as (select zone, floor(t / 3600)::bigint * 3600 as t, avg(carbon) as carbon from area_points group by 1, 2),
+outages as (select distinct upper(trim(identifier)) as identifier, message_id, version, epoch_us(publication_date) // 1000000 as pub, upper(trim(event_status)) as status, upper(trim(unavailability_type)) as kind, upper(trim(fuel_type)) as fuel,
+    epoch_us(interval_start) // 1000000 as start, epoch_us(interval_end) // 1000000 as "end", unavailable_capacity_mw as mw
+  from outage_messages where identifier is not null and version is not null and publication_date is not null and interval_start is not null and interval_end is not null and unavailable_capacity_mw is not null),
+pub_days as (select unnest(range(min(pub) // 86400 * 86400, max(pub) // 86400 * 86400 + 1, 86400)) as origin from outages),
+candidates as (select model, epoch_us(origin) // 1000000 as origin, duration_hours as duration, start_horizon as start, end_horizon as "end", predicted_window_cost as predicted, actual_window_cost as actual from (
+    select *, row_number() over (partition by model, origin, duration_hours, start_horizon order by catalog_id desc) as k from window_catalog)
+  where k = 1 and predicted_window_cost is not null and actual_window_cost is not null and not isnan(predicted_window_cost) and not isnan(actual_window_cost)),
 trials as (
   select o_orderkey as run_id, o_orderpriority as policy, o_orderstatus <> 'P' as valid, o_totalprice::double as energy, o_custkey % 10 as seed, n * 60::double as runtime
   from orders join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey)

@@ -1,18 +1,24 @@
-"""Counters, energy and carbon. ``ts`` is epoch seconds (double); samples that aren't finite are dropped, the last of equal times counts."""
+"""Counters, energy and carbon. ``ts`` is epoch seconds (double); samples that aren't finite are dropped, of equal times the last counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .asof import asof_join
 from .series import finite
+from .skew import next_in_order
 
+#: Seconds of a counter's samples that one task puts in order.
+CHUNK = 86400
 
-def clean_samples(samples: DataFrame, keys: list[str], value: str = "joules") -> DataFrame:
-    """Finite samples, one per time (the highest value of equal times)."""
-    return samples.select(*keys, "ts", finite(value).alias("v")).dropna(subset=["ts", "v"]).groupBy(*keys, "ts").agg(F.max("v").alias("v"))
+
+def clean_samples(samples: DataFrame, keys: list[str], value: str = "joules", sequence: str | None = None) -> DataFrame:
+    """Finite samples, one per time: of equal times the last by ``sequence`` (the order of delivery), without one the highest value."""
+    last = F.max("v") if sequence is None else F.max_by("v", F.struct(sequence, "v"))
+    d = samples.select(*keys, "ts", finite(value).alias("v"), *([sequence] if sequence else [])).dropna(subset=["ts", "v"])
+    return d.groupBy(*keys, "ts").agg(last.alias("v"))
 
 
 def reset_delta(cur: Column, prev: Column) -> Column:
@@ -20,14 +26,21 @@ def reset_delta(cur: Column, prev: Column) -> Column:
     return F.when(cur >= prev, cur - prev).otherwise(F.greatest(cur, F.lit(0.0)))
 
 
-def increments(samples: DataFrame, windows: DataFrame, key: str, tolerance: float = 90.0, created: bool = False) -> DataFrame:
-    """Energy increments of every key within its window: ``key, start, end, joules, reset, window_start, window_end, first, last, note_start, note_end, samples``.
+def pairs(clean: DataFrame, keys: list[str], extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """Every clean sample with the next one of its key: ``ts, v, nts, nv``. Samples are put in order in chunks of time, so a counter that never ends is many tasks' work."""
+    d = next_in_order(clean, keys, ["ts"], CHUNK, ["v"]).filter("_next is not null")
+    return d.select(*keys, *extra, "ts", "v", F.col("_next.ts").alias("nts"), F.col("_next.v").alias("nv"))
+
+
+def increments(samples: DataFrame, windows: DataFrame, key: str, tolerance: float = 90.0, created: bool = False, sequence: str | None = None) -> DataFrame:
+    """Energy increments of every key within its window: ``key, start, end, joules, reset, window_start, window_end, first, last, note_start, note_end``.
 
     Anchors: the last sample at or before the start if within the tolerance; else the first after it within the tolerance (with ``created`` a
     sample (start, 0) is put in instead); else the nearest. The end likewise. Intervals over the bounds are cut in proportion to time. A window
-    without a usable pair of anchors gives no rows.
+    without a usable pair of anchors gives no rows. Anchors are one aggregated row per key; ``windows`` has one row per key.
     """
-    d = clean_samples(samples, [key]).join(windows.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")), key)
+    clean = clean_samples(samples, [key], sequence=sequence)
+    d = clean.join(windows.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")), key)
     before, after, late, early = (F.col("ts") <= F.col("_s")), (F.col("ts") > F.col("_s")), (F.col("ts") >= F.col("_e")), (F.col("ts") < F.col("_e"))
     pick = lambda f, cond: f(F.when(cond, F.col("ts")))
     near = lambda edge: F.min(F.struct(F.abs(F.col("ts") - F.col(edge)), F.col("ts")))["ts"]
@@ -44,58 +57,58 @@ def increments(samples: DataFrame, windows: DataFrame, key: str, tolerance: floa
         F.when(by, F.lit(None)).when(put, "counter taken as zero at the start").when(fy, "no sample at or before the start").otherwise("start beyond tolerance").alias("note_start"),
         F.when(ly, F.lit(None)).when(ey, "no sample at or after the end").otherwise("end beyond tolerance").alias("note_end"),
     ).filter("last > first")
-    zero = a.filter("_put").select(key, F.col("_s").alias("ts"), F.lit(0.0).alias("v"))
-    used = d.select(key, "ts", "v").unionByName(zero).join(a, key).filter("ts between first and last")
-    w = W.partitionBy(key).orderBy("ts", "v")
-    used = used.withColumn("_pt", F.lag("ts").over(w)).withColumn("_pv", F.lag("v").over(w)).withColumn("samples", F.count("*").over(W.partitionBy(key))).filter("_pt is not null")
-    lo, hi = F.greatest("_s", "_pt"), F.least("_e", "ts")
-    share = F.when(hi > lo, (hi - lo) / (F.col("ts") - F.col("_pt")))
-    return used.select(key, lo.alias("start"), hi.alias("end"), (reset_delta(F.col("v"), F.col("_pv")) * share).alias("joules"), (F.col("v") < F.col("_pv")).alias("reset"), F.col("_s").alias("window_start"), F.col("_e").alias("window_end"), "first", "last", "note_start", "note_end", "samples")
-
-
-def measure(samples: DataFrame, windows: DataFrame, key: str, tolerance: float = 90.0, created: bool = False) -> DataFrame:
-    """Per window ``joules, increments, resets, samples, coverage, note_start, note_end``; windows without a measurement have 0 joules and coverage."""
-    i = increments(samples, windows, key, tolerance, created)
+    of_key = ["_s", "_e", "first", "last", "note_start", "note_end"]
+    used = clean.join(a, key).filter("ts between first and last").select(key, "ts", "v", *of_key)
+    if created:
+        used = used.unionByName(a.filter("_put").select(key, F.col("_s").alias("ts"), F.lit(0.0).alias("v"), *of_key))
+    d = pairs(used, [key], of_key)
+    lo, hi = F.greatest("_s", "ts"), F.least("_e", "nts")
+    share = F.when(hi > lo, (hi - lo) / (F.col("nts") - F.col("ts")))
+    return d.select(key, lo.alias("start"), hi.alias("end"), (reset_delta(F.col("nv"), F.col("v")) * share).alias("joules"), (F.col("nv") < F.col("v")).alias("reset"), F.col("_s").alias("window_start"), F.col("_e").alias("window_end"), "first", "last", "note_start", "note_end")
+
+
+def measure(inc: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """Per window ``joules, increments, resets, samples, coverage, note_start, note_end`` of its ``increments``; windows without a measurement have 0 joules and coverage."""
     covered = F.greatest(F.lit(0.0), F.least("window_end", "last") - F.greatest("window_start", "first")) / (F.col("window_end") - F.col("window_start"))
-    g = i.groupBy(key).agg(
-        F.coalesce(F.sum("joules"), F.lit(0.0)).alias("joules"), F.count("joules").alias("increments"), F.sum(F.col("reset").cast("long")).alias("resets"), F.max("samples").alias("samples"), F.least(F.lit(1.0), F.max(covered)).alias("coverage"), F.max("note_start").alias("note_start"), F.max("note_end").alias("note_end")
+    g = inc.groupBy(key).agg(
+        F.coalesce(F.sum("joules"), F.lit(0.0)).alias("joules"), F.count("joules").alias("increments"), F.sum(F.col("reset").cast("long")).alias("resets"), (F.count("*") + 1).alias("samples"), F.least(F.lit(1.0), F.max(covered)).alias("coverage"), F.max("note_start").alias("note_start"), F.max("note_end").alias("note_end")
     )
     d = windows.select(key).join(g, key, "left")
     return d.select(key, F.coalesce("joules", F.lit(0.0)).alias("joules"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("increments", "resets", "samples")], F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "note_start", "note_end")
 
 
-def counter_delta(samples: DataFrame, keys: list[str], value: str = "joules") -> DataFrame:
+def counter_delta(samples: DataFrame, keys: list[str], value: str = "joules", sequence: str | None = None) -> DataFrame:
     """Sum of the increments of all samples and the number of resets; null for fewer than two samples."""
-    w = W.partitionBy(*keys).orderBy("ts")
-    d = clean_samples(samples, keys, value).withColumn("_p", F.lag("v").over(w))
-    delta = F.when(F.col("_p").isNotNull(), reset_delta(F.col("v"), F.col("_p")))
-    return d.groupBy(*keys).agg(F.sum(delta).alias("delta"), F.sum((F.col("v") < F.col("_p")).cast("long")).alias("resets"), F.count("*").alias("samples"))
+    d = next_in_order(clean_samples(samples, keys, value, sequence), keys, ["ts"], CHUNK, ["v"])
+    nv = F.col("_next.v")
+    return d.groupBy(*keys).agg(F.sum(F.when(nv.isNotNull(), reset_delta(nv, F.col("v")))).alias("delta"), F.sum((nv < F.col("v")).cast("long")).alias("resets"), F.count("*").alias("samples"))
 
 
-def enclosing_delta(samples: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+def enclosing_delta(samples: DataFrame, windows: DataFrame, key: str, sequence: str | None = None) -> DataFrame:
     """Counter delta from the last sample at or before the start to the first at or after the end; null if either is missing."""
-    d = clean_samples(samples, [key]).join(windows.select(key, "start", "end"), key)
-    edge = W.partitionBy(key)
-    d = d.withColumn("_a", F.max(F.when(F.col("ts") <= F.col("start"), F.col("ts"))).over(edge)).withColumn("_z", F.min(F.when(F.col("ts") >= F.col("end"), F.col("ts"))).over(edge))
-    inside = d.filter("ts between _a and _z").withColumn("_p", F.lag("v").over(edge.orderBy("ts")))
-    g = inside.groupBy(key).agg(F.sum(F.when(F.col("_p").isNotNull(), reset_delta(F.col("v"), F.col("_p")))).alias("delta"))
+    clean = clean_samples(samples, [key], sequence=sequence)
+    edge = clean.join(windows.select(key, "start", "end"), key).groupBy(key).agg(F.max(F.when(F.col("ts") <= F.col("start"), F.col("ts"))).alias("_a"), F.min(F.when(F.col("ts") >= F.col("end"), F.col("ts"))).alias("_z"))
+    g = pairs(clean.join(edge, key).filter("ts between _a and _z").select(key, "ts", "v"), [key]).groupBy(key).agg(F.sum(reset_delta(F.col("nv"), F.col("v"))).alias("delta"))
     return windows.select(key).join(g, key, "left")
 
 
-def carbon_intervals(inc: DataFrame, carbon: DataFrame, key: str, max_age: float = 2100.0) -> DataFrame:
+def carbon_intervals(inc: DataFrame, carbon: DataFrame, key: str, max_age: float = 2100.0, keep: bool = True) -> DataFrame:
     """Each increment with the latest intensity at or before its middle, at most ``max_age`` seconds old, and its grams; null where there is none.
 
-    ``carbon`` has ``zone, t, carbon``; ``inc`` has the zone too. Every increment is judged on its own, whatever its order among others.
+    ``carbon`` has ``zone, t, carbon``; ``inc`` has the zone too. Every increment is judged on its own, whatever its order among others. ``keep`` puts the increments into a checkpoint first; without it
+    they should already be cheap to read again.
     """
     points = carbon.filter(F.col("carbon") >= 0)
+    if keep:
+        inc = checkpointed(inc)  # the join counts its rows and sorts them: made once
     d = inc.withColumn("middle", (F.col("start") + F.col("end")) / 2).withColumn("_row", F.xxhash64(key, "start"))
     j = asof_join(d, points, ["zone"], "middle", "t", ["carbon"], max_age, "_row").drop("_row")
     return j.withColumn("grams", F.col("joules") / 3.6e6 * F.col("carbon"))
 
 
-def account(inc: DataFrame, carbon: DataFrame, key: str, max_age: float = 2100.0) -> DataFrame:
+def account(inc: DataFrame, carbon: DataFrame, key: str, max_age: float = 2100.0, keep: bool = True) -> DataFrame:
     """Per key: joules, grams, energy-weighted intensity, share of the energy with an intensity, increments without one. Grams are null if no energy has one."""
-    d = carbon_intervals(inc.filter("joules is not null"), carbon, key, max_age)
+    d = carbon_intervals(inc.filter("joules is not null"), carbon, key, max_age, keep)
     known = F.sum(F.when(F.col("carbon").isNotNull(), F.col("joules")))
     return d.groupBy(key).agg(
         F.sum("joules").alias("joules"), F.sum("grams").alias("grams"), F.when(known > 0, F.sum("grams") / (known / 3.6e6)).alias("intensity"), F.when(F.sum("joules") > 0, F.coalesce(known, F.lit(0.0)) / F.sum("joules")).otherwise(0.0).alias("carbon_coverage"),
@@ -103,20 +116,20 @@ def account(inc: DataFrame, carbon: DataFrame, key: str, max_age: float = 2100.0
     )
 
 
-def job_report(samples: DataFrame, pods: DataFrame, carbon: DataFrame, zone: str = "FR", step: float = 10.0, max_age: float = 2100.0) -> DataFrame:
+def job_report(samples: DataFrame, pods: DataFrame, carbon: DataFrame, zone: str = "FR", step: float = 10.0, max_age: float = 2100.0, sequence: str | None = None) -> DataFrame:
     """Quality-gated report per job: ``pods`` has ``job, pod, start, end``.
 
     Valid needs positive energy, a measured counter for every pod, 90 % of the run time and 95 % of the energy covered, and grams.
     """
     tolerance = max(90.0, 4 * step)
-    inc = increments(samples, pods, "pod", tolerance).withColumn("zone", F.lit(zone))
-    m = measure(samples, pods, "pod", tolerance).join(pods.select("job", "pod", "start", "end"), "pod")
+    inc = checkpointed(increments(samples, pods, "pod", tolerance, sequence=sequence).withColumn("zone", F.lit(zone)))  # read for the energy and for the carbon
+    m = measure(inc, pods, "pod").join(pods.select("job", "pod", "start", "end"), "pod")
     energy = m.groupBy("job").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("pods"), F.sum((F.col("samples") == 0).cast("long")).alias("pods_missing"), F.sum("joules").alias("joules"), F.sum("resets").alias("resets"),
         (F.sum(F.col("coverage") * (F.col("end") - F.col("start"))) / F.sum(F.col("end") - F.col("start"))).alias("coverage"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_compact(F.array("note_start", "note_end")))))), " | ").alias("warnings"),
     )
-    grams = account(inc.join(pods.select("pod", "job"), "pod"), carbon, "job", max_age).select("job", "grams", "intensity", "carbon_coverage", "missing")
+    grams = account(inc.join(pods.select("pod", "job"), "pod"), carbon, "job", max_age, keep=False).select("job", "grams", "intensity", "carbon_coverage", "missing")
     d = energy.join(grams, "job", "left")
     valid = (F.col("joules") > 0) & (F.col("pods_missing") == 0) & (F.col("coverage") >= 0.9) & (F.coalesce("carbon_coverage", F.lit(0.0)) >= 0.95) & F.col("grams").isNotNull()
     return d.withColumn("watts", F.when(F.col("end") > F.col("start"), F.col("joules") / (F.col("end") - F.col("start")))).withColumn("valid", valid)

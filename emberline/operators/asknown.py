@@ -46,20 +46,17 @@ def version_regions(messages: DataFrame) -> DataFrame:
     return regions.filter("(superseded is null or superseded > pub) and valid_to > valid_from")
 
 
-def locate(points: DataFrame, regions: DataFrame, point_id: str = "probe_id", least: int = 50_000) -> DataFrame:
-    """Each point with every region it lies in: all columns of ``points``, then ``message_id, version, status, valid_from, valid_to, mw``.
+def in_grid(points: DataFrame, regions: DataFrame, keys: list[str], point_id: str, least: int = 50_000, crowded: str = "points") -> DataFrame:
+    """Pairs of points and the regions of their ``keys`` (may be none) that they lie in.
 
-    ``points`` has ``identifier`` (compared in upper case, trimmed), ``origin`` and ``target_time``. A point with a null in
-    one of them, or of an unknown identifier, lies nowhere and gives no row; nor does an empty table. Extra columns of points
-    are kept unless a region has one of that name.
+    ``points`` has ``_origin, _target``; ``regions`` has ``pub, superseded, valid_from, valid_to``, nulls in ``superseded`` being open. All times are bigints in
+    microseconds. Regions are cut to the points' range and entered in the cells of a grid. In crowded cells the rows of the side that ``crowded`` names are
+    spread over salts and the other side's copied.
     """
-    taken = {"message_id", "version", "status", "valid_from", "valid_to", "mw", "pub", "superseded"}
-    keep = [c for c in points.columns if c not in taken]
-    p = points.select(*keep, clean_key("identifier").alias("_id"), F.unix_micros("origin").alias("_origin"), F.unix_micros("target_time").alias("_target")).dropna(subset=["_id", "_origin", "_target"])
-    horizon = p.agg(F.max("_origin"), F.min("_target"), F.max("_target")).first()  # scalars that close the open regions
-    last, low, high = (x if x is not None else 0 for x in horizon)
-    r = regions.withColumn("_end", F.least(F.coalesce("superseded", F.lit(last + 1)), F.lit(last + 1)))
-    r = r.withColumn("_vf", F.greatest("valid_from", F.lit(low))).withColumn("_vt", F.least("valid_to", F.lit(high + 1))).filter("_end > pub and _vt > _vf")
+    horizon = points.agg(F.max("_origin").alias("_last"), F.min("_target").alias("_low"), F.max("_target").alias("_high"))
+    r = regions.join(F.broadcast(horizon))  # one row that closes the open regions
+    r = r.withColumn("_end", F.least(F.coalesce("superseded", F.col("_last") + 1), F.col("_last") + 1))
+    r = r.withColumn("_vf", F.greatest("valid_from", "_low")).withColumn("_vt", F.least("valid_to", F.col("_high") + 1)).filter("_end > pub and _vt > _vf").drop("_last", "_low", "_high")
     level = F.lit(len(LEVELS) - 1)
     for k in range(len(LEVELS) - 2, -1, -1):
         level = F.when(F.col("_end") - F.col("pub") <= SPAN * LEVELS[k], k).otherwise(level)
@@ -67,13 +64,30 @@ def locate(points: DataFrame, regions: DataFrame, point_id: str = "probe_id", le
     width = F.element_at(F.array(*[F.lit(w) for w in LEVELS]), F.col("_level") + 1)
     cells = lambda a, b, w: F.explode(F.sequence(floor_div(a, w), floor_div(b - 1, w)))
     r = r.withColumn("_rcell", cells(F.col("pub"), F.col("_end"), width)).withColumn("_vcell", cells(F.col("_vf"), F.col("_vt"), VALID))
-    r = r.withColumnRenamed("identifier", "_id")
-    p = p.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(len(LEVELS))])))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(len(LEVELS))])))
     p = p.withColumn("_rcell", floor_div(F.col("_origin"), width)).withColumn("_vcell", floor_div(F.col("_target"), VALID))
-    cell = ["_id", "_level", "_rcell", "_vcell"]
-    hot = hot_keys(p, cell, least=least)
-    p, r = salted(p, hot, cell, point_id), copied(r, hot, cell)
+    cell = [*keys, "_level", "_rcell", "_vcell"]
+    if crowded == "points":
+        hot = hot_keys(p, cell, least=least)
+        p, r = salted(p, hot, cell, point_id), copied(r, hot, cell)
+    else:
+        hot = hot_keys(r, cell, least=least)
+        p, r = copied(p, hot, cell), salted(r.withColumn("_row", F.xxhash64(*regions.columns)), hot, cell, "_row").drop("_row")
     found = p.join(r, [*cell, "_salt"]).filter("_origin >= pub and _origin < _end and _target >= _vf and _target < _vt")
+    return found.drop("_level", "_rcell", "_vcell", "_salt", "_end", "_vf", "_vt")
+
+
+def locate(points: DataFrame, regions: DataFrame, point_id: str = "probe_id", least: int = 50_000) -> DataFrame:
+    """Each point with every region it lies in: all columns of ``points``, then ``message_id, version, status, valid_from, valid_to, mw``.
+
+    ``points`` has ``identifier`` (compared in upper case, trimmed), ``origin`` and ``target_time``. A point with a null in
+    one of them, or of an unknown identifier, lies nowhere and gives no row; nor does an empty table. Extra columns of points
+    are kept unless a region has one of that name.
+    """
+    taken = {"message_id", "version", "status", "valid_from", "valid_to", "mw", "pub", "superseded"}
+    keep = [c for c in points.columns if c not in taken]
+    p = points.select(*keep, clean_key("identifier").alias("_id"), F.unix_micros("origin").alias("_origin"), F.unix_micros("target_time").alias("_target")).dropna(subset=["_id", "_origin", "_target"])
+    found = in_grid(p, regions.withColumnRenamed("identifier", "_id"), ["_id"], point_id, least)
     return found.select(*keep, "message_id", "version", "status", "valid_from", "valid_to", "mw")
 
 

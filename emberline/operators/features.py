@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .asof import latest_versions, stab
+from ..session import checkpointed
+from .asknown import in_grid
+from .asof import asof_join, version_spans
 from .series import partial_sum
 
 HOUR, DAY = 3600, 86400
@@ -137,49 +139,49 @@ def fuel_group(fuel: Column) -> Column:
     return cases
 
 
-def availability(messages: DataFrame, frame: DataFrame, groups: list[str], order: list[str], legacy_planned: bool = False) -> DataFrame:
-    """Unavailable MW by fuel group at every target, as known at the origin, with planned and unplanned nuclear MW, outages and total.
+def availability(messages: DataFrame, frame: DataFrame, groups: list[str], legacy_planned: bool = False, mode: str = "all") -> DataFrame:
+    """Unavailable MW by fuel group at every target, as known at the origin, its change against the origin's own time (``*_delta_mw``), planned and
+    unplanned nuclear MW, number of nuclear intervals and total.
 
-    Of each outage the last version published by the origin counts, and only if ACTIVE: a cancellation hides what came before. Missing is 0.
-    ``legacy_planned`` counts UNPLANNED as planned too.
+    Of each outage the last version published by the origin counts (all its intervals), and only if ACTIVE: a cancellation hides what came before.
+    Missing is 0. ``legacy_planned`` counts UNPLANNED as planned instead; ``mode`` "delta" keeps only the changes. Versions are disjoint regions in
+    publication and delivery time, (origin, target) are points located in their grid: no superseded version is ever paired.
     """
-    origins = frame.select("origin").distinct()
-    known = latest_versions(messages, origins, ["identifier"], "origin", "pub", order).filter("status = 'ACTIVE'")
-    known = known.withColumn("_group", fuel_group(F.col("fuel"))).filter("_group is not null and end > start")
-    # each known interval meets the targets of its own origin only
-    targets = frame.select("origin", "horizon", "target")
-    hit = known.join(targets, "origin").filter("target >= start and target < end")
-    planned = (F.col("kind") != "x") if legacy_planned else (F.col("kind") == "PLANNED")
+    us = lambda c: F.col(c) * 1_000_000
+    regions = version_spans(messages, ["identifier"], "pub", ["version"]).filter("status = 'ACTIVE' and end > start").withColumn("_group", fuel_group(F.col("fuel"))).filter(F.col("_group").isin(groups))
+    regions = regions.select("identifier", "_group", "kind", "mw", us("pub").alias("pub"), us("_until").alias("superseded"), us("start").alias("valid_from"), us("end").alias("valid_to"))
+    regions = checkpointed(regions)  # counted and entered in the grid: made once
+    targets = frame.select("origin", F.col("horizon").cast("int").alias("horizon"), "target")
+    now = frame.select("origin").distinct().select("origin", F.lit(0).alias("horizon"), F.col("origin").alias("target"))
+    points = targets.unionByName(now).select("origin", "horizon", us("origin").alias("_origin"), us("target").alias("_target"))
+    hit = in_grid(points, regions, [], "_target", crowded="regions")
+    planned = (F.col("kind") == "PLANNED") if not legacy_planned else F.contains("kind", F.lit("PLANNED"))
     nuclear = F.col("_group") == "nuclear"
     g = hit.groupBy("origin", "horizon").agg(
-        *[F.sum(F.when(F.col("_group") == x, F.col("mw"))).alias(f"{x}_mw") for x in groups], F.sum(F.when(F.col("_group").isin(groups), F.col("mw"))).alias("total_mw"), F.sum(F.when(nuclear & planned, F.col("mw"))).alias("nuclear_planned_mw"),
-        F.sum(F.when(nuclear & (F.col("kind") == "UNPLANNED"), F.col("mw"))).alias("nuclear_unplanned_mw"), F.countDistinct(F.when(nuclear, F.col("identifier"))).alias("nuclear_outages"),
+        *[F.sum(F.when(F.col("_group") == x, F.col("mw"))).alias(f"{x}_mw") for x in groups], F.sum("mw").alias("total_mw"), F.sum(F.when(nuclear & planned, F.col("mw"))).alias("nuclear_planned_mw"),
+        F.sum(F.when(nuclear & ~planned, F.col("mw"))).alias("nuclear_unplanned_mw"), F.sum(nuclear.cast("long")).alias("nuclear_intervals"),
     )
     names = [*(f"{x}_mw" for x in groups), "total_mw", "nuclear_planned_mw", "nuclear_unplanned_mw"]
-    d = frame.join(g, ["origin", "horizon"], "left")
-    return d.select(*frame.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names], F.coalesce("nuclear_outages", F.lit(0)).alias("nuclear_outages"))
-
-
-def outage_by_delivery_day(messages: DataFrame, hours: DataFrame, groups: list[str], tz: str = TZ) -> DataFrame:
-    """Unavailable MW per hour, as published before the local midnight of the hour's day: per outage all rows of the last publication count, whatever the version."""
-    h = hours.withColumn("midnight", local_midnight(F.col("t"), tz))
-    days = h.select("midnight").distinct()
-    known = latest_versions(messages, days, ["identifier"], "midnight", "pub", [], strict=True).filter("status = 'ACTIVE'").withColumn("_group", fuel_group(F.col("fuel")))
-    hit = known.join(h, "midnight").filter("t >= start and t < end")
-    g = hit.groupBy("t").agg(*[F.sum(F.when(F.col("_group") == x, F.col("mw"))).alias(f"{x}_mw") for x in groups])
-    return hours.join(g, "t", "left").select("t", *[F.coalesce(f"{x}_mw", F.lit(0.0)).alias(f"{x}_mw") for x in groups])
+    state = g.filter("horizon = 0").select("origin", *[F.col(f"{x}_mw").alias(f"_{x}") for x in groups])
+    d = frame.join(g, ["origin", "horizon"], "left").join(state, "origin", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    changes = [(zero(f"{x}_mw") - zero(f"_{x}")).alias(f"{x}_delta_mw") for x in groups]
+    if mode == "delta":
+        return d.select(*frame.columns, *changes)
+    return d.select(*frame.columns, *[zero(c).alias(c) for c in names], *changes, F.coalesce("nuclear_intervals", F.lit(0)).alias("nuclear_intervals"))
 
 
 def outage_every_hour(messages: DataFrame, groups: list[str], tz: str = TZ) -> DataFrame:
-    """``outage_by_delivery_day`` for every hour from the first interval's start to the last one's end.
+    """Unavailable MW of every hour from the first interval's start to the last one's end, as published before the local midnight of the hour's day: per outage all
+    rows of the last publication count, whatever the version.
 
     A row is the last known at the local midnights in (its publication, the next one], so it counts in one stretch of hours: it adds its MW at the
     first and takes them off after the last. No pair of a row and an hour is made; the running sum goes over one row per hour, in decimals.
     """
     m = messages.filter("pub is not null and start < end")
-    heads = messages.filter("pub is not null").select("identifier", "pub").distinct().withColumn("_until", F.lead("pub").over(W.partitionBy("identifier").orderBy("pub")))
+    known = version_spans(messages, ["identifier"], "pub", [], all_ties=True)
     up = lambda c: F.ceil(c / HOUR) * HOUR
-    spans = m.filter("status = 'ACTIVE'").withColumn("_group", fuel_group(F.col("fuel"))).filter(F.col("_group").isin(groups)).join(heads, ["identifier", "pub"])
+    spans = known.filter("status = 'ACTIVE' and start < end").withColumn("_group", fuel_group(F.col("fuel"))).filter(F.col("_group").isin(groups))
     lo = up(F.greatest("start", next_midnight(F.col("pub"), tz)))
     hi = up(F.when(F.col("_until").isNull(), F.col("end")).otherwise(F.least(F.col("end"), next_midnight(F.col("_until"), tz))))
     mw = F.col("mw").cast("decimal(28,9)")
@@ -200,11 +202,19 @@ def thermal_margin(residual: DataFrame, outages: DataFrame, column: str, groups:
     return d.join(before, "t", "left").select("t", *[f"{g}_tightness" for g in groups], *[(F.col(f"{g}_tightness") - F.col(f"_{g}")).alias(f"{g}_delta_24h") for g in groups])
 
 
+#: Seconds further back than any forecast was updated before its target.
+AGES = 100 * 366 * DAY
+
+
 def vintaged(vintages: DataFrame, frame: DataFrame, order: list[str]) -> DataFrame:
-    """Wind and solar of the last update by the origin (and by the target): wind is null only if both kinds are, renewables need all three."""
-    j = frame.join(vintages, "target").filter("updated <= origin and updated <= target")
-    top = j.groupBy("origin", "horizon", "production_type").agg(F.max_by("value", F.struct("updated", *order)).alias("v"))
-    g = top.groupBy("origin", "horizon").agg(*[F.max(F.when(F.col("production_type") == k, F.col("v"))).alias(n) for k, n in (("WIND_ONSHORE", "on"), ("WIND_OFFSHORE", "off"), ("SOLAR", "solar_mw"))])
+    """Wind and solar of the last update by the origin (and by the target): wind is null only if both kinds are, renewables need all three.
+
+    An as-of join per kind and target: the versions of a target are sorted with the origins that look at it, not paired with them.
+    """
+    kinds = ("WIND_ONSHORE", "on"), ("WIND_OFFSHORE", "off"), ("SOLAR", "solar_mw")
+    look = frame.select("origin", "horizon", "target", F.least("origin", "target").alias("_at"), F.explode(F.array(*[F.lit(k) for k, _ in kinds])).alias("production_type")).withColumn("_row", F.xxhash64("origin", "horizon"))
+    top = asof_join(look, vintages.filter("target is not null"), ["production_type", "target"], "_at", "updated", [*[c for c in order if c != "value"], "value"], AGES, "_row")
+    g = top.groupBy("origin", "horizon").agg(*[F.max(F.when(F.col("production_type") == k, F.col("value"))).alias(n) for k, n in kinds])
     g = g.withColumn("wind_mw", partial_sum(["on", "off"])).withColumn("vre_mw", F.col("on") + F.col("off") + F.col("solar_mw"))
     return frame.join(g.select("origin", "horizon", "wind_mw", "solar_mw", "vre_mw"), ["origin", "horizon"], "left")
 

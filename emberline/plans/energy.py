@@ -10,6 +10,7 @@ from ..adapters import oracle
 from ..operators import accounting as ac
 from ..operators import asof, experiment
 from ..operators import metricsql as mq
+from ..operators.skew import clean_key
 from .windows import rounded
 
 QUERIES: dict = {}
@@ -26,66 +27,66 @@ def query(sql: str | None = None):
     return add
 
 
-_ANCHORS = """cs as (select pod, ts, max(joules) as v from counters group by 1, 2),
-cw as (select c.*, w.start as s, w."end" as e from cs c join job_windows w using (pod) where w."end" > w.start),
+_ANCHORS = """cs as (select pod, ts, arg_max(joules, seq) as v from kcounters group by 1, 2),
+cw as (select c.*, w.start as s, w."end" as e from cs c join kpods w using (pod) where w."end" > w.start),
 an as (select pod, s, e, count(*) as n, max(ts) filter (ts <= s) as b, min(ts) filter (ts > s) as a, min(ts) filter (ts >= e) as le, max(ts) filter (ts < e) as be, min((abs(ts - s), ts)) as ns, min((abs(ts - e), ts)) as ne from cw group by all),
 ank as (select pod, s, e, case when s - b <= {tol} then b when a - s <= {tol} then a else ns[2] end as first, case when le - e <= {tol} then le when e - be <= {tol} then be else ne[2] end as last,
   case when s - b <= {tol} then null when a - s <= {tol} then 'no sample at or before the start' else 'start beyond tolerance' end as note_start, case when le - e <= {tol} then null when e - be <= {tol} then 'no sample at or after the end' else 'end beyond tolerance' end as note_end from an where n >= 2),
 us as (select c.pod, ts, v, s, e, first, last, note_start, note_end, lag(ts) over w as pt, lag(v) over w as pv, count(*) over (partition by c.pod) as samples from cs c join ank k on k.pod = c.pod and ts between first and last and last > first window w as (partition by c.pod order by ts)),
 inc as (select *, greatest(s, pt) as lo, least(e, ts) as hi, v < pv as reset, case when least(e, ts) > greatest(s, pt) then (case when v >= pv then v - pv else greatest(v, 0) end) * (least(e, ts) - greatest(s, pt)) / (ts - pt) end as j from us where pt is not null),
 meas as (select w.pod, coalesce(sum(j), 0.0) as joules, count(j) as increments, coalesce(sum(reset::int), 0)::bigint as resets, coalesce(max(samples), 0)::bigint as samples, coalesce(least(1.0, max(greatest(0.0, least(e, last) - greatest(s, first)) / (e - s))), 0.0) as coverage, max(note_start) as note_start, max(note_end) as note_end
-  from job_windows w left join inc using (pod) group by 1)"""
+  from kpods w left join inc using (pod) group by 1)"""
 
 
-@query(_ANCHORS.format(tol=3600) + " select pod, round(joules, 6) as joules, increments, resets, samples, round(coverage, 6) as coverage, note_start, note_end from meas")
+@query(_ANCHORS.format(tol=90) + " select pod, round(joules, 6) as joules, increments, resets, samples, round(coverage, 6) as coverage, note_start, note_end from meas")
 def a_counter_delta(spark, d):
-    return rounded(ac.measure(ad.counter_samples(spark, d), ad.job_windows(spark, d), "pod", 3600.0))
+    pods = ad.kepler_pods(spark, d)
+    return rounded(ac.measure(ac.increments(ad.kepler_counters(spark, d), pods, "pod", sequence="seq"), pods, "pod"))
 
 
-@query("""cs as (select pod, ts, max(joules) as v from counters group by 1, 2), l as (select *, lag(v) over (partition by pod order by ts) as p from cs)
+@query("""cs as (select pod, ts, arg_max(joules, seq) as v from kcounters group by 1, 2), l as (select *, lag(v) over (partition by pod order by ts) as p from cs)
 select pod, round(sum(case when p is null then null when v >= p then v - p else greatest(v, 0) end), 6) as delta, coalesce(sum((v < p)::int), 0)::bigint as resets, count(*) as samples from l group by 1""")
 def a_counter_simple(spark, d):
-    return rounded(ac.counter_delta(ad.counter_samples(spark, d), ["pod"]).fillna(0, ["resets"]))
+    return rounded(ac.counter_delta(ad.kepler_counters(spark, d), ["pod"], sequence="seq").fillna(0, ["resets"]))
 
 
-@query("""cs as (select pod, ts, max(joules) as v from counters group by 1, 2),
-b as (select w.pod, max(ts) filter (ts <= start) as a, min(ts) filter (ts >= "end") as z from job_windows w join cs using (pod) group by 1),
+@query("""cs as (select pod, ts, arg_max(joules, seq) as v from kcounters group by 1, 2),
+b as (select w.pod, max(ts) filter (ts <= start) as a, min(ts) filter (ts >= "end") as z from kpods w join cs using (pod) group by 1),
 l as (select c.pod, v, lag(v) over (partition by c.pod order by ts) as p from cs c join b on b.pod = c.pod and ts between a and z)
-select w.pod, round(sum(case when p is null then null when v >= p then v - p else greatest(v, 0) end), 6) as delta from job_windows w left join l using (pod) group by 1""")
+select w.pod, round(sum(case when p is null then null when v >= p then v - p else greatest(v, 0) end), 6) as delta from kpods w left join l using (pod) group by 1""")
 def a_counter_enclosing(spark, d):
-    return rounded(ac.enclosing_delta(ad.counter_samples(spark, d), ad.job_windows(spark, d), "pod"))
+    return rounded(ac.enclosing_delta(ad.kepler_counters(spark, d), ad.kepler_pods(spark, d), "pod", "seq"))
 
 
-_CARBON = _ANCHORS.format(tol=3600) + """, pts as (select t, carbon from carbon_hourly where carbon >= 0),
+_CARBON = _ANCHORS.format(tol=90) + """, pts as (select t, carbon from area_points where zone = 'FR'),
 ci as (select i.pod, lo as start, hi as "end", j as joules, case when (lo + hi) / 2 - p.t <= 2100 then p.carbon end as carbon from (select * from inc where j is not null) i asof left join pts p on (i.lo + i.hi) / 2 >= p.t)"""
 
 
 def _increments(spark, d):
-    return ac.increments(ad.counter_samples(spark, d), ad.job_windows(spark, d), "pod", 3600.0).withColumn("zone", F.lit("FR"))
+    return ac.increments(ad.kepler_counters(spark, d), ad.kepler_pods(spark, d), "pod", sequence="seq").withColumn("zone", F.lit("FR"))
 
 
 @query(_CARBON + """ select pod, round(sum(joules), 6) as joules, round(sum(joules / 3.6e6 * carbon), 9) as grams, round(case when sum(joules) filter (carbon is not null) > 0 then sum(joules / 3.6e6 * carbon) / (sum(joules) filter (carbon is not null) / 3.6e6) end, 6) as intensity,
   round(case when sum(joules) > 0 then coalesce(sum(joules) filter (carbon is not null), 0) / sum(joules) else 0.0 end, 6) as carbon_coverage, sum((carbon is null)::int)::bigint as missing, count(*) as intervals from ci group by 1""")
 def a_asof_carbon(spark, d):
-    r = ac.account(_increments(spark, d), ad.carbon_hourly(spark, d), "pod")
+    r = ac.account(_increments(spark, d), ad.area_points(spark, d), "pod")
     return rounded(r.withColumn("grams", F.round("grams", 9).cast("decimal(30,9)"))).withColumn("grams", F.col("grams").cast("double"))
 
 
 @query(_CARBON + ' select pod, round(start, 3) as start, round("end", 3) as "end", round(joules, 6) as joules, round(carbon, 6) as carbon from ci')
 def a_carbon_intervals(spark, d):
-    r = ac.carbon_intervals(_increments(spark, d).filter("joules is not null"), ad.carbon_hourly(spark, d), "pod")
+    r = ac.carbon_intervals(_increments(spark, d).filter("joules is not null"), ad.area_points(spark, d), "pod")
     return r.select("pod", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("joules", 6).alias("joules"), F.round("carbon", 6).alias("carbon"))
 
 
-_REPORT = _CARBON + """, e as (select pod % 20 as job, min(w.start) as start, max(w."end") as "end", count(*) as pods, sum((samples = 0)::int)::bigint as pods_missing, sum(joules) as joules, sum(resets)::bigint as resets,
-    sum(coverage * (w."end" - w.start)) / sum(w."end" - w.start) as coverage from meas join job_windows w using (pod) group by 1),
-g as (select pod % 20 as job, sum(joules / 3.6e6 * carbon) as grams, coalesce(sum(joules) filter (carbon is not null), 0) / sum(joules) as cc, sum((carbon is null)::int)::bigint as missing from ci group by 1),
+_REPORT = _CARBON + """, e as (select job, min(w.start) as start, max(w."end") as "end", count(*) as pods, sum((samples = 0)::int)::bigint as pods_missing, sum(joules) as joules, sum(resets)::bigint as resets,
+    sum(coverage * (w."end" - w.start)) / sum(w."end" - w.start) as coverage from meas join kpods w using (pod) group by 1),
+g as (select job, sum(joules / 3.6e6 * carbon) as grams, coalesce(sum(joules) filter (carbon is not null), 0) / sum(joules) as cc, sum((carbon is null)::int)::bigint as missing from ci join kpods using (pod) group by 1),
 report as (select e.*, grams, cc as carbon_coverage, missing, joules / ("end" - start) as watts, joules > 0 and pods_missing = 0 and coverage >= 0.9 and coalesce(cc, 0) >= 0.95 and grams is not null as valid from e left join g using (job))"""
 
 
 def _report(spark, d):
-    pods = ad.job_windows(spark, d).withColumn("job", F.col("pod") % 20)
-    return ac.job_report(ad.counter_samples(spark, d), pods, ad.carbon_hourly(spark, d), step=900.0)
+    return ac.job_report(ad.kepler_counters(spark, d), ad.kepler_pods(spark, d), ad.area_points(spark, d), sequence="seq")
 
 
 @query(_REPORT + " select job, pods, pods_missing, round(joules, 6) as joules, resets, round(coverage, 6) as coverage, round(grams * 1000, 6) as milligrams, round(carbon_coverage, 6) as carbon_coverage, missing, round(watts, 9) as watts, valid from report")
@@ -140,18 +141,18 @@ def a_annotations(spark, d):
     return e.groupBy("user_id").agg(F.sum(kept.cast("long")).alias("kept"))
 
 
-@query("""select h.event_id, c.t as matched_at, round(c.carbon, 6) as carbon from (select event_id, us / 1e6 as ts from ev) h asof left join (select * from carbon_hourly where t % 14400 = 0) c on h.ts >= c.t where true""".replace("c.t as matched_at, round(c.carbon, 6) as carbon", "case when ts - c.t <= 7200 then c.t end as matched_at, case when ts - c.t <= 7200 then round(c.carbon, 6) end as carbon"))
+@query("select h.event_id, case when ts - c.t <= 7200 then c.t end as matched_at, case when ts - c.t <= 7200 then round(c.carbon, 6) end as carbon from (select event_id, us / 1e6 as ts from ev) h asof left join carbon_hourly c on h.ts >= c.t where true")
 def j_asof(spark, d):
     left = ad.events(spark, d).select("event_id", F.lit("FR").alias("zone"), (F.col("us") / 1e6).alias("ts"))
-    right = ad.carbon_hourly(spark, d).filter("t % 14400 = 0")
-    return rounded(asof.asof_join(left, right, ["zone"], "ts", "t", ["carbon"], 7200.0, "event_id").select("event_id", "matched_at", "carbon"))
+    return rounded(asof.asof_join(left, ad.carbon_hourly(spark, d), ["zone"], "ts", "t", ["carbon"], 7200.0, "event_id").select("event_id", "matched_at", "carbon"))
 
 
-@query("select h.event_id, case when ts - c.t <= 7200 then c.t end as matched_at, case when ts - c.t <= 7200 then round(c.carbon, 6) end as carbon from (select event_id, us / 1e6 as ts from ev) h asof left join carbon_hourly c on h.ts >= c.t where true")
-def j_asof_hourly(spark, d):
-    """As ``j_asof``, against the whole hourly table."""
-    left = ad.events(spark, d).select("event_id", F.lit("FR").alias("zone"), (F.col("us") / 1e6).alias("ts"))
-    return rounded(asof.asof_join(left, ad.carbon_hourly(spark, d), ["zone"], "ts", "t", ["carbon"], 7200.0, "event_id").select("event_id", "matched_at", "carbon"))
+@query("""e as (select interval_id, upper(trim(area_code)) as zone, epoch_us(interval_start) / 1e6 as ts from energy_intervals)
+select e.interval_id, case when ts - p.t <= 2100 then p.t end as matched_at, case when ts - p.t <= 2100 then round(p.carbon, 6) end as carbon from e asof left join area_points p on p.zone = e.zone and e.ts >= p.t""")
+def j_asof_area(spark, d):
+    """Every energy interval with the last intensity of its own area before it."""
+    left = ad.table(spark, d, "energy_intervals").select("interval_id", clean_key("area_code").alias("zone"), (F.unix_micros("interval_start") / 1e6).alias("ts"))
+    return rounded(asof.asof_join(left, ad.area_points(spark, d), ["zone"], "ts", "t", ["carbon"], 2100.0, "interval_id").select("interval_id", "matched_at", "carbon"))
 
 
 _POINTS = "pts as (select 788918400 + i * 7776000 as point from range(28) r(i)),"

@@ -96,17 +96,20 @@ def f_curve(spark, d):
 
 def _scale_sql(w):
     old, new = w // 2, w - w // 2
-    rng = lambda n: f"over (order by t range between {n * 3600 - 1} preceding and current row)"
+    rng = lambda n: f"over (partition by zone order by t range between {n * 3600 - 1} preceding and current row)"
     least = lambda n: max(1, -(-n // 2))
     return f"""case when count(x) {rng(w)} >= {max(2, -(-w // 2))} then avg(x) {rng(w)} end as l{w}, case when count(x) {rng(w)} >= {max(2, -(-w // 2))} then stddev_pop(x) {rng(w)} end as s{w},
   case when count(x) {rng(new)} >= {least(new)} then avg(x) {rng(new)} end as n{w}, case when count(x) {rng(old)} >= {least(old)} then avg(x) {rng(old)} end as o{w}"""
 
 
-@query(f"""g as (select g.t, case when g.t % 18000 <> 0 then c.carbon end as x from grid g left join carbon_hourly c on c.t = g.t), r as (select t, {_scale_sql(3)}, {_scale_sql(24)} from g)
-select t, round(l3, 6) as w3_level, round(s3, 6) as w3_volatility, round((n3 - lag(o3, 2) over (order by t)) / 1.5, 6) as w3_trend, round(l24, 6) as w24_level, round(s24, 6) as w24_volatility, round((n24 - lag(o24, 12) over (order by t)) / 12.0, 6) as w24_trend from r""")
+_SCALES = (3, 6, 12, 24, 48, 168)
+
+
+@query(f"""zg as (select zone, unnest(range(min(t), max(t) + 1, 3600)) as t from area_hourly group by zone), g as (select zg.zone, zg.t, c.carbon as x from zg left join area_hourly c on c.zone = zg.zone and c.t = zg.t), r as (select zone, t, {', '.join(_scale_sql(w) for w in _SCALES)} from g)
+select zone, t, {', '.join(f"round(l{w}, 6) as w{w}_level, round(s{w}, 6) as w{w}_volatility, round((n{w} - lag(o{w}, {w - w // 2}) over (partition by zone order by t)) / {max(w / 2.0, 1.0)}::double, 6) as w{w}_trend" for w in _SCALES)} from r""")
 def f_multiscale(spark, d):
-    g = se.regularize(ad.carbon_hourly(spark, d), ["zone"], "t", 3600).select("t", F.when(F.col("t") % 18000 != 0, F.col("carbon")).alias("x"))
-    return rounded(fe.multiscale(g, "x", (3, 24)).drop("x"))
+    g = se.regularize(ad.area_hourly(spark, d), ["zone"], "t", 3600).withColumnRenamed("carbon", "x")
+    return rounded(fe.multiscale(g, "x", _SCALES, ["zone"]).drop("x"))
 
 
 _GROUP = "case when fuel = 'NUCLEAR' then 'nuclear' when fuel = 'FOSSIL_GAS' then 'gas' when fuel = 'FOSSIL_HARD_COAL' then 'coal' when fuel like 'HYDRO_%' then 'hydro' end"
@@ -119,52 +122,47 @@ def _long_stack(spark):
     return fe.stack(o, 24, 86400)
 
 
-_MORD = ["version", "message_id", "start", "end", "mw"]
+_AVAILABLE = f"""fs as (select origin, h::int as horizon, origin + h * 3600 as target from pub_days, range(0, 25) r(h)),
+k as (select o.origin, m.*, rank() over (partition by o.origin, identifier order by pub desc, version desc) as n from outages m join pub_days o on m.pub <= o.origin),
+hit as (select l.origin, l.horizon, k.kind, k.mw, {_GROUP} as grp from k join fs l on l.origin = k.origin and l.target >= k.start and l.target < k."end" where n = 1 and status = 'ACTIVE' and {_GROUP} is not null),
+g as (select origin, horizon, sum(mw) filter (grp = 'nuclear') as nuclear, sum(mw) filter (grp = 'gas') as gas, sum(mw) filter (grp = 'coal') as coal, sum(mw) filter (grp = 'hydro') as hydro, sum(mw) as total,
+  sum(mw) filter (grp = 'nuclear' and kind = 'PLANNED') as np, sum(mw) filter (grp = 'nuclear' and kind <> 'PLANNED') as nu, count(*) filter (grp = 'nuclear') as no from hit group by 1, 2)
+"""
+_CHANGES = ", ".join(f"round(coalesce(g.{x}, 0) - coalesce(z.{x}, 0), 6) + 0.0 as {x}_delta_mw" for x in ("nuclear", "gas", "coal", "hydro"))
+_FUELS = ["nuclear", "gas", "coal", "hydro"]
 
 
-@query(_LONG + f""" k as (select o.origin, m.*, row_number() over (partition by o.origin, identifier order by pub desc, version desc, message_id desc, start desc, "end" desc, mw desc) as n from messages m join (select distinct origin from ls) o on m.pub <= o.origin),
-hit as (select l.origin, l.horizon, k.*, {_GROUP} as grp from k join ls l on l.origin = k.origin and l.target >= k.start and l.target < k."end" where n = 1 and status = 'ACTIVE' and {_GROUP} is not null),
-g as (select origin, horizon, sum(mw) filter (grp = 'nuclear') as nuclear, sum(mw) filter (grp = 'gas') as gas, sum(mw) filter (grp = 'coal') as coal, sum(mw) filter (grp = 'hydro') as hydro, sum(mw) as total,
-  sum(mw) filter (grp = 'nuclear' and kind = 'PLANNED') as np, sum(mw) filter (grp = 'nuclear' and kind = 'UNPLANNED') as nu, count(distinct identifier) filter (grp = 'nuclear') as no from hit group by 1, 2)
-select ls.origin, ls.horizon, ls.target, coalesce(nuclear, 0) as nuclear_mw, coalesce(gas, 0) as gas_mw, coalesce(coal, 0) as coal_mw, coalesce(hydro, 0) as hydro_mw, coalesce(total, 0) as total_mw, coalesce(np, 0) as nuclear_planned_mw, coalesce(nu, 0) as nuclear_unplanned_mw, coalesce(no, 0) as nuclear_outages
-from ls left join g on g.origin = ls.origin and g.horizon = ls.horizon""")
+@query(_AVAILABLE + f"""select fs.origin, fs.horizon, fs.target, round(coalesce(g.nuclear, 0), 6) as nuclear_mw, round(coalesce(g.gas, 0), 6) as gas_mw, round(coalesce(g.coal, 0), 6) as coal_mw, round(coalesce(g.hydro, 0), 6) as hydro_mw, round(coalesce(g.total, 0), 6) as total_mw, round(coalesce(g.np, 0), 6) as nuclear_planned_mw,
+  round(coalesce(g.nu, 0), 6) as nuclear_unplanned_mw, {_CHANGES}, coalesce(g.no, 0) as nuclear_intervals
+from fs left join g on g.origin = fs.origin and g.horizon = fs.horizon left join g z on z.origin = fs.origin and z.horizon = 0 where fs.horizon > 0""")
 def f_availability(spark, d):
-    return rounded(fe.availability(ad.messages(spark, d), _long_stack(spark), ["nuclear", "gas", "coal", "hydro"], _MORD))
+    m = ad.outages(spark, d)
+    return rounded(fe.availability(m, fe.stack(ad.publication_days(m)), _FUELS))
 
 
-_HOURS = "hs as (select 860371200::bigint + i * 3600 as t from range(0, 8760, 6) r(i)), hm as (select t, epoch_us(timezone('Europe/Paris', date_trunc('day', timezone('Europe/Paris', to_timestamp(t))))) // 1000000 as midnight from hs),"
-_OUT = _HOURS + f""" ko as (select d.midnight, m.*, {_GROUP} as grp, rank() over (partition by d.midnight, identifier order by pub desc) as n from messages m join (select distinct midnight from hm) d on m.pub < d.midnight),
-og as (select t, sum(mw) filter (grp = 'nuclear') as nuclear, sum(mw) filter (grp = 'gas') as gas from ko join hm on hm.midnight = ko.midnight and t >= start and t < "end" where n = 1 and status = 'ACTIVE' group by 1),
-outage as (select hs.t, coalesce(nuclear, 0) as nuclear_mw, coalesce(gas, 0) as gas_mw from hs left join og using (t))"""
+@query(_AVAILABLE + f"select fs.origin, fs.horizon, fs.target, {_CHANGES} from fs left join g on g.origin = fs.origin and g.horizon = fs.horizon left join g z on z.origin = fs.origin and z.horizon = 0 where fs.horizon > 0")
+def f_availability_delta(spark, d):
+    m = ad.outages(spark, d)
+    return rounded(fe.availability(m, fe.stack(ad.publication_days(m)), _FUELS, mode="delta"))
 
 
-def _hours(spark):
-    return spark.range(0, 8760, 6).select((F.lit(860371200) + F.col("id") * 3600).alias("t"))
+_OUT = f"""hs as (select unnest(range((min(start) + 3599) // 3600 * 3600, (max("end") + 3599) // 3600 * 3600, 3600)) as t from outages where start < "end"),
+hm as (select t, epoch_us(timezone('Europe/Paris', date_trunc('day', timezone('Europe/Paris', to_timestamp(t))))) // 1000000 as midnight from hs),
+sp as (select m.*, {_GROUP} as grp, n.until from outages m join (select identifier, pub, lead(pub) over (partition by identifier order by pub) as until from (select distinct identifier, pub from outages)) n on n.identifier = m.identifier and n.pub = m.pub),
+og as (select t, sum(mw) filter (grp = 'nuclear') as nuclear, sum(mw) filter (grp = 'gas') as gas from sp join hm on t >= start and t < "end" and midnight > pub and (until is null or midnight <= until) where status = 'ACTIVE' group by 1),
+outage as (select hs.t, round(coalesce(nuclear, 0), 6) as nuclear_mw, round(coalesce(gas, 0), 6) as gas_mw from hs left join og using (t))"""
 
 
 @query(_OUT + " select * from outage")
 def f_outage_by_day(spark, d):
-    return fe.outage_by_delivery_day(ad.messages(spark, d), _hours(spark), ["nuclear", "gas"])
+    return rounded(fe.outage_every_hour(ad.outages(spark, d), ["nuclear", "gas"]))
 
 
 @query(_OUT + """, tt as (select t, t % 1000 + nuclear_mw as n, t % 1000 + gas_mw as g from outage)
-select a.t, a.n::double as nuclear_tightness, a.g::double as gas_tightness, (a.n - b.n)::double as nuclear_delta_24h, (a.g - b.g)::double as gas_delta_24h from tt a left join tt b on b.t = a.t - 86400""")
+select a.t, round(a.n::double, 6) as nuclear_tightness, round(a.g::double, 6) as gas_tightness, round((a.n - b.n)::double, 6) + 0.0 as nuclear_delta_24h, round((a.g - b.g)::double, 6) + 0.0 as gas_delta_24h from tt a left join tt b on b.t = a.t - 86400""")
 def f_thermal(spark, d):
-    out = fe.outage_by_delivery_day(ad.messages(spark, d), _hours(spark), ["nuclear", "gas"])
-    residual = _hours(spark).withColumn("residual", (F.col("t") % 1000).cast("double"))
-    return fe.thermal_margin(residual, out, "residual", ["nuclear", "gas"])
-
-
-@query()
-def f_outage_hourly(spark, d):
-    """As ``f_outage_by_day``, for every hour of the messages' own range."""
-    return fe.outage_every_hour(ad.messages(spark, d), ["nuclear", "gas"])
-
-
-@query()
-def f_thermal_hourly(spark, d):
-    out = fe.outage_every_hour(ad.messages(spark, d), ["nuclear", "gas"])
-    return fe.thermal_margin(out.select("t", (F.col("t") % 1000).cast("double").alias("residual")), out, "residual", ["nuclear", "gas"])
+    out = fe.outage_every_hour(ad.outages(spark, d), ["nuclear", "gas"])
+    return rounded(fe.thermal_margin(out.select("t", (F.col("t") % 1000).cast("double").alias("residual")), out, "residual", ["nuclear", "gas"]))
 
 
 @query(_LONG + """ j as (select l.origin, l.horizon, v.production_type, v.value, row_number() over (partition by l.origin, l.horizon, production_type order by updated desc, l_orderkey desc, l_linenumber desc, l_partkey desc, value desc) as n from ls l join vintages v on v.target = l.target and updated <= l.origin and updated <= l.target),

@@ -200,13 +200,13 @@ catalog as (select b.model, b.origin, b.horizon - a.horizon as duration, a.horiz
 _DECISIONS = _CATALOG + """mins as (select *, min(predicted) over w as pmin, min(actual) over w as amin, round(predicted, 9) as rp, round(actual, 9) as ra from catalog window w as (partition by model, origin, duration)),
 ranks as (select *, rank() over (partition by model, origin, duration order by rp) + (count(*) over (partition by model, origin, duration, rp) - 1) / 2.0::double as xp,
   rank() over (partition by model, origin, duration order by ra) + (count(*) over (partition by model, origin, duration, ra) - 1) / 2.0::double as xa from mins),
-sel as (select model, origin, duration, min(start) filter (predicted - pmin <= 1e-9) as ss, min(start) filter (actual - amin <= 1e-9) as os, count(*) as candidates, avg(actual) as random_cost,
+sel as (select model, origin, duration, min(start) as fs, min(start) filter (predicted - pmin <= 1e-9) as ss, min(start) filter (actual - amin <= 1e-9) as os, count(*) as candidates, avg(actual) as random_cost,
   count(*) filter (predicted - pmin <= 1e-9) as predicted_ties, count(*) filter (actual - amin <= 1e-9) as oracle_ties, max(predicted) - min(predicted) as pr, max(actual) - min(actual) as ar,
   avg(xp) as mp, avg(xa) as ma, avg(xp * xa) as mpa, avg(xp * xp) as mpp, avg(xa * xa) as maa from ranks group by all),
 dd as (select s.*, c.predicted as selected_predicted, c.actual as selected_cost, o.actual as oracle_cost, f.actual as asap_cost,
     (select count(*) from catalog x where x.model = s.model and x.origin = s.origin and x.duration = s.duration and x.actual < c.actual - 1e-9) + 1 as rank
   from sel s join catalog c on c.model = s.model and c.origin = s.origin and c.duration = s.duration and c.start = s.ss join catalog o on o.model = s.model and o.origin = s.origin and o.duration = s.duration and o.start = s.os
-  join catalog f on f.model = s.model and f.origin = s.origin and f.duration = s.duration and f.start = 1),
+  join catalog f on f.model = s.model and f.origin = s.origin and f.duration = s.duration and f.start = s.fs),
 decisions as (select model, origin, duration, candidates, ss as selected_start, selected_predicted, selected_cost, os as oracle_start, oracle_cost, asap_cost, random_cost, selected_cost - oracle_cost as regret, asap_cost - selected_cost as savings,
   asap_cost - oracle_cost as opportunity, random_cost - selected_cost as random_improvement, random_cost - oracle_cost as random_regret, selected_cost - oracle_cost <= 1e-9 as top1, selected_cost <= oracle_cost + 1.0 + 1e-9 as epsilon_optimal, rank,
   case when candidates > 1 then (rank - 1)::double / (candidates - 1) else 0.0 end as rank_percentile, rank <= greatest(1, ceil(0.1 * candidates)) as top10,
@@ -274,6 +274,36 @@ def e_paired(spark, d):
     return rounded(ex.paired(_decisions(spark, d), "d2"))
 
 
+_REAL = _DECISIONS[_DECISIONS.index("mins as ("):].replace("from catalog", "from candidates").replace("join catalog", "join candidates")
+
+
+def _chosen(spark, d):
+    return ex.decisions(ad.candidates(spark, d))
+
+
+@query(_REAL + """select model, origin, duration, candidates, selected_start, round(selected_cost, 6) as selected_cost, oracle_start, round(oracle_cost, 6) as oracle_cost, round(asap_cost, 6) as asap_cost, round(random_cost, 6) as random_cost, round(regret, 6) + 0.0 as regret, top1, epsilon_optimal, rank, top10, round(spearman, 6) + 0.0 as spearman, predicted_ties, oracle_ties from decisions""")
+def e_catalog_decisions(spark, d):
+    """Decisions over the delivered catalogue of windows."""
+    columns = ["model", "origin", "duration", "candidates", "selected_start", "selected_cost", "oracle_start", "oracle_cost", "asap_cost", "random_cost", "regret", "top1", "epsilon_optimal", "rank", "top10", "spearman", "predicted_ties", "oracle_ties"]
+    return rounded(_chosen(spark, d).select(*columns))
+
+
+@query(_REAL + _AGG.format(k="model, duration"))
+def e_catalog_aggregate(spark, d):
+    return rounded(ex.aggregate(_chosen(spark, d)))
+
+
+@query(_REAL + _SUM.format(k="model", d="decisions"))
+def e_catalog_macro(spark, d):
+    return rounded(ex.summarize(_chosen(spark, d), ["model"]))
+
+
+@query(_REAL + """, daily as (select origin, model, avg(regret) as r from decisions where duration < 24 group by 1, 2), deltas as (select a.origin, a.model as reference, a.r - b.r as delta from daily a join daily b on a.origin = b.origin and b.model = 'regime_moe' and a.model <> 'regime_moe')
+select reference, round(avg(delta), 6) + 0.0 as mean_delta, round(100.0::double * avg((delta > 1e-12)::int), 6) as better_pct, round(100.0::double * avg((abs(delta) <= 1e-12)::int), 6) as tie_pct, count(*) as origins from deltas group by 1""")
+def e_catalog_paired(spark, d):
+    return rounded(ex.paired(_chosen(spark, d), "regime_moe"))
+
+
 @query()
 def e_bootstrap(spark, d):
     return rounded(ex.block_bootstrap(ex.daily_deltas(_decisions(spark, d), "d2"), ["reference"], "origin", "delta"))

@@ -172,7 +172,7 @@ def test_policy(spark):
 def counter(spark, samples, start, end, **kw):
     s = frame(spark, [("p", float(t), float(v)) for t, v in samples], "pod string, ts double, joules double")
     w = frame(spark, [("p", float(start), float(end))], "pod string, start double, end double")
-    return ac.measure(s, w, "pod", **kw).first()
+    return ac.measure(ac.increments(s, w, "pod", **kw), w, "pod").first()
 
 
 def test_counter_with_reset_and_cut_bounds(spark):
@@ -195,7 +195,7 @@ def test_increments_add_up(spark):
     s = frame(spark, [("p", float(t), float(t * 3 % 50)) for t in range(0, 200, 10)], "pod string, ts double, joules double")
     w = frame(spark, [("p", 15.0, 155.0)], "pod string, start double, end double")
     total = ac.increments(s, w, "pod").agg(F.sum("joules")).first()[0]
-    assert ac.measure(s, w, "pod").first().joules == pytest.approx(total)
+    assert ac.measure(ac.increments(s, w, "pod"), w, "pod").first().joules == pytest.approx(total)
 
 
 def test_energy_weighted_intensity_and_age(spark):
@@ -230,7 +230,7 @@ def test_asof_over_the_whole_hourly_table(spark, tmp_path):
     at = [(i, h * H + 600) for i, h in enumerate([0, 1, 2, 3, 5, 6, 11, 12])]
     d = frame(spark, [(i, 1, "click", float(i), "{}", utc(t)) for i, t in at], "event_id bigint, user_id bigint, event_type string, value double, props string, ts timestamp")
     d.write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.event_id: (r.matched_at, r.carbon) for r in entry.queries()["j_asof_hourly"](spark, str(tmp_path)).collect()}
+    got = {r.event_id: (r.matched_at, r.carbon) for r in entry.queries()["j_asof"](spark, str(tmp_path)).collect()}
     assert got == {i: (t - 600, float(i)) for i, t in at}
 
 
@@ -290,10 +290,24 @@ def test_outages_of_every_hour_equal_those_by_day(spark, rows):
         data.append((rng.randint(0, 12), rng.choice([None, *(base + h * H for h in range(-60, 300, 7))]), rng.choice(["ACTIVE", "ACTIVE", "DISMISSED"]), rng.choice(["NUCLEAR", "FOSSIL_GAS", "OTHER"]), start, start + rng.randint(-2, 90) * H, rng.randint(1, 50) / 10))
     m = frame(spark, data, "identifier int, pub bigint, status string, fuel string, start bigint, end bigint, mw double")
     got = fe.outage_every_hour(m, ["nuclear", "gas"])
-    expected = fe.outage_by_delivery_day(m, got.select("t"), ["nuclear", "gas"])
-    tidy = lambda d: rows(d.select("t", F.round("nuclear_mw", 6).alias("n"), F.round("gas_mw", 6).alias("g")))
-    assert tidy(got) == tidy(expected) and got.filter("nuclear_mw > 0").count() > 20
+    # brute force: of every outage the rows of the last publication before the local midnight of the hour's day
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    def at(t):
+        midnight = datetime.fromtimestamp(t, ZoneInfo("Europe/Paris")).replace(hour=0, minute=0).timestamp()
+        out = {"NUCLEAR": 0.0, "FOSSIL_GAS": 0.0, "OTHER": 0.0}
+        for k in {r[0] for r in data}:
+            last = max((r[1] for r in data if r[0] == k and r[1] is not None and r[1] < midnight), default=None)
+            for r in data:
+                if r[0] == k and r[1] == last is not None and r[2] == "ACTIVE" and r[4] <= t < r[5]:
+                    out[r[3]] += r[6]
+        return out["NUCLEAR"], out["FOSSIL_GAS"]
+
     t = [r.t for r in got.orderBy("t").collect()]
+    for r in got.collect():
+        assert (r.nuclear_mw, r.gas_mw) == pytest.approx(at(r.t), abs=1e-6)
+    assert got.filter("nuclear_mw > 0").count() > 20
     valid = [r for r in data if r[1] is not None and r[4] < r[5]]
     assert t == list(range(-(-min(r[4] for r in valid) // H) * H, -(-max(r[5] for r in valid) // H) * H, H))
 
@@ -394,10 +408,37 @@ MESSAGES = "identifier string, message_id string, version int, pub bigint, statu
 def test_cancellation_hides_the_older_version(spark):
     m = frame(spark, [("o", "1", 1, 0, "ACTIVE", "UNPLANNED", "NUCLEAR", 0, 10**9, 1000.0), ("o", "2", 2, 50 * H, "DISMISSED", "UNPLANNED", "NUCLEAR", 0, 10**9, 1000.0), ("g", "3", 1, 0, "ACTIVE", "PLANNED", "FOSSIL_GAS", 0, 10**9, 200.0)], MESSAGES)
     s = fe.stack(frame(spark, [(10 * H,), (100 * H,)], "origin bigint"), 2)
-    got = {(r.origin, r.horizon): (r.nuclear_mw, r.gas_mw, r.nuclear_planned_mw, r.nuclear_unplanned_mw) for r in fe.availability(m, s, ["nuclear", "gas"], ["version", "message_id"]).collect()}
+    got = {(r.origin, r.horizon): (r.nuclear_mw, r.gas_mw, r.nuclear_planned_mw, r.nuclear_unplanned_mw) for r in fe.availability(m, s, ["nuclear", "gas"]).collect()}
     assert got[(10 * H, 1)] == (1000.0, 200.0, 0.0, 1000.0) and got[(100 * H, 2)] == (0.0, 200.0, 0.0, 0.0)
-    old = fe.availability(m, s, ["nuclear"], ["version", "message_id"], legacy_planned=True).filter("horizon = 1 and origin = 36000").first()
+    old = fe.availability(m, s, ["nuclear"], legacy_planned=True).filter("horizon = 1 and origin = 36000").first()
     assert old.nuclear_planned_mw == 1000.0
+    # what has begun or ended since the origin shows as a change; several intervals of one version all count
+    m = frame(spark, [("o", "1", 1, 0, "ACTIVE", "PLANNED", "NUCLEAR", 0, 10 * H, 5.0), ("o", "1", 1, 0, "ACTIVE", "PLANNED", "NUCLEAR", 11 * H, 12 * H, 7.0), ("o", "1", 1, 0, "ACTIVE", "PLANNED", "NUCLEAR", 11 * H, 13 * H, 2.0)], MESSAGES)
+    s = fe.stack(frame(spark, [(9 * H,)], "origin bigint"), 4)
+    got = fe.availability(m, s, ["nuclear"], mode="all").orderBy("horizon").collect()
+    assert [(r.nuclear_mw, r.nuclear_delta_mw, r.nuclear_intervals) for r in got] == [(0.0, -5.0, 0), (9.0, 4.0, 2), (2.0, -3.0, 1), (0.0, -5.0, 0)]
+    assert fe.availability(m.limit(0), s, ["nuclear"], mode="delta").columns == ["origin", "horizon", "target", "nuclear_delta_mw"]
+
+
+def test_equal_times_the_last_delivered_sample_counts(spark, rows):
+    s = frame(spark, [("a", 0.0, 1.0, 1), ("a", 10.0, 9.0, 2), ("a", 10.0, 4.0, 3), ("a", 10.0, float("nan"), 4), (None, 1.0, 1.0, 5)], "pod string, ts double, joules double, seq bigint")
+    assert rows(ac.clean_samples(s.dropna(subset=["pod"]), ["pod"], sequence="seq"), "ts", "v") == [(0.0, 1.0), (10.0, 4.0)]
+    assert rows(ac.counter_delta(s, ["pod"], sequence="seq"), "pod", "delta", "samples") == [("a", 3.0, 2), (None, None, 1)]
+
+
+def test_counters_in_chunks_equal_one_window(spark, rows, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    data, v = [], 0.0
+    for i in range(400):
+        v = rng.choice([v + rng.random(), v + rng.random(), rng.random()]) if i % 37 else 0.1
+        data.append(("a", float(i * 50 + rng.random()), v))
+    s, w = frame(spark, data, "pod string, ts double, joules double"), frame(spark, [("a", 777.0, 17_777.0)], "pod string, start double, end double")
+    ask = lambda: (rows(ac.counter_delta(s, ["pod"]).select("resets", F.round("delta", 6))), rows(ac.measure(ac.increments(s, w, "pod"), w, "pod").select("resets", "samples", F.round("joules", 6))), rows(ac.enclosing_delta(s, w, "pod").select(F.round("delta", 6))))
+    whole = ask()
+    monkeypatch.setattr(ac, "CHUNK", 300)
+    assert ask() == whole
 
 
 # -- gates
