@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.skew import copied, floor_div, hot_keys, salted
+from ..operators.skew import side_by_side
 
 #: Rows of an entity are sorted within buckets of this many microseconds.
 BUCKET = 86_400_000_000
@@ -20,18 +20,16 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     nothing; ids must be unique on the left. Other columns are ignored, so names cannot clash; empty tables give no rows.
 
     The union of both tables is sorted by entity, bucket and time; the last right row is carried forward and the next one
-    backward onto left rows. Right rows within the tolerance of a bucket's bounds are entered in the neighbour too, and the
-    left rows of crowded buckets are spread over salts, so a hot entity is sorted by many tasks and nothing is missed.
+    backward onto left rows. Of every bucket the last and the first right row are entered in those within the tolerance too. Buckets that are
+    crowded on either side are cut in time and salted, so a hot entity is sorted by many tasks and nothing is missed.
     """
-    lo = left.select(F.col(left_id).alias("_l"), "entity", "t").dropna().withColumn("_b", floor_div(F.col("t"), bucket))
-    one = right.select(F.col(right_id).alias("_r"), "entity", "t").dropna().groupBy("entity", "t").agg(F.max("_r").alias("_r"))
-    span = F.sequence(floor_div(F.col("t") - tolerance_us, bucket), floor_div(F.col("t") + tolerance_us, bucket))
-    ro = one.withColumn("_b", F.explode(span))
-    keys = ["entity", "_b"]
-    hot = hot_keys(lo, keys, total=left.count(), least=least)
-    lo, ro = salted(lo, hot, keys, "_l"), copied(ro, hot, keys)
-    both = ro.select(*keys, "_salt", "t", F.lit(None).cast("bigint").alias("_l"), F.struct("t", "_r").alias("_p")).unionByName(
-        lo.select(*keys, "_salt", "t", "_l", F.lit(None).cast("struct<t:bigint,_r:bigint>").alias("_p"))
+    lo = left.select(F.col(left_id).alias("_l"), "entity", F.col("t").alias("_t")).dropna()
+    ro = right.select(F.col(right_id).alias("_id"), "entity", F.col("t").alias("_t")).dropna().groupBy("entity", "_t").agg(F.max("_id").alias("_id"))
+    ro = ro.select("entity", "_t", F.struct(F.col("_t").alias("t"), F.col("_id").alias("_r")).alias("_r"))
+    lo, ro = side_by_side(lo, ro, ["entity"], bucket, tolerance_us, tolerance_us, "_l", least=least)
+    keys = ["entity", "_b", "_piece"]
+    both = ro.select(*keys, "_salt", F.col("_t").alias("t"), F.lit(None).cast("bigint").alias("_l"), F.col("_r").alias("_p")).unionByName(
+        lo.select(*keys, "_salt", F.col("_t").alias("t"), "_l", F.lit(None).cast(ro.schema["_r"].dataType).alias("_p"))
     )
     part = W.partitionBy(*keys, "_salt")
     ahead = part.orderBy(F.col("t").asc(), F.col("_l").asc_nulls_first())  # a right row at the same instant comes first
