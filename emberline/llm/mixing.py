@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,11 @@ from .packing import ranked
 
 #: The classifier: hashed features, at most so many labelled rows per source to train on, passes and step of gradient descent.
 FEATURES, SAMPLE_PER_SOURCE, EPOCHS, STEP, DECAY = 4096, 1000, 150, 2.0, 1e-4
-#: The fit: most iterations, and the largest deviation of a source's share at which it ends.
-ITERATIONS, ACCURACY = 60, 1e-5
+#: The fit ends when every source's expected share is within ACCURACY of its target, or when a step moves less than STILL of all tokens (the
+#: optimum under the caps). ITERATIONS only bounds a fit that does neither, which ``Fit.ended`` tells. After REPLAY steps the rates are written down.
+ITERATIONS, ACCURACY, STILL, REPLAY = 300, 1e-5, 1e-7, 30
+#: Largest total: labelled documents that suffice for NEARLY of the upper bound decide it, else it is sought by BISECTIONS halvings.
+NEARLY, BISECTIONS = 0.99, 4
 #: Sizes up to EXACT tokens are rounded size by size, larger ones in classes of 1/32 octave: a bounded number of classes.
 EXACT, PER_OCTAVE = 1024, 32
 
@@ -101,70 +105,146 @@ def posteriors(documents: DataFrame, names: list[str]) -> DataFrame:
     return known.select("doc_id", "label", "tokens", hard.alias("p")).unionByName(soft.select("doc_id", F.lit(None).cast("string").alias("label"), "tokens", "p"))
 
 
-def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, total: float | None = None, iterations: int = ITERATIONS) -> tuple[DataFrame, float, int]:
-    """Rates 0..cap of groups of documents with one membership: ``groups`` plus ``rate``, the total aimed at, and the iterations taken.
+class Fit(NamedTuple):
+    """How a fit went: tokens aimed at, iterations, largest deviation of a source's expected tokens relative to the total, and why it ended
+    (``reached``, ``optimum`` under the caps, or ``iterations``)."""
 
-    Minimises the squared deviations of the sources' expected tokens from share * total, each divided by the source's mass. In the metric of the
-    documents' sizes the step 1 is safe, because the scaled Gram matrix of the memberships has no eigenvalue above 1, and documents of one
-    membership move alike: ``groups`` has one row per distinct (p, cap) with its ``mass``. Each iteration is one aggregation; the driver
-    only ever sees as many numbers as there are sources.
-    """
+    total: float
+    iterations: int
+    deviation: float
+    ended: str
+
+
+def reachable(groups: DataFrame, shares: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Tokens by source, the largest total that the documents which surely are a source's own can fill, and an upper bound with all memberships."""
     k = len(shares)
-    component = lambda rate: [F.sum(F.col("p")[i] * F.col("mass") * rate) for i in range(k)]
+    sums = lambda rate: [F.sum(F.col("p")[i] * F.col("mass") * rate) for i in range(k)]
     sure = F.when(F.array_max("p") >= 1, F.col("cap")).otherwise(0)
-    row = groups.agg(*[x.alias(f"{n}{i}") for n, rate in (("m", F.lit(1.0)), ("c", F.col("cap")), ("s", sure)) for i, x in enumerate(component(rate))]).first()
+    row = groups.agg(*[x.alias(f"{n}{i}") for n, rate in (("m", F.lit(1.0)), ("c", F.col("cap")), ("s", sure)) for i, x in enumerate(sums(rate))]).first()
     mass, most, own = (np.array([row[f"{n}{i}"] or 0.0 for i in range(k)]) for n in "mcs")
     wanted = shares > 0
-    if total is None:  # the largest total of which every source can fill its share with documents that surely are its own, or else with all it may have
-        reach = np.where(own > 0, own, most)
-        total = float((reach[wanted] / shares[wanted]).min()) if wanted.any() else 0.0
-    goal = shares * total
-    start = np.clip(np.divide(goal, mass, out=np.zeros(k), where=mass > 0), 0, None)
-    scale = np.divide(1.0, mass, out=np.zeros(k), where=mass > 0)
-    dot = lambda v: sum((F.col("p")[i] * float(v[i]) for i in range(k)), F.lit(0.0))
-    clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.col("cap").cast("double"))
-    current = groups.withColumn("rate", clip(dot(start)))
-    last = np.inf
-    for n in range(iterations):
-        now = current.agg(*[x.alias(f"t{i}") for i, x in enumerate(component(F.col("rate")))]).first()
-        reached = np.array([now[f"t{i}"] or 0.0 for i in range(k)])
-        off = float(np.abs(reached - goal).max())
-        if total <= 0 or off <= ACCURACY * total or off > 0.99 * last:  # reached, or no nearer than before
+    least = lambda x: float((x[wanted] / shares[wanted]).min()) if wanted.any() else 0.0
+    return mass, least(own), least(most)
+
+
+GROUP = "doc_id bigint, label string, tokens bigint, p array<double>, cap int, mass double"
+
+
+def fit_rates(groups: DataFrame, shares: np.ndarray, mass: np.ndarray, total: float, iterations: int = ITERATIONS) -> tuple[DataFrame, Fit]:
+    """Rates 0..cap of groups of documents with one membership (``GROUP``): ``groups`` plus ``rate``, and how the fit went.
+
+    Minimises the squared deviations of the sources' expected tokens from share * total, each divided by the source's mass. In the metric of the
+    documents' sizes the step 1 is safe, because the scaled Gram matrix of the memberships has no eigenvalue above 1. Steps have momentum, which
+    starts anew when the objective rises. A step is a few numbers per source, worked out on the driver from sums over all groups; workers apply the
+    steps so far to their groups and sum up again.
+    """
+    k = len(shares)
+    goal, scale = shares * total, np.divide(1.0, mass, out=np.zeros(k), where=mass > 0)
+    first = goal * scale
+
+    def applied(pdf: pd.DataFrame, steps: list) -> tuple[np.ndarray, ...]:
+        p, cap = np.stack(pdf.p.to_numpy()) if len(pdf) else np.zeros((0, k)), pdf.cap.to_numpy(dtype=float)
+        if "rate" in pdf:
+            rate, ahead = pdf.rate.to_numpy(), pdf.ahead.to_numpy()
+        else:
+            rate = ahead = np.clip(p @ first, 0, cap)
+        step = np.zeros(len(pdf))
+        for v, momentum, anew in steps:
+            new = np.clip((rate if anew else ahead) - p @ v, 0, cap)
+            rate, ahead, step = new, new + momentum * (new - rate), new - rate
+        return p, rate, ahead, step
+
+    def sums(steps: list):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(2 * k + 1)
+            for pdf in batches:
+                p, rate, ahead, step = applied(pdf, steps)
+                m = pdf.mass.to_numpy()
+                out += np.concatenate([(m * rate) @ p, (m * ahead) @ p, [m @ np.abs(step)]])
+            yield pd.DataFrame({"s": [out]})
+
+        return run
+
+    def state(steps: list):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                _, rate, ahead, _ = applied(pdf, steps)
+                yield pdf.assign(rate=rate, ahead=ahead)
+
+        return run
+
+    columns = [c.split()[0] for c in GROUP.split(", ")]
+    current, steps, t, last = groups.select(*columns), [], 1.0, np.inf
+    for n in range(iterations + 1):
+        now = np.sum([r.s for r in current.mapInPandas(sums(steps), "s array<double>").collect()], axis=0)  # a row for each partition
+        reached, ahead, moved = now[:k], now[k : 2 * k], now[-1]
+        off = float(np.abs(reached - goal).max()) / total if total > 0 else 0.0
+        ended = "reached" if off <= ACCURACY else "optimum" if n and moved <= STILL * total else "iterations" if n == iterations else ""
+        if ended:
             break
-        last = off
-        current = current.withColumn("rate", clip(F.col("rate") - dot((reached - goal) * scale)))
-        if n % 10 == 9:
-            current = checkpointed(current)
-    return current, total, n
+        value = float((scale * (reached - goal) ** 2).sum())
+        anew = value > last  # momentum has overshot: on from the rates themselves
+        t, last = 1.0 if anew else t, value
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        steps.append((((reached if anew else ahead) - goal) * scale, float((t - 1) / after), anew))
+        t = after
+        if len(steps) == REPLAY:
+            current, steps = checkpointed(current.mapInPandas(state(steps), GROUP + ", rate double, ahead double")), []
+    return current.mapInPandas(state(steps), GROUP + ", rate double, ahead double").drop("ahead"), Fit(total, n, off, ended)
 
 
 def size_class(tokens: Column) -> Column:
     return F.when(tokens <= EXACT, tokens).otherwise(EXACT + F.floor(F.log2(tokens / EXACT) * PER_OCTAVE)).cast("long")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """How often to use every document: ``doc_id, label, tokens, p, rate, cap, uses``, documents with no use included.
+SCHEMA = "doc_id bigint, label string, tokens bigint, p array<double>, rate double, cap int, uses bigint"
+
+
+def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, Fit]:
+    """How often to use every document: ``doc_id, label, tokens, p, rate, cap, uses``, documents with no use included; and how the fit went.
 
     ``documents`` has ``doc_id`` (unique), ``source, tokens, repo, author_email, lang, text``; ``targets`` has ``source_name, target_share, max_repeats``
     (a small table; rows with a null are ignored). A source that compares equal after ``source_name`` labels a document; null and unknown
-    sources leave it to the classifier, and such a document is used at most as often as every source allows. Without ``total`` the
-    largest total is taken of which all sources can fill their shares with their own documents. Empty texts have no tokens and rate 0. Empty tables give no rows.
+    sources leave it to the classifier, and such a document is used at most as often as every source allows. Without ``total`` the largest total is
+    taken whose shares all sources can fill, with their own documents and the expected tokens of the others: what the own documents suffice for if that is
+    NEARLY the upper bound, else the bound, or if it can't be reached what BISECTIONS halvings find between the two. Empty texts have no tokens and rate 0. Empty tables
+    give no rows.
     """
     wanted = sorted((r[0], float(r[1]), int(r[2])) for r in targets.select(source_name("source_name"), "target_share", "max_repeats").distinct().collect() if None not in tuple(r))
     names, shares, caps = [w[0] for w in wanted], np.array([w[1] for w in wanted]), np.array([max(0, w[2]) for w in wanted])
     spark = documents.sparkSession
     if not names:
-        return spark.createDataFrame([], "doc_id bigint, label string, tokens bigint, p array<double>, rate double, cap int, uses bigint")
+        return spark.createDataFrame([], SCHEMA), Fit(0.0, 0, 0.0, "reached")
     label = source_name("source")
     labelled = documents.withColumn("label", F.when(label.isin(names), label))
     members = posteriors(labelled, names)
     cap = F.coalesce(F.element_at(F.create_map(*[x for n, c in zip(names, caps) for x in (F.lit(n), F.lit(int(c)))]), F.col("label")), F.lit(int(caps.min())))
     members = checkpointed(members.withColumn("cap", cap))
-    groups = members.filter("tokens > 0").groupBy("p", "cap").agg(F.sum("tokens").cast("double").alias("mass"))
-    rates, _, _ = fit_rates(checkpointed(groups), shares, caps, total)
-    d = members.join(rates.select("p", "cap", "rate"), ["p", "cap"], "left").withColumn("rate", F.when(F.col("tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0))
+    # labelled documents of one source move alike: one group for each source; every other document is a group of its own
+    some = members.filter("tokens > 0")
+    sure = some.filter("label is not null").groupBy("label").agg(F.first("p").alias("p"), F.first("cap").alias("cap"), F.sum("tokens").cast("double").alias("mass"))
+    columns = ["doc_id", "label", "tokens", "p", "cap", F.col("tokens").cast("double").alias("mass")]
+    groups = some.filter("label is null").select(*columns).unionByName(sure.select(F.lit(None).cast("bigint").alias("doc_id"), "label", F.lit(None).cast("bigint").alias("tokens"), "p", "cap", "mass"))
+    groups = checkpointed(groups.hint("rebalance"))  # few rows, read once for each iteration
+    mass, own, most = reachable(groups, shares)
+    aim = total if total is not None else own if own >= NEARLY * most else most
+    rates, fit = fit_rates(groups, shares, mass, aim)
+    if total is None and aim > own and fit.deviation > ACCURACY:
+        low, high, (rates, fit) = own, most, fit_rates(groups, shares, mass, own)
+        for _ in range(BISECTIONS):
+            middle = fit_rates(groups, shares, mass, (low + high) / 2)
+            if middle[1].deviation <= ACCURACY:
+                low, (rates, fit) = (low + high) / 2, middle
+            else:
+                high = (low + high) / 2
+    rates = checkpointed(rates)
+    by_source = rates.filter("label is not null").select("label", "rate")  # a row for each source
+    hard = members.filter("label is not null").join(F.broadcast(by_source), "label", "left").withColumn("rate", F.when(F.col("tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0))
+    keep = ["doc_id", "label", "tokens", "p", "cap", "rate"]
+    d = hard.select(*keep).unionByName(rates.filter("label is null").select(*keep))
+    d = d.unionByName(members.filter("label is null and coalesce(tokens, 0) <= 0").select(*keep[:-1], F.lit(0.0).alias("rate")))
     d = checkpointed(d.withColumn("_class", size_class(F.col("tokens"))))
-    return _rounded(d)
+    return _rounded(d), fit
 
 
 def _rounded(d: DataFrame) -> DataFrame:
@@ -192,8 +272,9 @@ def _rounded(d: DataFrame) -> DataFrame:
     return fractional.select(*columns).unionByName(whole.select(*columns))
 
 
-def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: target share, share of the tokens really used (by label), expected share with the unlabelled documents' posteriors, documents, most uses."""
+def reached_shares(mixed: DataFrame, fit: Fit, targets: DataFrame) -> DataFrame:
+    """Per source: target share, share of the tokens really used (by label), expected share with the unlabelled documents' posteriors, documents, most uses;
+    and of the whole fit the deviation (of the total), the iterations and why it ended."""
     names = sorted(r[0] for r in targets.select(source_name("source_name"), "target_share", "max_repeats").distinct().collect() if None not in tuple(r))
     used = F.col("tokens") * F.col("uses")
     listed = F.array(*[F.struct(F.lit(n).alias("source"), (F.col("p")[i]).alias("w")) for i, n in enumerate(names)])
@@ -205,4 +286,4 @@ def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.select(source_name("source_name").alias("source"), "target_share", "max_repeats").distinct()
     total = mixed.agg(F.sum(used).alias("total"))
     d = t.join(per, "source", "left").join(F.broadcast(total))  # one row
-    return d.select("source", "target_share", (F.col("tokens") / F.col("total")).alias("labelled_share"), (F.col("expected_tokens") / F.col("total")).alias("expected_share"), "tokens", "documents", "max_repeats", "most_uses")
+    return d.select("source", "target_share", (F.col("tokens") / F.col("total")).alias("labelled_share"), (F.col("expected_tokens") / F.col("total")).alias("expected_share"), "tokens", "documents", "max_repeats", "most_uses", F.lit(fit.deviation).alias("deviation"), F.lit(fit.iterations).alias("iterations"), F.lit(fit.ended).alias("ended"))

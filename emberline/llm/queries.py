@@ -47,14 +47,14 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mixing.Fit, DataFrame]:
     documents = tokens.sized(table(spark, sf_dir, "documents"), "source", "repo", "author_email", "lang", "text")
     targets = table(spark, sf_dir, "mix_targets")
-    return mixing.mixture(documents, targets), targets
+    return *mixing.mixture(documents, targets), targets
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, _ = _mixture(spark, sf_dir)
+    mixed, _, _ = _mixture(spark, sf_dir)
     return mixed.select("doc_id", "label", "tokens", F.round("rate", 9).alias("rate"), "cap", "uses")
 
 

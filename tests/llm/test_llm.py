@@ -135,7 +135,9 @@ def documents(spark, n=600):
 def test_mixture_meets_targets_within_caps(spark):
     d, names = documents(spark)
     t = spark.createDataFrame([("forge_main", 0.5, 1), ("patch-mail", 0.3, 2), ("LAB_NOTES", 0.2, 4), ("gone", None, 1)], "source_name string, target_share double, max_repeats int")
-    m = mixing.mixture(d, t).collect()
+    mixed, fit = mixing.mixture(d, t)
+    m = mixed.collect()
+    assert fit.ended == "reached" and fit.deviation <= mixing.ACCURACY
     cap = {"forge_main": 1, "patch_mail": 2, "lab_notes": 4, None: 1}
     assert len(m) == 600 and all(0 <= r.uses <= cap[r.label] for r in m)
     used = Counter()
@@ -145,8 +147,38 @@ def test_mixture_meets_targets_within_caps(spark):
     total = sum(used.values())
     shares = {n: used[n] / total for n in names}
     assert shares["forge_main"] == pytest.approx(0.5, abs=0.02) and shares["patch_mail"] == pytest.approx(0.3, abs=0.02) and shares["lab_notes"] == pytest.approx(0.2, abs=0.02)
-    assert mixing.mixture(d.limit(0), t).count() == 0
-    assert mixing.mixture(d, t.limit(0)).count() == 0
+    assert mixing.mixture(d.limit(0), t)[0].count() == 0
+    assert mixing.mixture(d, t.limit(0))[0].count() == 0
+
+
+def test_mixture_of_half_unlabelled_documents_and_a_hot_source(spark):
+    d, names = documents(spark)
+    # of each source every second document has lost its label; nine of ten tokens are one source's
+    d = d.withColumn("source", mixing.F.when(d.doc_id % 2 == 0, d.source)).withColumn("tokens", mixing.F.when(mixing.F.col("repo") == "forge_main/r", d.tokens * 20).otherwise(d.tokens))
+    t = spark.createDataFrame([("forge_main", 0.5, 1), ("patch_mail", 0.3, 2), ("lab_notes", 0.2, 4)], "source_name string, target_share double, max_repeats int")
+    mixed, fit = mixing.mixture(d, t)
+    r = {x.source: x for x in mixing.reached_shares(mixed, fit, t).collect()}
+    assert fit.ended == "reached" and fit.deviation <= mixing.ACCURACY and fit.iterations < mixing.ITERATIONS
+    assert all(abs(x.expected_share - x.target_share) < 0.1 for x in r.values())  # whole uses of few large documents
+    m = mixed.collect()
+    rated = [sum(x.p[i] * x.tokens * x.rate for x in m) for i in range(3)]
+    assert np.allclose(np.array(rated) / sum(rated), [0.5, 0.2, 0.3], atol=1e-4)
+    assert len(m) == 600 and all(0 <= x.uses <= x.cap for x in m)
+    # the unlabelled documents' tokens count: at least what the labelled ones of the scarcest source allow
+    assert fit.total >= sum(x.tokens * 4 for x in m if x.label == "lab_notes") / 0.2
+
+
+def test_a_total_out_of_reach_ends_at_the_optimum(spark):
+    g = [(1, "a", None, [1.0, 0.0], 1, 100.0), (2, "b", None, [0.0, 1.0], 2, 10.0), (3, None, 30, [0.5, 0.5], 1, 30.0), (4, None, 20, [0.9, 0.1], 1, 20.0)]
+    groups = spark.createDataFrame(g, mixing.GROUP).coalesce(1)
+    shares = np.array([0.5, 0.5])
+    mass, own, most = mixing.reachable(groups, shares)
+    assert (list(mass), own, most) == ([133.0, 27.0], 40.0, 74.0)
+    rates, fit = mixing.fit_rates(groups, shares, mass, 60.0)
+    assert fit.ended == "reached" and fit.deviation <= mixing.ACCURACY
+    rates, far = mixing.fit_rates(groups, shares, mass, 200.0)
+    r = {x.doc_id: x.rate for x in rates.collect()}
+    assert far.ended == "optimum" and far.deviation == pytest.approx((100 - 37) / 200, abs=1e-3) and (r[2], r[3], r[4]) == (2.0, 1.0, 1.0) and r[1] == pytest.approx(0.67, abs=0.01)
 
 
 def test_posteriors_find_the_source(spark):
