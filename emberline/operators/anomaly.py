@@ -2,7 +2,8 @@
 
 One hidden Markov model per source with the states normal, spike, stuck and out-of-range. What a source normally does is learned
 from all its captures: the range of its sustained operation and the noise at both ends of it (gauges), its highest sustained
-rate (counters), and how often two successive readings are equal. Forward-backward probabilities and hard bounds set the flags.
+rate (counters), and how often two successive readings are equal. A first forward-backward pass over all readings gives the expected number of every
+transition and how far normal readings stray beyond the range, summed per source; with them the model is estimated anew, and a second pass and hard bounds set the flags.
 
 Readings are cut into chunks of time per source and capture, sorted once by Spark and handed on as arrays; a hot source or capture is
 thus spread over many tasks, and per source only a row of statistics is kept.
@@ -24,17 +25,23 @@ HOUR = 3_600_000_000
 #: A chunk's length, and how much of the neighbours' readings it sees around its own.
 CHUNK, MARGIN = 24 * HOUR, HOUR // 2
 NORMAL, SPIKE, STUCK, OUTSIDE = range(4)
-#: Log densities of the model. An excursion is normal with a normal density of WIDE noise widths beyond the sustained
+#: Where the estimation starts from. An excursion is normal with a normal density of WIDE noise widths beyond the sustained
 #: range, or a spike with a flat one; equal successive readings have probability 1 if stuck and the source's own otherwise,
 #: never taken as less than LEAST_EQUAL.
 WIDE, SPIKE_DENSITY, IN_RANGE_SPIKE, LEAST_EQUAL = 1.8, 1e-4, 1e-6, 0.08
 MOVES = np.array([[1 - 1.1e-3 - 1e-5, 1e-3, 1e-5, 1e-4], [0.7, 0.2, 1e-5, 0.1], [1 / 30, 1e-3, 1 - 1 / 30 - 2e-3, 1e-3], [0.7, 0.1, 1e-5, 0.2]])
+#: What the start weighs against a source's own readings: as many transitions out of each state, and readings beyond the range.
+PRIOR = 500.0
+#: Watts beyond any node's reach.
+NODE_WATTS = 100_000.0
+#: Readings that are judged at a time, which bounds a worker's memory.
+READINGS = 400_000
 MOVES = MOVES / MOVES.sum(axis=1, keepdims=True)
 #: Window of the running median that defines sustained operation (more than half of it), and length from which a run of equal
 #: readings doesn't count as normal behaviour when the source's statistics are taken.
 WINDOW, LONG_RUN = 11, 8
-#: Counters: how many readings back the course may be taken up again, what a break of the course costs (in readings) if the
-#: counter starts anew and otherwise, and how far the rate may exceed the highest sustained one.
+#: Counters: the readings before that are tried one by one for the course to go on from (and always the end of the best course so far, however long
+#: ago), what a break of the course costs (in readings) if the counter starts anew and otherwise, and how far the rate may exceed the highest sustained one.
 BACK, RESTART, BREAK, SLACK = 8, 0.5, 3.5, 1.5
 
 SEQUENCES = "series_id string, capture_id bigint, kind string, n int, lo double, hi double, noise_lo double, noise_hi double, pairs bigint, equal bigint, seq binary"
@@ -117,8 +124,8 @@ def _sustained(seq: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray,
     """Lowest and highest running median of every sequence; NaN for one that is shorter than the window."""
     lo = hi = np.full(count, np.nan)
     if len(x) >= WINDOW:
-        windows = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::2]
-        first, last = seq[: len(x) - WINDOW + 1 : 2], seq[WINDOW - 1 :: 2]
+        windows = np.lib.stride_tricks.sliding_window_view(x, WINDOW)
+        first, last = seq[: len(x) - WINDOW + 1], seq[WINDOW - 1 :]
         whole = first == last
         if whole.any():
             middle = np.partition(windows[whole], WINDOW // 2, axis=1)[:, WINDOW // 2]
@@ -180,59 +187,128 @@ def source_statistics(seqs: DataFrame) -> DataFrame:
 
 
 def implausible(samples: DataFrame, least: int = 50_000, chunk: int = CHUNK, margin: int = MARGIN) -> DataFrame:
-    """``sample_id, flag, probability`` of every implausible row of the metric matrix; flag is spike, stuck or out_of_range.
+    """``sample_id, flag, probability`` of every implausible row of the metric matrix; flag is spike, stuck, out_of_range, or local: a spike that stays
+    within what its source shows elsewhere, but is far from its readings around it.
 
     Rows with a null in source, capture, time or id, and texts that state no number (NaN, empty) are no readings: they are
     neither flagged nor do they end a run of equal readings. Repeated rows of one reading share its verdict. An empty table gives
     no rows; a source none of whose captures has WINDOW readings shows no range of its own and is judged by hard bounds and runs only.
     """
-    seqs = checkpointed(sequences(samples, chunk, margin))  # sorted and summarised once, read three times
+    seqs = checkpointed(sequences(samples, chunk, margin))  # sorted and summarised once, read four times
     key = ["series_id"]
     hot = hot_keys(seqs, key, least=max(1, least // 1000))
     left = salted(seqs.drop("lo", "hi", "noise_lo", "noise_hi", "pairs", "equal").withColumn("_row", F.xxhash64("capture_id", F.md5("seq"))), hot, key, "_row").drop("_row")
-    joined = left.join(copied(source_statistics(seqs), hot, key), ["series_id", "_salt"])
-    return joined.select("kind", "seq", "s_lo", "s_hi", "s_noise_lo", "s_noise_hi", "s_equal").mapInPandas(_judge, FLAGS)
-
-
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    kinds = {"counter": _judge_counters, "gauge": _judge_gauges, "ratio": _judge_gauges}
-    dtype = np.dtype([("t", "<i8"), ("v", "<f8"), ("id", "<i8"), ("own", "<i1")])
-    for pdf in batches:
-        for kind, judge in kinds.items():
-            part = pdf[pdf.kind == kind]
-            lengths = part.seq.map(len).to_numpy() // dtype.itemsize
-            part = part.iloc[np.argsort(lengths, kind="stable")]
-            for i in range(0, len(part), 512):
-                yield _flags(part.iloc[i : i + 512], dtype, judge, kind == "ratio")
-
-
-def _flags(part: pd.DataFrame, dtype: np.dtype, judge, ratio: bool) -> pd.DataFrame:
-    arrays = [np.frombuffer(b, dtype) for b in part.seq]
+    columns = ["series_id", "kind", "seq", "s_lo", "s_hi", "s_noise_lo", "s_noise_hi", "s_equal", "moves", "wide"]
+    start = source_statistics(seqs).withColumn("moves", F.array(*[F.lit(float(x)) for x in MOVES.ravel()])).withColumn("wide", F.lit(WIDE))
+    expected = left.join(copied(start, hot, key), ["series_id", "_salt"]).select(*columns).mapInPandas(_expect, EXPECTED)
+    sums = expected.groupBy("series_id").agg(*[F.sum(F.col("moved")[i]).alias(f"_m{i}") for i in range(16)], F.sum("beyond").alias("_beyond"), F.sum("squares").alias("_squares"))
+    # transitions and the spread of normal excursions as expected under the first model, with the start as prior
+    row = [sum((F.col(f"_m{4 * i + j}") for j in range(4)), F.lit(PRIOR)) for i in range(4)]
+    moves = F.array(*[(F.col(f"_m{4 * i + j}") + PRIOR * float(MOVES[i, j])) / row[i] for i in range(4) for j in range(4)])
+    wide = F.sqrt((F.col("_squares") + PRIOR * WIDE**2) / (F.col("_beyond") + PRIOR))
+    model = start.drop("moves", "wide").join(sums.select("series_id", moves.alias("moves"), wide.alias("wide")), "series_id")
+    return left.join(copied(model, hot, key), ["series_id", "_salt"]).select(*columns).mapInPandas(_judge, FLAGS)
+
+
+EXPECTED = "series_id string, moved array<double>, beyond double, squares double"
+READING = np.dtype([("t", "<i8"), ("v", "<f8"), ("id", "<i8"), ("own", "<i1")])
+STATISTICS = ("s_lo", "s_hi", "s_noise_lo", "s_noise_hi", "s_equal", "wide")
+
+
+def _parts(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
+    """Sequences of one kind and like length, at most READINGS readings (or one sequence) at a time."""
+    for kind in ("counter", "gauge", "ratio"):
+        part = pdf[pdf.kind == kind]
+        n = part.seq.map(len).to_numpy() // READING.itemsize
+        order = np.argsort(n, kind="stable")
+        part, n = part.iloc[order], n[order]
+        a = 0
+        while a < len(part):
+            # sequences are padded to the longest, the last of them: as many as fit
+            z = a + max(1, int(np.searchsorted(n[a:] * np.arange(1, len(n) - a + 1), READINGS, side="right")))
+            yield kind, part.iloc[a:z]
+            a = z
+
+
+def _read(kind: str, part: pd.DataFrame):
+    """Rows of the sequences, their readings (repeated rows once) and what the model knows of their sources."""
+    arrays = [np.frombuffer(b, READING) for b in part.seq]
     rows = np.concatenate(arrays)
     seq = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
     t, v = rows["t"] / 1e6, rows["v"]
     fresh = np.ones(len(rows), bool)
     fresh[1:] = (rows["t"][1:] != rows["t"][:-1]) | (v[1:] != v[:-1]) | (seq[1:] != seq[:-1])
-    reading = np.cumsum(fresh) - 1
-    stats = {c: part[c].to_numpy(dtype=float, na_value=np.nan) for c in ("s_lo", "s_hi", "s_noise_lo", "s_noise_hi", "s_equal")}
-    flag, probability = judge(seq[fresh], t[fresh], v[fresh], stats, ratio)
-    out = flag[reading]
-    hit = (out != NORMAL) & (rows["own"] == 1)
-    names = np.array(["normal", "spike", "stuck", "out_of_range"], dtype=object)
-    return pd.DataFrame({"sample_id": rows["id"][hit], "flag": names[out[hit]], "probability": np.round(probability[reading][hit], 6)})
+    stats = {c: part[c].to_numpy(dtype=float, na_value=np.nan) for c in STATISTICS}
+    stats["moves"] = np.stack(part.moves.to_numpy()).reshape(-1, 4, 4)
+    own = rows["own"][fresh] == 1
+    look = _look_at_counters if kind == "counter" else _look_at_gauges
+    beyond, local, impossible = look(seq[fresh], t[fresh], v[fresh], stats, kind == "ratio")
+    return rows, np.cumsum(fresh) - 1, seq[fresh], v[fresh], own, beyond, local, impossible, stats
+
+
+def _expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for kind, part in _parts(pdf):
+            _, _, seq, v, own, beyond, local, impossible, stats = _read(kind, part)
+            post, moved = _posteriors(seq, v, beyond, impossible, stats, own)
+            near = (beyond > 0) & (beyond < 1e5) & own & ~impossible
+            count = len(part)
+            normal = np.bincount(seq[near], post[near, NORMAL], minlength=count)
+            squares = np.bincount(seq[near], post[near, NORMAL] * beyond[near] ** 2, minlength=count)
+            yield pd.DataFrame({"series_id": part.series_id.to_numpy(), "moved": list(moved.reshape(count, 16)), "beyond": normal, "squares": squares})
 
 
-def _judge_gauges(seq, t, v, stats, ratio):
-    impossible = (v < 0) | ~np.isfinite(v) | (ratio & (v > 1))
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = np.array(["normal", "spike", "stuck", "out_of_range", "local"], dtype=object)
+    for pdf in batches:
+        for kind, part in _parts(pdf):
+            rows, reading, seq, v, own, beyond, local, impossible, stats = _read(kind, part)
+            flag, probability = _decide(seq, v, beyond, impossible, stats)
+            # in range, but far from the level around: a spike between two normal readings against a normal one
+            move, wide = stats["moves"][seq], stats["wide"][seq]
+            spike = SPIKE_DENSITY * move[:, NORMAL, SPIKE] * move[:, SPIKE, NORMAL]
+            normal = np.exp(np.maximum(-0.5 * (local / wide) ** 2, -600)) / (wide * 2.5) * move[:, NORMAL, NORMAL] ** 2
+            far = (flag == NORMAL) & (local > 0) & (spike > normal)
+            flag, probability = np.where(far, LOCAL, flag), np.where(far, spike / (spike + normal), probability)
+            out = flag[reading]
+            hit = (out != NORMAL) & (rows["own"] == 1)
+            yield pd.DataFrame({"sample_id": rows["id"][hit], "flag": names[out[hit]], "probability": np.round(probability[reading][hit], 6)})
+
+
+#: A reading within its source's range counts as far off only beyond this many noise widths from the median around it.
+LOCAL, FAR = 4, 12.0
+
+
+def _look_at_gauges(seq, t, v, stats, ratio):
+    """Noise widths beyond the sustained range, noise widths from the level around (0 unless FAR), and impossible values."""
+    impossible = (v < 0) | ~np.isfinite(v) | ((v > 1) if ratio else (v > NODE_WATTS))
     lo, hi = stats["s_lo"][seq], stats["s_hi"][seq]
     width = lambda noise, level: np.maximum(np.nan_to_num(stats[noise][seq]) / 0.954, 0.004 * np.abs(level) + 1e-12)  # noqa: E731  median step of normal noise
+    up, down = width("s_noise_hi", hi), width("s_noise_lo", lo)
     with np.errstate(all="ignore"):
-        beyond = np.where(v > hi, (v - hi) / width("s_noise_hi", hi), np.where(v < lo, (lo - v) / width("s_noise_lo", lo), 0.0))
+        beyond = np.where(v > hi, (v - hi) / up, np.where(v < lo, (lo - v) / down, 0.0))
+        off = np.abs(v - _level(seq, v)) / np.maximum(up, down)
     beyond = np.where(impossible | np.isnan(beyond), 0.0, np.minimum(beyond, 1e6))
-    return _decide(seq, v, beyond, impossible, stats["s_equal"])
+    off = np.where(impossible | np.isnan(off) | (off < FAR), 0.0, np.minimum(off, 1e6))
+    return beyond, off, impossible
+
+
+def _level(seq: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Median of the WINDOW readings around each (at a sequence's ends of its first or last ones); NaN in shorter sequences."""
+    out = np.full(len(v), np.nan)
+    if len(v) >= WINDOW:
+        windows = np.lib.stride_tricks.sliding_window_view(v, WINDOW)
+        middle = np.partition(windows, WINDOW // 2, axis=1)[:, WINDOW // 2]
+        length = np.bincount(seq)
+        end = np.cumsum(length)
+        start = (end - length)[seq]
+        at = np.clip(np.arange(len(v)) - WINDOW // 2, start, np.maximum(end[seq] - WINDOW, start))
+        whole = length[seq] >= WINDOW
+        out[whole] = middle[at[whole]]
+    return out
 
 
-def _judge_counters(seq, t, v, stats, ratio):
+def _look_at_counters(seq, t, v, stats, ratio):
     impossible = (v < 0) | ~np.isfinite(v)
     run, length = _runs(v, seq)
     first = np.ones(len(v), bool)
@@ -240,7 +316,7 @@ def _judge_counters(seq, t, v, stats, ratio):
     usable = ~impossible & (first | (length[run] < LONG_RUN))  # of a long run only the first reading can lie on the course
     off = np.zeros(len(v), bool)
     off[usable] = ~_on_course(seq[usable], t[usable], v[usable], stats["s_hi"])
-    return _decide(seq, v, np.where(off, 1e6, 0.0), impossible, stats["s_equal"])
+    return np.where(off, 1e6, 0.0), np.zeros(len(v)), impossible
 
 
 def _padded(seq: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +333,7 @@ def _on_course(seq: np.ndarray, t: np.ndarray, v: np.ndarray, top_rate: np.ndarr
     steps = int(length.max()) if len(length) else 0
     T, V = np.full((steps, count), np.nan), np.full((steps, count), np.nan)
     T[pos, seq], V[pos, seq] = t, v
-    rate = np.where(np.isnan(top_rate), np.inf, top_rate) * SLACK
+    rate = np.where(np.isnan(top_rate), NODE_WATTS, top_rate * SLACK)
     score, back = np.full((steps, count), -np.inf), np.full((steps, count), -1, np.int32)
     top, top_at = np.full(count, 0.0), np.full(count, -1, np.int32)  # best score of any course so far and where it ends
     cols = np.arange(count)
@@ -267,6 +343,9 @@ def _on_course(seq: np.ndarray, t: np.ndarray, v: np.ndarray, top_rate: np.ndarr
             gap = T[i] - T[i - 1] if i else np.full(count, np.inf)
             anew = V[i] <= rate * np.maximum(gap, 1.0) * 2
             best, at = top - np.where((i == 0) | (top_at < 0), 0.0, np.where(anew, RESTART, BREAK)), top_at.copy()
+            if i:  # however long a disturbance is, the best course so far may go on after it
+                rise, span = V[i] - V[top_at, cols], T[i] - T[top_at, cols]
+                best = np.where((top_at >= 0) & (rise >= 0) & (rise <= rate * span + 1e-9 * np.abs(V[i])), top, best)
             for j in range(1, min(BACK, i) + 1):
                 rise, span = V[i] - V[i - j], T[i] - T[i - j]
                 fits = (rise >= 0) & (rise <= rate * span + 1e-9 * np.abs(V[i]))
@@ -284,16 +363,18 @@ def _on_course(seq: np.ndarray, t: np.ndarray, v: np.ndarray, top_rate: np.ndarr
     return on[pos, seq]
 
 
-def _decide(seq: np.ndarray, v: np.ndarray, beyond: np.ndarray, impossible: np.ndarray, p_equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over all sequences at once; the most probable state of every reading and its probability."""
-    count = len(p_equal)
+def _posteriors(seq: np.ndarray, v: np.ndarray, beyond: np.ndarray, impossible: np.ndarray, stats: dict, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Forward-backward over all sequences at once: the states' probabilities of every reading, and with ``own`` the expected transitions of every
+    sequence into its own readings."""
+    count = len(stats["s_equal"])
+    moves, wide = stats["moves"], stats["wide"][seq]
     same = np.zeros(len(v), bool)
     same[1:] = (seq[1:] == seq[:-1]) & (v[1:] == v[:-1])
     began = np.zeros(len(v), bool)
     began[1:] = seq[1:] == seq[:-1]
-    p = np.maximum(np.nan_to_num(p_equal, nan=LEAST_EQUAL), LEAST_EQUAL)[seq]
+    p = np.maximum(np.nan_to_num(stats["s_equal"], nan=LEAST_EQUAL), LEAST_EQUAL)[seq]
     plain = np.where(same, p, np.where(began, 1 - p, 1.0))
-    normal = np.exp(np.maximum(-0.5 * (beyond / WIDE) ** 2, -600)) / (WIDE * 2.5)
+    normal = np.exp(np.maximum(-0.5 * (beyond / wide) ** 2, -600)) / (wide * 2.5)
     spike = np.where(beyond > 0, SPIKE_DENSITY, IN_RANGE_SPIKE)
     E = np.empty((len(v), 4))
     E[:, NORMAL], E[:, SPIKE] = normal * plain, spike * plain
@@ -310,16 +391,32 @@ def _decide(seq: np.ndarray, v: np.ndarray, beyond: np.ndarray, impossible: np.n
     a = np.tile(np.array([0.97, 0.01, 0.01, 0.01]), (count, 1)) * B[0]
     A[0] = a = a / a.sum(axis=1, keepdims=True)
     for i in range(1, steps):
-        a = (a @ MOVES) * B[i]
+        a = (a[:, None, :] @ moves)[:, 0] * B[i]
         a /= a.sum(axis=1, keepdims=True)
         A[i] = a
+    moved = None if own is None else np.zeros((count, 4, 4))
+    counts = np.zeros((steps, count))
+    if own is not None:
+        counts[pos, seq] = own
+    back = np.ascontiguousarray(moves.transpose(0, 2, 1))
     b = np.ones((count, 4))
     for i in range(steps - 2, -1, -1):
-        b = (b * B[i + 1]) @ MOVES.T
+        ahead = b * B[i + 1]
+        if moved is not None:
+            x = A[i][:, :, None] * moves * ahead[:, None, :]
+            moved += x * (counts[i + 1] / x.sum(axis=(1, 2)))[:, None, None]
+        b = (ahead[:, None, :] @ back)[:, 0]
         b /= b.sum(axis=1, keepdims=True)
         A[i] *= b
     post = A[pos, seq]
-    post /= post.sum(axis=1, keepdims=True)
+    return post / post.sum(axis=1, keepdims=True), moved
+
+
+def _decide(seq: np.ndarray, v: np.ndarray, beyond: np.ndarray, impossible: np.ndarray, stats: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The most probable state of every reading and its probability."""
+    same = np.zeros(len(v), bool)
+    same[1:] = (seq[1:] == seq[:-1]) & (v[1:] == v[:-1])
+    post, _ = _posteriors(seq, v, beyond, impossible, stats)
     flag, probability = post.argmax(axis=1), post.max(axis=1)
     flag = np.where(impossible, OUTSIDE, flag)
     # the whole run counts as stuck, its first reading included

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from emberline.operators import anomaly, asknown, intervals, regrid
@@ -236,3 +237,47 @@ def test_course_of_a_counter():
     v = np.array([0, 100, 200, 50, 60, 500, 600, 700.0])
     on = anomaly._on_course(np.zeros(8, int), t, v, np.array([10.0]))
     assert on.tolist() == [True, True, True, False, False, True, True, True]
+
+
+def test_spikes_within_the_source_range_are_local(spark):
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    rng, t0, data = random.Random(7), datetime(2024, 1, 1, tzinfo=timezone.utc), []
+    for capture, level in ((1, 100.0), (2, 180.0)):
+        for i in range(300):
+            v = level + rng.gauss(0, 0.5)
+            if (capture, i) in ((1, 150), (1, 151)):
+                v = 178.0
+            if (capture, i) == (2, 80):
+                v = 101.0
+            if (capture, i) == (2, 200):
+                v = 400.0
+            data.append((len(data), capture, "s", "n", "kepler_node_cpu_watts", "package", t0 + timedelta(hours=2 * capture, seconds=15 * i), f"{v:.3f}"))
+    d = spark.createDataFrame(data, "sample_id bigint, capture_id bigint, series_id string, node_name string, metric_name string, rapl_zone string, sample_ts timestamp, sample_value string")
+    assert {r.sample_id: r.flag for r in anomaly.implausible(d).collect()} == {150: "local", 151: "local", 380: "local", 500: "spike"}
+
+
+def test_a_course_goes_on_after_a_disturbance_of_any_length():
+    n, gone = 48, range(20, 45)
+    t = np.arange(n, dtype=float) * 10
+    v = np.array([1000.0 + 5 * i if i not in gone else 9e5 - 1000 * i for i in range(n)])
+    on = anomaly._on_course(np.zeros(n, int), t, v, np.array([0.6]))
+    assert [i for i in range(n) if not on[i]] == list(gone)
+
+
+def test_batches_hold_a_bounded_number_of_readings(monkeypatch):
+    monkeypatch.setattr(anomaly, "READINGS", 1000)
+    sizes = [5, 5, 700, 40, 40, 40, 3000, 900]
+    pdf = pd.DataFrame({"kind": ["gauge"] * 7 + ["counter"], "seq": [bytes(anomaly.READING.itemsize * n) for n in sizes]})
+    parts = [[len(x) // anomaly.READING.itemsize for x in p.seq] for _, p in anomaly._parts(pdf)]
+    assert sorted(x for p in parts for x in p) == sorted(sizes) and all(len(p) == 1 or len(p) * max(p) <= 1000 for p in parts)
+
+
+def test_the_model_is_learned_from_the_readings():
+    moves, steps = np.tile(anomaly.MOVES, (1, 1, 1)), 400
+    stats = {"s_equal": np.array([0.1]), "moves": moves, "wide": np.array([anomaly.WIDE])}
+    beyond = np.where(np.arange(steps) % 8 == 3, 500.0, 0.0)
+    v = np.arange(steps, dtype=float)
+    post, moved = anomaly._posteriors(np.zeros(steps, int), v, beyond, np.zeros(steps, bool), stats, np.ones(steps, bool))
+    assert moved.sum() == pytest.approx(steps - 1) and moved[0, 0, 1] / moved[0, 0].sum() == pytest.approx(1 / 7, abs=0.01)
