@@ -135,26 +135,52 @@ def job_report(samples: DataFrame, pods: DataFrame, carbon: DataFrame, zone: str
     return d.withColumn("watts", F.when(F.col("end") > F.col("start"), F.col("joules") / (F.col("end") - F.col("start")))).withColumn("valid", valid)
 
 
-def node_context(job_joules: DataFrame, node: DataFrame, cpu: DataFrame) -> DataFrame:
-    """Per job: the node's total, active and idle energy over its time, mean and highest CPU ratio (at most 1), and the job's share of the active energy.
+def node_energy(counters: DataFrame, jobs: DataFrame, kinds: list[str], tolerance: float = 90.0, buffer: float = 60.0, sequence: str | None = None) -> DataFrame:
+    """``job, resets`` and for every kind of node counter ``<kind>_joules``, measured over the job's time; null where the node has no such counter or it can't be measured.
 
-    ``node`` has ``job, total_joules, active_joules`` and ``cpu`` has ``job, ratio``; anything missing is null.
+    ``counters`` has ``node, kind, ts, joules``; ``jobs`` has ``job, node, start, end``. A job reads the samples of its own node from ``buffer`` seconds before to after.
     """
-    c = cpu.groupBy("job").agg(F.avg(F.least("ratio", F.lit(1.0))).alias("cpu_mean"), F.max(F.least("ratio", F.lit(1.0))).alias("cpu_max"))
-    d = job_joules.join(node, "job", "left").join(c, "job", "left")
-    return d.withColumn("idle_joules", F.greatest(F.col("total_joules") - F.col("active_joules"), F.lit(0.0))).withColumn("job_share", F.when(F.col("active_joules") > 0, F.col("joules") / F.col("active_joules")))
+    own = jobs.select("job", "node", "start", "end")
+    near = (F.col("ts") >= F.col("start") - tolerance - buffer) & (F.col("ts") <= F.col("end") + tolerance + buffer)
+    key = F.struct("job", "kind").alias("_key")
+    s = counters.filter(F.col("kind").isin(kinds)).join(own, "node").filter(near).select(key, "ts", "joules", *([sequence] if sequence else []))
+    w = own.select("job", "start", "end", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind")).select(key, "start", "end")
+    inc = increments(s, w, "_key", tolerance, sequence=sequence)
+    g = inc.groupBy(F.col("_key.job").alias("job")).agg(F.sum(F.col("reset").cast("long")).alias("resets"), *[F.sum(F.when(F.col("_key.kind") == k, F.col("joules"))).alias(f"{k}_joules") for k in kinds])
+    return jobs.select("job").join(g, "job", "left").withColumn("resets", F.coalesce("resets", F.lit(0)))
 
 
-def isolation(job: DataFrame, pods: DataFrame, energy: DataFrame, most: float = 0.05) -> DataFrame:
-    """Per job: energy of other pods in its time, their share, and whether the run was clean (share known and at most ``most``).
+def node_context(jobs: DataFrame, counters: DataFrame, cpu: DataFrame, tolerance: float = 90.0, sequence: str | None = None) -> DataFrame:
+    """Per job: the node's total, active and idle energy over its time, resets, mean and highest CPU ratio (cut at 1), the job's share of the active energy, and warnings.
 
-    ``energy`` has ``job, pod, joules`` of all pods seen in the job's time; those of the job itself are taken out by anti-join.
+    ``jobs`` has ``job, node, start, end, joules``; ``counters`` has ``node, kind (total, active, idle), ts, joules``; ``cpu`` has ``node, ts, ratio``. Anything missing is null.
     """
-    others = energy.join(pods.select("job", "pod"), ["job", "pod"], "left_anti").groupBy("job").agg(F.sum("joules").alias("other_joules"), F.count("*").alias("other_pods"))
-    d = job.select("job", "joules").join(others, "job", "left")
-    total = F.col("joules") + F.coalesce("other_joules", F.lit(0.0))
-    d = d.withColumn("share", F.when(total > 0, F.coalesce("other_joules", F.lit(0.0)) / total)).withColumn("other_pods", F.coalesce("other_pods", F.lit(0)))
-    return d.withColumn("clean", F.coalesce(F.col("share") <= most, F.lit(False)))
+    e = node_energy(counters, jobs, ["total", "active", "idle"], tolerance, sequence=sequence)
+    c = cpu.filter(F.col("ratio").isNotNull() & ~F.isnan("ratio")).join(jobs.select("job", "node", "start", "end"), "node").filter("ts between start and end").groupBy("job").agg(F.avg("ratio").alias("_m"), F.max("ratio").alias("_x"))
+    d = jobs.join(e, "job", "left").join(c, "job", "left")
+    share = F.when(F.col("active_joules") > 0, F.col("joules") / F.col("active_joules"))
+    notes = F.array_compact(F.array(F.when(F.col("total_joules").isNull() & F.col("active_joules").isNull(), "no node counters"), F.when(share > 1, "job energy above the node's active energy")))
+    cut = lambda x: F.when(F.col(x).isNotNull(), F.least(F.col(x), F.lit(1.0)))
+    return d.select(*jobs.columns, "total_joules", "active_joules", "idle_joules", "resets", cut("_m").alias("cpu_mean"), cut("_x").alias("cpu_max"), share.alias("job_share"), F.array_join(notes, " | ").alias("notes"))
+
+
+def isolation(job: DataFrame, pods: DataFrame, energy: DataFrame, node: DataFrame | None = None, most: float = 0.05, least_up: float = 0.99) -> DataFrame:
+    """Per job: energy of other pods in its time, their share, restarts and scrape-up ratio of the node, and whether the run was clean: a known share of at most
+    ``most``, no restart, and an up ratio (if known) of at least ``least_up``.
+
+    ``energy`` has ``job, pod, joules`` of all pods seen in the job's time, null where other pods couldn't be read; those of the job itself are taken out by
+    anti-join, and pods without energy don't count. ``node`` has ``job, restarts, up_ratio``, nulls where unknown.
+    """
+    seen = energy.groupBy("job").agg(F.max(F.col("joules").isNotNull().cast("int")).alias("_seen"))
+    others = energy.join(pods.select("job", "pod"), ["job", "pod"], "left_anti").filter("joules > 0").groupBy("job").agg(F.sum("joules").alias("other_joules"), F.count("*").alias("other_pods"))
+    d = job.select("job", "joules").join(seen, "job", "left").join(others, "job", "left")
+    d = d.withColumn("other_joules", F.when(F.col("_seen") == 1, F.coalesce("other_joules", F.lit(0.0)))).withColumn("other_pods", F.coalesce("other_pods", F.lit(0)))
+    total = F.col("joules") + F.col("other_joules")
+    d = d.withColumn("share", F.when(total > 0, F.col("other_joules") / total).when(total.isNotNull(), 0.0))
+    none = F.lit(None)
+    d = d.join(node.select("job", "restarts", "up_ratio"), "job", "left") if node is not None else d.select("*", none.cast("bigint").alias("restarts"), none.cast("double").alias("up_ratio"))
+    clean = F.coalesce(F.col("share") <= most, F.lit(False)) & (F.coalesce("restarts", F.lit(0)) == 0) & F.coalesce(F.col("up_ratio") >= least_up, F.lit(True))
+    return d.withColumn("up_ratio", F.when(F.col("up_ratio").isNotNull(), F.least("up_ratio", F.lit(1.0)))).withColumn("clean", clean).drop("_seen")
 
 
 def pod_lifetime(status: Column) -> Column:

@@ -202,6 +202,16 @@ def hour_selection(p: DataFrame, now: DataFrame) -> DataFrame:
     return rows.unionByName(oracle).unionByName(run)
 
 
+def attach_comparators(frame: DataFrame, direct: DataFrame, published: DataFrame, name: str = "direct") -> DataFrame:
+    """``frame`` (``origin, horizon, target``) with another model's predictions of the same keys as ``name``, and ``d1``: the value published for a day before the
+    target, null unless that lies before the origin. Reading a row whose key the model doesn't cover, or covers twice, is an error."""
+    once = direct.groupBy("origin", "horizon", "target").agg(F.min("prediction").alias(name), F.count("*").alias("_n"))
+    covered = F.assert_true(F.coalesce((F.col("_n") == 1) & F.col(name).isNotNull(), F.lit(False)), F.lit(f"{name} predictions don't cover every key once"))
+    d = frame.join(once, ["origin", "horizon", "target"], "left").withColumn(name, F.when(covered.isNull(), F.col(name)))
+    d = d.join(published.select((F.col("t") + 86400).alias("target"), F.col("carbon").alias("_d1")), "target", "left")
+    return d.select(*frame.columns, name, F.when(F.col("target") - 86400 < F.col("origin"), F.col("_d1")).alias("d1"))
+
+
 def policy(cat: DataFrame, duration: int, deadline: int, least_reduction: float = 5.0) -> DataFrame:
     """DEFER or RUN_NOW per query: defer if a window of the duration ends by the deadline with a predicted reduction of at least the given percentage."""
     d = cat.filter((F.col("duration") == duration) & (F.col("end") <= deadline))

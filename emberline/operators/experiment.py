@@ -66,6 +66,11 @@ def paired_change(a: DataFrame, b: DataFrame, on: list[str], measures: list[str]
     return j.select("*", *[(100.0 * F.try_divide(F.col(f"{m}_b") - F.col(f"{m}_a"), F.col(f"{m}_a"))).alias(f"{m}_change_pct") for m in measures])
 
 
+def primary(summaries: DataFrame, metric: str, zone: str = "package") -> DataFrame:
+    """The summaries of one metric and zone that stand for a capture; those without a zone pass."""
+    return summaries.filter((F.col("metric") == metric) & ((F.col("zone") == zone) | F.col("zone").isNull()))
+
+
 def metric_inventory(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Rows and sum per label combination; nulls are groups of their own."""
     return samples.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("value").alias("total"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .asof import stab
 
 DAY = 86400
@@ -71,23 +72,25 @@ def apply_choice(long: DataFrame, chosen: DataFrame, fallback: str, scale: str |
 
 
 def raw_gate(long: DataFrame, order: list[str], fallback: str, days: int = 14) -> DataFrame:
+    long = checkpointed(long)  # history, current values and fallback all read it
     s = history(long, days).groupBy("at", "block", "expert").agg((100.0 * F.avg(ape())).alias("mape"), F.count(ape()).alias("n"))
     return apply_choice(long, choose(long, s, order, fallback), fallback)
 
 
 def best_scale(h: DataFrame, keys: list[str], low: int = 75, high: int = 125, floor_actual: bool = False) -> DataFrame:
-    """Per key the scale low/100 ... high/100 with the lowest mean error relative to the actual, the first of equal ones: ``raw, n``."""
+    """Per key the scale low/100 ... high/100 with the lowest mean error relative to the actual, the first of equal ones: ``raw, n``. One mean for each scale, no copies of rows."""
     base = F.greatest(F.abs("actual"), F.lit(1e-9)) if floor_actual else F.col("actual")
     usable = h.filter(F.col("value").isNotNull() & F.col("actual").isNotNull() & (F.lit(floor_actual) | (F.col("actual") > 0)))
-    g = usable.withColumn("_s", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    loss = g.groupBy(*keys, "_s").agg(F.avg(F.abs(F.col("value") * (F.col("_s") / 100.0) - F.col("actual")) / base).alias("_l"), F.count("*").alias("n"))
-    best = loss.groupBy(*keys).agg(F.min(F.struct(F.round("_l", 12).alias("l"), F.col("_s").alias("s"))).alias("_b"), F.max("n").alias("n"))
-    return best.select(*keys, (F.col("_b.s") / 100.0).alias("raw"), "n")
+    losses = [F.avg(F.abs(F.col("value") * (F.lit(s) / 100.0) - F.col("actual")) / base).alias(f"_l{s}") for s in range(low, high + 1)]
+    g = usable.groupBy(*keys).agg(F.count("*").alias("n"), *losses)
+    best = F.array_min(F.array(*[F.struct(F.round(f"_l{s}", 12).alias("l"), F.lit(s).alias("s")) for s in range(low, high + 1)]))
+    return g.select(*keys, (best["s"] / 100.0).alias("raw"), "n")
 
 
 def calibrated_gate(long: DataFrame, order: list[str], fallback: str, days: int, shrink: float = 0.5, least: float = 0.8, most: float = 1.2) -> DataFrame:
     """Each expert scaled by its recent best scale, shrunk towards 1 and bounded, then the gate on the scaled errors."""
-    h = history(long, days)
+    long = checkpointed(long)
+    h = checkpointed(history(long, days))  # for the scales and for the scaled errors
     s = best_scale(h, ["at", "block", "expert"]).withColumn("scale", F.least(F.greatest(1 + shrink * (F.col("raw") - 1), F.lit(least)), F.lit(most)))
     m = h.join(s.select("at", "block", "expert", "scale"), ["at", "block", "expert"]).groupBy("at", "block", "expert").agg((100.0 * F.avg(ape(F.col("scale")))).alias("mape"), F.count(ape()).alias("n"), F.max("scale").alias("scale"))
     return apply_choice(long, choose(long, m, order, fallback), fallback, "scale")
@@ -105,22 +108,28 @@ def convex_blend(long: DataFrame, order: list[str], fallback: str, days: int = 1
         for b in range(a + 1, n):
             grid += [[u / resolution if j == a else 1 - u / resolution if j == b else 0.0 for j in range(n)] for u in range(1, resolution)]
     values = lambda d, keys: d.groupBy(*keys).agg(*[F.max(F.when(F.col("expert") == e, F.col("value"))).alias(f"v{i}") for i, e in enumerate(order)], F.max("actual").alias("actual"))
+    long = checkpointed(long)
     now = values(long.withColumn("block", block(F.col("horizon"))), ["origin", "block", "horizon"])
     there = now.groupBy("origin", "block").agg(*[F.min(F.col(f"v{i}").isNotNull().cast("int")).alias(f"a{i}") for i in range(n)])
     h = values(history(long, days), ["at", "block", "origin", "horizon"]).withColumnRenamed("origin", "_o").withColumnRenamed("at", "origin").join(there, ["origin", "block"])
     full = F.col("actual") > 0
     for i in range(n):
         full = full & ((F.col(f"a{i}") == 0) | F.col(f"v{i}").isNotNull())
-    w = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(x) for x in g]).alias("w")) for k, g in enumerate(grid)])
-    cand = h.filter(full).withColumn("_g", F.explode(w))
-    allowed = F.lit(True)
-    mixed = F.lit(0.0)
-    for i in range(n):
-        allowed = allowed & ((F.col(f"a{i}") == 1) | (F.col("_g.w")[i] == 0))
-        mixed = mixed + F.coalesce(F.col(f"v{i}"), F.lit(0.0)) * F.col("_g.w")[i]
-    loss = cand.filter(allowed).groupBy("origin", "block", F.col("_g.k").alias("k")).agg(F.avg(F.abs(mixed - F.col("actual")) / F.col("actual")).alias("_l"), F.count("*").alias("n"), F.first("_g.w").alias("w"))
-    pull = 1e-12 * (1 - F.col("w")[order.index(fallback)])
-    best = loss.withColumn("_k", F.row_number().over(W.partitionBy("origin", "block").orderBy(F.round("_l", 11), pull, "k"))).filter("_k = 1").select("origin", "block", (100.0 * F.col("_l")).alias("score"), "n", "w")
+    mixture = lambda g: sum((F.coalesce(F.col(f"v{i}"), F.lit(0.0)) * x for i, x in enumerate(g) if x), F.lit(0.0))
+    losses = [F.avg(F.abs(mixture(g) - F.col("actual")) / F.col("actual")).alias(f"_l{k}") for k, g in enumerate(grid)]
+    g = h.filter(full).groupBy("origin", "block", *[f"a{i}" for i in range(n)]).agg(F.count("*").alias("n"), *losses)
+    fall = order.index(fallback)
+
+    def candidate(k: int) -> Column:
+        allowed = F.lit(True)
+        for i, x in enumerate(grid[k]):
+            if x:
+                allowed = allowed & (F.col(f"a{i}") == 1)
+        return F.when(allowed, F.struct(F.round(f"_l{k}", 11).alias("l"), F.lit(1e-12 * (1 - grid[k][fall])).alias("pull"), F.lit(k).alias("k"), F.col(f"_l{k}").alias("loss")))
+
+    weights = F.array(*[F.array(*[F.lit(x) for x in g]) for g in grid])
+    best = g.withColumn("_b", F.array_min(F.array_compact(F.array(*[candidate(k) for k in range(len(grid))])))).filter("_b is not null")
+    best = best.select("origin", "block", (100.0 * F.col("_b.loss")).alias("score"), "n", F.get(weights, F.col("_b.k")).alias("w"))
     d = now.join(best, ["origin", "block"], "left")
     alone = F.array(*[F.lit(float(e == fallback)) for e in order])
     d = d.withColumn("w", F.coalesce("w", alone)).withColumn("n", F.coalesce("n", F.lit(0)))
@@ -130,6 +139,22 @@ def convex_blend(long: DataFrame, order: list[str], fallback: str, days: int = 1
     return d.select("origin", "block", "horizon", "actual", out.alias("prediction"), "score", "n", *[F.col("w")[i].alias(f"weight_{e}") for i, e in enumerate(order)])
 
 
+def mean_weights(blend: DataFrame, order: list[str]) -> DataFrame:
+    """Mean blend weights per block, each origin's taken once (at the block's first horizon): ``block, origins, weight_*``."""
+    first = blend.groupBy("block", "origin").agg(F.min("horizon").alias("horizon"))
+    d = blend.join(first, ["block", "origin", "horizon"])
+    return d.groupBy("block").agg(F.count("*").alias("origins"), *[F.avg(f"weight_{e}").alias(f"weight_{e}") for e in order])
+
+
+def include_expert(frame: DataFrame, expert: DataFrame, keys: list[str], columns: list[str], complete_only: bool = True) -> DataFrame:
+    """``frame`` with the expert's ``columns`` and ``included``: the expert joins as a whole or, if its keys aren't exactly those of the frame (each once),
+    not at all (nulls); without ``complete_only`` whatever rows it has. An unfinished run must not change the set of experts midway."""
+    lacking = key_differences(frame, expert, keys)  # one row
+    ok = lacking.select((((F.col("missing") == 0) & (F.col("extra") == 0)) | F.lit(not complete_only)).alias("included"))
+    d = frame.join(F.broadcast(ok)).join(expert.select(*keys, *columns), keys, "left")
+    return d.select(*frame.columns, *[F.when(F.col("included"), F.col(c)).alias(c) for c in columns], "included")
+
+
 def selection_counts(gated: DataFrame) -> DataFrame:
     return gated.select("origin", "block", "expert").distinct().groupBy("block", "expert").agg(F.count("*").alias("n"))
 
@@ -168,5 +193,12 @@ def metrics_by_sets(frame: DataFrame, sets: list[str]) -> DataFrame:
 def paired_errors(frame: DataFrame, candidate: str, reference: str) -> DataFrame:
     """Mean absolute percentage error of two models by origin: ``origin, candidate, reference, delta``, and from it the share of days better."""
     d = frame.filter("actual > 0").withColumn("_p", 100.0 * F.abs(F.col("prediction") - F.col("actual")) / F.col("actual"))
+    # one row for each origin
     g = d.groupBy("origin").agg(F.avg(F.when(F.col("model") == candidate, F.col("_p"))).alias("candidate"), F.avg(F.when(F.col("model") == reference, F.col("_p"))).alias("reference"))
     return g.withColumn("delta", F.col("candidate") - F.col("reference"))
+
+
+def paired_summary(paired: DataFrame) -> DataFrame:
+    """Mean difference of the errors and the percentage of origins on which the candidate is better: one row."""
+    d = paired.filter("delta is not null")
+    return d.agg(F.avg("delta").alias("mean_delta"), (100.0 * F.avg((F.col("delta") < 0).cast("double"))).alias("better_pct"), F.count("*").alias("origins"))

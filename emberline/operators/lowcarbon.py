@@ -120,6 +120,15 @@ def low_carbon_windows(
     return w.filter(F.col("rank") <= most).select(*keys, "rank", "start", "end", "hours", "score", "mean", "confidence")
 
 
+def reasons(windows: DataFrame) -> DataFrame:
+    """The windows with ``reasons``: what speaks for each, in words."""
+    said = F.array(
+        F.format_string("mean of %.1f g/kWh over %d h", F.col("mean"), F.col("hours")), F.format_string("lower than %.0f %% of the hours on average", 100 * F.col("score")),
+        F.when(F.col("confidence") >= 0.5, "mostly below the entering threshold and calm").otherwise("partly above the entering threshold or unsteady"),
+    )
+    return windows.withColumn("reasons", said)
+
+
 def hour_iou(a: DataFrame, b: DataFrame, step: int = 3600) -> DataFrame:
     """One row ``iou, common, either`` of the hours covered by two sets of windows ``start, end``; 1.0 if both are empty."""
     hours = lambda w: w.select(F.explode(F.sequence("start", F.col("end") - step, F.lit(step))).alias("t")).distinct()

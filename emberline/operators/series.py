@@ -109,6 +109,16 @@ def proxy_intensity(parts: list[str] = PARTS, factors: dict[str, float] = EMISSI
     return F.when(known & (total > 0), grams / total)
 
 
+def at_times(series: DataFrame, frame: DataFrame, columns: list[str], time: str = "target") -> DataFrame:
+    """``frame`` with the series' columns at ``time``: exact instants only, nulls where the series has none."""
+    return frame.join(series.select(F.col("t").alias(time), *columns), time, "left").select(*frame.columns, *columns)
+
+
+def with_proxy_target(frame: DataFrame, target: str) -> DataFrame:
+    """The frame with its target replaced by the intensity that the emission factors give."""
+    return frame.withColumn(target, proxy_intensity())
+
+
 def quality_report(df: DataFrame, keys: list[str], t: str, value: str, step: int, low: float, high: float) -> DataFrame:
     """Per key: rows, missing and zero fraction, duplicate times, number of gaps, the longest gap in steps, values out of range."""
     times = df.filter(F.col(t).isNotNull())

@@ -10,6 +10,7 @@ from ..adapters import oracle
 from ..operators import accounting as ac
 from ..operators import asof, experiment
 from ..operators import metricsql as mq
+from ..operators.regrid import finite_number
 from ..operators.skew import clean_key
 from .windows import rounded
 
@@ -95,23 +96,33 @@ def a_report(spark, d):
     return r.select("job", "pods", "pods_missing", F.round("joules", 6).alias("joules"), "resets", F.round("coverage", 6).alias("coverage"), F.round(F.col("grams") * 1000, 6).alias("milligrams"), F.round("carbon_coverage", 6).alias("carbon_coverage"), "missing", F.round("watts", 9).alias("watts"), "valid")
 
 
-@query("""j as (select user_id as job, sum(value) as joules from ev where event_type = 'purchase' group by 1), n as (select user_id as job, sum(value) as total, sum(value) filter (event_type in ('purchase', 'click')) as active from ev group by 1),
-c as (select user_id as job, avg(least(value / 50, 1.0)) as m, max(least(value / 50, 1.0)) as x from ev group by 1)
-select job, round(joules, 6) as joules, round(total, 6) as total_joules, round(active, 6) as active_joules, round(m, 6) as cpu_mean, round(x, 6) as cpu_max, round(greatest(total - active, 0), 6) as idle_joules, round(case when active > 0 then joules / active end, 6) as job_share from j left join n using (job) left join c using (job)""")
+@query(_ANCHORS.format(tol=90).replace("from kcounters", "from kcounters where seq is not null") + """, z as (select job, m.* from meas m join kpods using (pod)), zz as (select distinct concat_ws('#', series_id, capture_id) as pod, rapl_zone, node_name from kepler_samples),
+tot as (select job, sum(joules) filter (rapl_zone = 'package' and samples > 0) as total, sum(joules) filter (rapl_zone = 'core' and samples > 0) as active, sum(case when rapl_zone in ('package', 'core') then resets else 0 end)::bigint as resets from z join zz using (pod) group by 1),
+cpu as (select c.capture_id as job, avg(v) as m, max(v) as x from (select capture_id, epoch_us(sample_ts) / 1e6 as ts, try_cast(trim(sample_value) as double) as v from kepler_samples where metric_name = 'node_cpu_utilization_ratio' and regexp_full_match(trim(sample_value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) s
+  join capture_runs c on c.capture_id = s.capture_id where isfinite(v) and ts between epoch_us(started_at) / 1e6 + 60 and epoch_us(ended_at) / 1e6 - 60 group by 1)
+select c.capture_id as job, round(total, 6) as total_joules, round(active, 6) as active_joules, coalesce(resets, 0) as resets, round(least(m, 1.0), 6) as cpu_mean, round(least(x, 1.0), 6) as cpu_max, round(case when active > 0 then 1000.0::double / active end, 9) as job_share
+from capture_runs c left join tot on tot.job = c.capture_id left join cpu on cpu.job = c.capture_id""")
 def a_node_context(spark, d):
-    e = ad.events(spark, d).withColumn("job", F.col("user_id"))
-    job = e.filter("event_type = 'purchase'").groupBy("job").agg(F.sum("value").alias("joules"))
-    node = e.groupBy("job").agg(F.sum("value").alias("total_joules"), F.sum(F.when(F.col("event_type").isin("purchase", "click"), F.col("value"))).alias("active_joules"))
-    return rounded(ac.node_context(job, node, e.select("job", (F.col("value") / 50).alias("ratio"))))
+    """Every capture as a job of 1,000 J on its node: counters of the package as total, of the core as active."""
+    s = ad.table(spark, d, "kepler_samples").select("node_name", "capture_id", "metric_name", "rapl_zone", (F.unix_micros("sample_ts") / 1e6).alias("ts"), finite_number(F.col("sample_value")).alias("v"), F.col("sample_id").alias("seq"))
+    node = F.concat_ws("#", "node_name", "capture_id").alias("node")  # counters begin anew in every capture
+    jobs = ad.table(spark, d, "capture_runs").select(F.col("capture_id").alias("job"), node, (F.unix_micros("started_at") / 1e6 + 60).alias("start"), (F.unix_micros("ended_at") / 1e6 - 60).alias("end"), F.lit(1000.0).alias("joules"))
+    counters = s.filter(F.col("metric_name").endswith("_total")).select(node, F.when(F.col("rapl_zone") == "package", "total").when(F.col("rapl_zone") == "core", "active").alias("kind"), "ts", F.col("v").alias("joules"), "seq")
+    cpu = s.filter("metric_name = 'node_cpu_utilization_ratio'").select(node, "ts", F.col("v").alias("ratio"))
+    r = ac.node_context(jobs, counters, cpu, sequence="seq")
+    return r.select("job", *[F.round(c, 6).alias(c) for c in ("total_joules", "active_joules")], "resets", F.round("cpu_mean", 6).alias("cpu_mean"), F.round("cpu_max", 6).alias("cpu_max"), F.round("job_share", 9).alias("job_share"))
 
 
 @query("""en as (select us // 86400000000 as job, user_id as pod, sum(value) as joules from ev group by 1, 2), own as (select distinct us // 86400000000 as job, user_id as pod from ev where event_type <> 'error'),
-jb as (select us // 86400000000 as job, sum(value) as joules from ev group by 1), ot as (select job, sum(joules) as o, count(*) as n from en anti join own using (job, pod) group by 1)
-select job, round(joules, 6) as joules, round(o, 6) as other_joules, coalesce(n, 0) as other_pods, round(case when joules + coalesce(o, 0) > 0 then coalesce(o, 0) / (joules + coalesce(o, 0)) end, 6) as share, coalesce(coalesce(o, 0) / (joules + coalesce(o, 0)) <= 0.05, false) as clean from jb left join ot using (job)""")
+jb as (select us // 86400000000 as job, sum(value) as joules, count(*) filter (event_type = 'signup' and value > 80) as restarts, avg((event_type <> 'error' or value > 1)::int::double) as up from ev group by 1), ot as (select job, sum(joules) as o, count(*) as n from en anti join own using (job, pod) where joules > 0 group by 1)
+select job, round(joules, 6) as joules, round(coalesce(o, 0), 6) as other_joules, coalesce(n, 0) as other_pods, round(case when joules + coalesce(o, 0) > 0 then coalesce(o, 0) / (joules + coalesce(o, 0)) else 0 end, 6) as share, restarts, round(up, 6) as up_ratio,
+  coalesce(coalesce(o, 0) / (joules + coalesce(o, 0)) <= 0.05, false) and restarts = 0 and up >= 0.99 as clean from jb left join ot using (job)""")
 def a_isolation(spark, d):
     e = ad.events(spark, d).withColumn("job", F.expr("us div 86400000000")).withColumn("pod", F.col("user_id"))
     energy = e.groupBy("job", "pod").agg(F.sum("value").alias("joules"))
-    return rounded(ac.isolation(e.groupBy("job").agg(F.sum("value").alias("joules")), e.filter("event_type <> 'error'").select("job", "pod").distinct(), energy).select("job", "joules", "other_joules", "other_pods", "share", "clean"))
+    node = e.groupBy("job").agg(F.sum(((F.col("event_type") == "signup") & (F.col("value") > 80)).cast("long")).alias("restarts"), F.avg(((F.col("event_type") != "error") | (F.col("value") > 1)).cast("double")).alias("up_ratio"))
+    r = ac.isolation(e.groupBy("job").agg(F.sum("value").alias("joules")), e.filter("event_type <> 'error'").select("job", "pod").distinct(), energy, node)
+    return rounded(r.select("job", "joules", "other_joules", "other_pods", "share", "restarts", "up_ratio", "clean"))
 
 
 @query("""s as (select user_id, min(us) filter (event_type = 'signup') as st, list(us order by us) filter (event_type = 'click') as ms, max(us + 5) filter (event_type = 'view') as fin, count(*) filter (event_type = 'purchase') as ok, count(*) filter (event_type = 'error') as err from ev group by 1)
@@ -358,6 +369,12 @@ def x_paired(spark, d):
     return rounded(experiment.paired_change(m.filter("policy like '1%'"), m.filter("policy like '5%'"), ["seed"], ["energy", "runtime"]))
 
 
+@query("""select series_id, capture_id, count(*) as n from kepler_samples where metric_name = 'kepler_node_cpu_watts' and (rapl_zone = 'package' or rapl_zone is null) group by 1, 2""")
+def x_primary(spark, d):
+    s = ad.table(spark, d, "kepler_samples").groupBy("series_id", "capture_id", F.col("metric_name").alias("metric"), F.col("rapl_zone").alias("zone")).agg(F.count("*").alias("n"))
+    return experiment.primary(s, "kepler_node_cpu_watts").select("series_id", "capture_id", "n")
+
+
 @query("select event_type, case when event_id % 4 = 0 then null else event_id % 4 end as zone, count(*) as rows, round(sum(value), 6) as total from ev group by 1, 2")
 def x_inventory(spark, d):
     e = ad.events(spark, d).withColumn("zone", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 4))

@@ -233,19 +233,43 @@ def g_calibrated(spark, d):
     return rounded(gate.calibrated_gate(_long(spark, d), EXPERTS, "d2", 7).select("origin", "horizon", "block", "expert", "mape", "n", "scale", "prediction"))
 
 
-@query(_LX.format(n=14) + """nw as (select origin, block, horizon, max(actual) as actual, max(value) filter (expert = 'd2') as v0, max(value) filter (expert = 'd7') as v1, max(value) filter (expert = 'mix') as v2 from lx group by 1, 2, 3),
+@query((_LX.format(n=14) + _SCALE + """se as (select og, block, expert, least(greatest(1 + 0.5 * (raw - 1), 0.8), 1.2) as scale from sc0),
+sc as (select h.og, h.block, h.expert, 100.0::double * avg(abs(value * scale - actual) / actual) filter (actual > 0) as mape, count(value) filter (actual > 0) as n, max(scale) as scale from hi7 h join se using (og, block, expert) group by 1, 2, 3),""" + _PICK.format(extra=", scale") + """
+select l.origin, l.horizon, l.block, l.expert, round(mape, 6) as mape, n, round(scale, 6) as scale, round(coalesce(l.value * coalesce(scale, 1), f.value), 6) as prediction from lx l join pk on pk.og = l.origin and pk.block = l.block and pk.expert = l.expert left join lx f on f.origin = l.origin and f.horizon = l.horizon and f.expert = 'd2'""").replace("hi7", "hi14"))
+def g_calibrated_14d(spark, d):
+    return rounded(gate.calibrated_gate(_long(spark, d), EXPERTS, "d2", 14).select("origin", "horizon", "block", "expert", "mape", "n", "scale", "prediction"))
+
+
+_BLEND = _LX.format(n=14) + """nw as (select origin, block, horizon, max(actual) as actual, max(value) filter (expert = 'd2') as v0, max(value) filter (expert = 'd7') as v1, max(value) filter (expert = 'mix') as v2 from lx group by 1, 2, 3),
 av as (select origin, block, bool_and(v0 is not null) as a0, bool_and(v1 is not null) as a1, bool_and(v2 is not null) as a2 from nw group by 1, 2),
 hh as (select og as origin, block, origin as o, horizon, max(actual) as actual, max(value) filter (expert = 'd2') as v0, max(value) filter (expert = 'd7') as v1, max(value) filter (expert = 'mix') as v2 from hi14 group by 1, 2, 3, 4),
 pr as (select (row_number() over ()) - 1 as k, * from (select 1.0::double as w0, 0.0::double as w1, 0.0::double as w2, 0 as z union all select 0, 1, 0, 1 union all select 0, 0, 1, 2 union all select u / 20.0, 1 - u / 20.0, 0, 100 + u from range(1, 20) r(u) union all select u / 20.0, 0, 1 - u / 20.0, 200 + u from range(1, 20) r(u) union all select 0, u / 20.0, 1 - u / 20.0, 300 + u from range(1, 20) r(u)) order by z),
 ls2 as (select h.origin, h.block, pr.z, any_value(w0) as w0, any_value(w1) as w1, any_value(w2) as w2, avg(abs(w0 * coalesce(v0, 0) + w1 * coalesce(v1, 0) + w2 * coalesce(v2, 0) - actual) / actual) as l, count(*) as n from hh h join av using (origin, block), pr
   where actual > 0 and (not a0 or v0 is not null) and (not a1 or v1 is not null) and (not a2 or v2 is not null) and (a0 or w0 = 0) and (a1 or w1 = 0) and (a2 or w2 = 0) group by 1, 2, 3),
 bs as (select * from (select *, row_number() over (partition by origin, block order by round(l, 11), 1e-12 * (1 - w0), z) as k from ls2) where k = 1)
-select n.origin, n.block, n.horizon, round(100.0::double * l, 6) as score, coalesce(bs.n, 0) as n, round(coalesce(w0, 1), 6) as weight_d2, round(coalesce(w1, 0), 6) as weight_d7, round(coalesce(w2, 0), 6) as weight_mix,
+"""
+
+
+@query(_BLEND + """select n.origin, n.block, n.horizon, round(100.0::double * l, 6) as score, coalesce(bs.n, 0) as n, round(coalesce(w0, 1), 6) as weight_d2, round(coalesce(w1, 0), 6) as weight_d7, round(coalesce(w2, 0), 6) as weight_mix,
   round(case when coalesce(w0, 1) > 0 then coalesce(w0, 1) * v0 else 0 end + case when coalesce(w1, 0) > 0 then w1 * v1 else 0 end + case when coalesce(w2, 0) > 0 then w2 * v2 else 0 end, 6) as prediction from nw n left join bs on bs.origin = n.origin and bs.block = n.block""")
 def g_blend(spark, d):
     return rounded(gate.convex_blend(_long(spark, d), EXPERTS, "d2").drop("actual"))
 
 
+@query(_BLEND + "select n.block, count(*) as origins, round(avg(coalesce(w0, 1)), 6) as weight_d2, round(avg(coalesce(w1, 0)), 6) as weight_d7, round(avg(coalesce(w2, 0)), 6) as weight_mix from (select distinct origin, block from nw) n left join bs on bs.origin = n.origin and bs.block = n.block group by 1")
+def g_mean_weights(spark, d):
+    return rounded(gate.mean_weights(gate.convex_blend(_long(spark, d), EXPERTS, "d2"), EXPERTS))
+
+
+@query("""a as (select origin, horizon, prediction from predictions where model = 'd2'), b as (select origin, horizon, prediction as d7 from predictions where model = 'd7')
+select 'whole' as expert_run, a.origin, a.horizon, round(d7, 6) as d7, true as included from a join b using (origin, horizon) union all select 'unfinished', origin, horizon, null, false from a""")
+def g_include_expert(spark, d):
+    p = ad.predictions(spark, d)
+    a, b = p.filter("model = 'd2'").select("origin", "horizon"), p.filter("model = 'd7'").select("origin", "horizon", F.col("prediction").alias("d7"))
+    run = lambda name, x: gate.include_expert(a, x, ["origin", "horizon"], ["d7"]).withColumn("expert_run", F.lit(name))
+    return rounded(run("whole", b).unionByName(run("unfinished", b.filter("horizon < 24"))))
+
+
 @query(_RAW + " select block, expert, count(*) as n from pk group by 1, 2")
 def g_selection_counts(spark, d):
     return gate.selection_counts(gate.raw_gate(_long(spark, d), EXPERTS, "d2"))
@@ -354,3 +378,18 @@ def p_grouping_sets(spark, d):
 @query("""select origin, round(a, 6) as candidate, round(b, 6) as reference, round(a - b, 6) as delta from (select origin, 100.0::double * avg(abs(prediction - actual) / actual) filter (model = 'd2') as a, 100.0::double * avg(abs(prediction - actual) / actual) filter (model = 'd7') as b from predictions where actual > 0 group by 1)""")
 def p_paired_ape(spark, d):
     return rounded(gate.paired_errors(ad.predictions(spark, d), "d2", "d7"))
+
+
+@query("""p as (select origin, 100.0::double * avg(abs(prediction - actual) / actual) filter (model = 'd2') as a, 100.0::double * avg(abs(prediction - actual) / actual) filter (model = 'd7') as b from predictions where actual > 0 group by 1)
+select round(avg(a - b), 6) as mean_delta, round(100.0::double * avg((a < b)::int::double), 6) as better_pct, count(*) as origins from p""")
+def p_paired_summary(spark, d):
+    return rounded(gate.paired_summary(gate.paired_errors(ad.predictions(spark, d), "d2", "d7")))
+
+
+@query()
+def p_paired_interval(spark, d):
+    """Interval of the mean difference by a bootstrap of blocks of seven origins."""
+    from ..operators.exhaustive import block_bootstrap
+
+    pairs = gate.paired_errors(ad.predictions(spark, d), "d2", "d7").withColumn("series", F.lit("d2-d7"))
+    return rounded(block_bootstrap(pairs, ["series"], "origin", "delta", block=7))

@@ -104,6 +104,18 @@ def t_canonical(spark, d):
     return rounded(se.canonical(raw, {"taux": "carbon_mw"}, ["carbon_mw", "absent_mw"], "date_heure", "seq"))
 
 
+@query("select s.origin, s.horizon, s.target, round(m.gas_mw, 6) as gas_mw, round(m.coal_mw, 6) as coal_mw from stack s left join mix m on m.t = s.target")
+def t_targets_at(spark, d):
+    from ..operators.features import stack
+
+    return rounded(se.at_times(ad.mix_hourly(spark, d), stack(ad.origins(spark)), ["gas_mw", "coal_mw"]))
+
+
+@query("""select t, round((986.0::double * coal_mw + 777.0::double * fuel_oil_mw + 429.0::double * gas_mw + 494.0::double * bioenergy_mw) / nullif(nuclear_mw + wind_mw + hydro_mw + solar_mw + gas_mw + bioenergy_mw + coal_mw + fuel_oil_mw, 0), 6) as carbon from mix""")
+def t_proxy_target(spark, d):
+    return rounded(se.with_proxy_target(ad.mix_hourly(spark, d).withColumn("carbon", F.lit(0.0)), "carbon").select("t", "carbon"))
+
+
 def _series(spark, d):
     return ad.hourly(spark, d).withColumnRenamed("carbon", "v")
 
@@ -184,6 +196,21 @@ def w_low_carbon_windows(spark, d):
     return rounded(lc.low_carbon_windows(_series(spark, d), ["zone"]).drop("zone"))
 
 
+_ABSOLUTE = _WINDOWS.replace("quantile_cont(carbon, 0.25::double) as lo, quantile_cont(carbon, 0.40::double) as hi from hourly", "24.0::double as lo, 25.0::double as hi")
+_ABSOLUTE = _ABSOLUTE.replace("carbon <= hi as stay, carbon <= lo as enter", "carbon <= 26.0 and (carbon <= hi or carbon <= 24.5) as stay, carbon <= 26.0 and (carbon <= lo or carbon <= 24.5) as enter")
+
+
+@query(_ABSOLUTE + 'select rank, start, "end", hours, round(score, 6) as score, round(mean, 6) as mean, round(confidence, 6) as confidence from win where rank <= 10')
+def w_foresight_absolute(spark, d):
+    """Windows of the true series itself with thresholds in g/kWh, a floor that always counts and a ceiling that never does."""
+    return rounded(lc.low_carbon_windows(_series(spark, d), ["zone"], enter_value=24.0, leave_value=25.0, floor=24.5, ceiling=26.0).drop("zone"))
+
+
+@query(_WINDOWS + 'select rank, start, "end" from win where rank <= 10')
+def w_reasons(spark, d):
+    return lc.reasons(lc.low_carbon_windows(_series(spark, d), ["zone"])).filter(F.size("reasons") == 3).select("rank", "start", "end")
+
+
 @query(_WINDOWS + """, a as (select distinct unnest(range(start, "end", 3600)) as t from win where rank <= 10), b as (select distinct unnest(range(start, "end", 3600)) as t from win where rank <= 5)
 select round((select count(*) from a semi join b using (t))::double / count(*), 6) as iou, (select count(*) from a semi join b using (t)) as common, count(*) as either from (select t from a union select t from b)""")
 def w_iou(spark, d):
@@ -319,6 +346,13 @@ def e_bootstrap_iid(spark, d):
     return rounded(ex.block_bootstrap(ex.daily_deltas(_decisions(spark, d), "d2"), ["reference"], "origin", "delta", block=1))
 
 
+@query("select p.model, p.origin, p.horizon, round(q.prediction, 6) as direct, round(case when p.target - 86400 < p.origin then h.carbon end, 6) as d1 from predictions p join predictions q on q.model = 'd7' and q.origin = p.origin and q.horizon = p.horizon left join hourly h on h.t = p.target - 86400 where p.model = 'd2'")
+def e_comparators(spark, d):
+    p = ad.predictions(spark, d)
+    r = ex.attach_comparators(p.filter("model = 'd2'"), p.filter("model = 'd7'"), ad.hourly(spark, d))
+    return rounded(r.select("model", "origin", "horizon", "direct", "d1"))
+
+
 @query("""e_p as (select model, origin, horizon, prediction, actual, round(prediction, 9) as rp, round(actual, 9) as ra from predictions),
 r as (select *, rank() over (partition by model, origin order by rp) + (count(*) over (partition by model, origin, rp) - 1) / 2.0::double as xp, rank() over (partition by model, origin order by ra) + (count(*) over (partition by model, origin, ra) - 1) / 2.0::double as xa from e_p),
 q as (select model, origin, arg_min(actual, (prediction, horizon)) as real, min(actual) as best, corr(xp, xa) as rho, any_value(h.carbon) as now from r left join hourly h on h.t = origin group by model, origin),
