@@ -1,4 +1,4 @@
-"""python -m emberline windows | account | summarize | observe | import: the library on files."""
+"""python -m emberline windows | account | summarize | observe | import | evaluate | gate | refit: the library on files."""
 
 from __future__ import annotations
 
@@ -57,6 +57,33 @@ def fetch(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return r.option("base_url", a.base_url).option("dataset", a.dataset).option("fields", ",".join(fields)).option("populated", "taux_co2").load()
 
 
+def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """All windows of the models' predictions, decisions and comparison, to a folder."""
+    from .plans import jobs
+
+    p = jobs.load_predictions(spark, a.predictions, a.names.split(","), ["model", "origin", "horizon", "actual"])
+    jobs.evaluate(p, a.primary, a.output, a.horizon, draws=a.draws).show(truncate=False)
+
+
+def gate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Gates over direct and physical predictions, to a folder."""
+    from .plans import jobs
+
+    names, columns = a.experts.split(","), a.columns.split(",")
+    physical = jobs.load_predictions(spark, a.physical, names) if a.physical else None
+    if physical is not None:
+        physical = physical.withColumnRenamed("prediction", names[0])
+    live = jobs.load_carbon(spark, a.carbon, columns)
+    jobs.gates(jobs.load_predictions(spark, a.direct, a.names.split(",")), live, live, physical, names, a.output).show(truncate=False)
+
+
+def refit(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Refit for every origin without a checkpoint, a day's file each."""
+    from .plans import jobs
+
+    print(jobs.refit(spark.read.parquet(a.frame), a.features.split(","), a.output))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="emberline")
     sub = p.add_subparsers(dest="command", required=True)
@@ -76,6 +103,10 @@ def main(argv: list[str] | None = None) -> None:
     command(summarize, input=need, labels={"default": ""}, prefix={"default": ""}, provisional=flag)
     command(observe, pods=need, samples=need, carbon=need, checkpoint=need, zone={"default": "FR"})
     command(fetch, base_url=need, dataset=need, start={"type": int, "required": True}, end={"type": int, "required": True}, realtime=flag)
+    names = {"default": "prediction,prediction_raw,direct"}
+    command(evaluate, predictions=need, primary=need, names=names, horizon={"type": int, "default": 24}, draws={"type": int, "default": 20_000})
+    command(gate, direct=need, carbon=need, physical={"default": ""}, experts={"default": "physical"}, names=names, columns={"default": "carbon_intensity_gco2_kwh,carbon"})
+    command(refit, frame=need, features=need)
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     out = commands[a.command](spark, a)

@@ -158,17 +158,19 @@ def fit_physical_experts(
     return predict
 
 
-def refit_per_origin(frame: DataFrame, features: list[str], fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.Series], window_days: int | None = None, expected: int = 24) -> DataFrame:
+def refit_per_origin(frame: DataFrame, features: list[str], fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.Series], window_days: int | None = None, expected: int = 24, origins: DataFrame | None = None) -> DataFrame:
     """``origin, horizon, prediction`` of a learner refitted for every origin on all rows with target < origin.
 
     ``frame`` has ``origin, horizon, target, actual`` and the features. Each origin is one group: its rows and the whole history before it, found
-    by day cells; ``window_days`` leaves rows out that are older. An origin that hasn't exactly ``expected`` rows is an error.
+    by day cells; ``window_days`` leaves rows out that are older. An origin that hasn't exactly ``expected`` rows is an error. With ``origins``
+    only these are refitted.
     """
     from .asof import stab
 
     h = frame.withColumn("_open", F.greatest("origin", "target")).withColumn("_close", F.col("target") + window_days * 86400 if window_days else F.lit(None).cast("bigint"))
-    train = stab(h, frame.select(F.col("origin").alias("at")).distinct(), "_open", "_close", "at", open_start=True).drop("_open", "_close").withColumn("_train", F.lit(True))
-    both = train.unionByName(frame.withColumn("at", F.col("origin")).withColumn("_train", F.lit(False)))
+    run = (frame if origins is None else origins).select(F.col("origin").alias("at")).distinct()
+    train = stab(h, run, "_open", "_close", "at", open_start=True).drop("_open", "_close").withColumn("_train", F.lit(True))
+    both = train.unionByName(frame.withColumn("at", F.col("origin")).join(run, "at", "left_semi").select(*frame.columns, "at", F.lit(False).alias("_train")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         t, e = pdf[pdf["_train"]], pdf[~pdf["_train"]]

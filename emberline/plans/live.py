@@ -70,6 +70,21 @@ def s_array_series(spark, d):
     return rounded(records.array_series(p, "price", key="event_type"))
 
 
+@query("""l as (select event_type, h, arg_max(value, (event_id, us)) as v from ev group by 1, 2)
+select h as t, round(max(v) filter (event_type = 'click'), 6) as wind_mw, round(max(v) filter (event_type = 'view'), 6) as solar_mw from l where event_type in ('click', 'view') group by 1""")
+def s_array_mix(spark, d):
+    """Two kinds outer joined on the hour; of values delivered twice the last counts."""
+    e = ad.events(spark, d)
+    p = e.select(F.to_json(F.struct("event_type", F.array("h").alias("unix_seconds"), F.array("value").alias("price"))).alias("value"), F.col("event_id").alias("seq"))
+    return rounded(records.array_mix(p, "price", "event_type", {"click": "wind_mw", "view": "solar_mw"}, sequence="seq"))
+
+
+@query("l as (select us // 1000000 as s, arg_max(value, event_id) as v from ev group by 1) select s // 3600 * 3600 as t, round(avg(v), 6) as consumption_day_ahead_mw from l group by 1")
+def s_consumption_forecast(spark, d):
+    r = ad.events(spark, d).select(F.expr("us div 1000000").alias("t"), F.to_json(F.struct(F.col("value").alias("prevision_j1"))).alias("value"), F.col("event_id").alias("seq"))
+    return rounded(records.record_series(r, records.DAY_AHEAD, "seq"))
+
+
 @query("select user_id::varchar as pod, event_type as kind, count(*) as n, round(sum(value), 6) as total from ev group by 1, 2")
 def s_json_matrix(spark, d):
     e = ad.events(spark, d).groupBy("user_id", "event_type").agg(F.collect_list(F.array((F.col("us") / 1e6).cast("string"), F.col("value").cast("string"))).alias("values"))
@@ -84,7 +99,10 @@ def s_json_path(spark, d):
     return ad.events(spark, d).select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@query()
+@query("""g as (select user_id, sum(value) as j, min(us) // 1000000 as a from ev group by 1)
+select user_id::varchar as job_uid, 'ns' as namespace, 'job-' || user_id as job_name, 'succeeded' as outcome, strftime(to_timestamp(a) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as started_at, null::varchar as finished_at, null::double as duration_seconds, round(j, 6) as energy_joules,
+  null::double as energy_kwh, null::double as average_power_watts, null::double as intensity, null::double as emissions_gco2eq, true as valid, true as final, null::double as energy_coverage_ratio, null::double as carbon_energy_coverage_ratio, null::int as counter_resets,
+  null::boolean as clean_node, null::double as co_tenant_energy_share, null::varchar as image, null::varchar as image_id, null::varchar as stdout_sha256, 'w1 | w2' as warnings, '{"x/policy":"deferred"}' as labels_json, 'deferred' as policy from g where user_id % 2 = 0""")
 def a_summary(spark, d):
     g = ad.events(spark, d).groupBy("user_id").agg(F.sum("value").alias("j"), F.min("us").alias("a"), F.max("us").alias("z"))
     doc = F.to_json(F.struct(
@@ -102,11 +120,11 @@ def r_hourly_means(spark, d):
     return rounded(live.drained(live.hourly_means(s, ["zone"], "time", "value"), shared_folder(spark), "complete").drop("zone"))
 
 
-@query("select user_id, arg_max(event_id, (us, event_id)) as event_id, count(*) as n from ev group by 1")
+@query("select user_id, arg_max(event_id, (us, event_id)) as event_id from ev group by 1")
 def r_latest_state(spark, d):
     ad.table(spark, d, "events")
     raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
-    s = raw.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
+    s = live.latest_state(raw.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], ["event_id"])
     return live.drained(s, shared_folder(spark), "complete")
 
 

@@ -27,9 +27,17 @@ def local_session(cores: int | str = 8, partitions: int = 8, **extra: str) -> Sp
     return spark
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A temporary folder for a local session; on a cluster, whose machines don't share it, an error."""
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and {master} has no folder that all machines share")
+    return tempfile.mkdtemp(prefix="emberline-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(spark)
     return f"{base.rstrip('/')}/emberline-{uuid.uuid4().hex}"
 
 
@@ -37,9 +45,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session; only where neither it nor a directory set earlier exists (tests,
-    a laptop) is a local folder made.
+    a laptop) is a local folder made; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="emberline-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or local_folder(df.sparkSession))
     return df.checkpoint()

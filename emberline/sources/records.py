@@ -70,16 +70,39 @@ def exchange_schedules(payloads: DataFrame, text: str = "value") -> DataFrame:
     return d.select(_time("v.start_date").alias("start"), F.when(out, name(F.col("receiver_country_eic_code"))).otherwise(name(F.col("sender_country_eic_code"))).alias("border"), F.when(out, "export").otherwise("import").alias("direction"), _time("updated_date").alias("updated"), F.coalesce(_number("v.value"), F.lit(0.0)).alias("value_mw"))
 
 
-def array_series(payloads: DataFrame, value_field: str, text: str = "value", key: str | None = None) -> DataFrame:
-    """Payloads of parallel arrays ``unix_seconds`` and a value array as hourly means; arrays of different lengths are an error."""
+def array_series(payloads: DataFrame, value_field: str, text: str = "value", key: str | None = None, sequence: str | None = None) -> DataFrame:
+    """Payloads of parallel arrays ``unix_seconds`` and a value array as hourly means; arrays of different lengths are an error.
+
+    With ``sequence`` (the order of the payloads) of values at one instant only the last counts.
+    """
     schema = f"unix_seconds array<bigint>, `{value_field}` array<double>" + (f", `{key}` string" if key else "")
-    d = payloads.select(F.from_json(text, schema).alias("m")).select("m.*")
+    d = payloads.select(F.from_json(text, schema).alias("m"), *([F.col(sequence).alias("_seq")] if sequence else [])).select("m.*", *(["_seq"] if sequence else []))
     ok = F.assert_true(F.size("unix_seconds") == F.size(value_field), F.lit("times and values have different lengths"))
-    d = d.withColumn("_z", F.when(ok.isNull(), F.arrays_zip("unix_seconds", value_field))).withColumn("_e", F.explode("_z"))
-    d = d.select(*([key] if key else []), F.col("_e.unix_seconds").alias("t"), F.col(f"_e.{value_field}").alias(value_field))
+    d = d.withColumn("_z", F.when(ok.isNull(), F.arrays_zip("unix_seconds", value_field))).select("*", F.posexplode("_z").alias("_pos", "_e"))
+    d = d.select(*([key] if key else []), F.col("_e.unix_seconds").alias("t"), F.col(f"_e.{value_field}").alias(value_field), *(["_seq", "_pos"] if sequence else []))
+    if sequence:
+        d = d.groupBy(*([key] if key else []), "t").agg(F.max_by(value_field, F.struct("_seq", "_pos")).alias(value_field))
     return resample(d, [key] if key else [], "t", 3600, {value_field: "avg"})
 
 
+def array_mix(payloads: DataFrame, value_field: str, key: str, kinds: dict[str, str], text: str = "value", sequence: str | None = None) -> DataFrame:
+    """Payloads of several kinds (in the field ``key``) as one frame: ``t`` and a column for each kind, outer joined on the hour: ``kinds`` gives the columns' names."""
+    d = array_series(payloads, value_field, text, key, sequence)
+    return d.filter(F.col(key).isin(list(kinds))).groupBy("t").agg(*[F.max(F.when(F.col(key) == k, F.col(value_field))).alias(n) for k, n in kinds.items()])
+
+
+def record_series(records: DataFrame, columns: dict[str, str], sequence: str | None = None) -> DataFrame:
+    """Records of ``emberline_records`` (``t``, JSON ``value``) as hourly means of the named fields; of records of one instant the last counts (by ``sequence``, else by their
+    text), hours without any value are left out. The day-ahead consumption forecast is such a field (``DAY_AHEAD``), as are those of ``CANONICAL``."""
+    fields = [finite(F.get_json_object("value", f"$.{f}").try_cast("double")).alias(n) for f, n in columns.items()]
+    d = records.filter("t is not null").groupBy("t").agg(F.max_by("value", sequence or "value").alias("value")).select("t", *fields)
+    return resample(d, [], "t", 3600, {n: "avg" for n in columns.values()}).dropna("all", subset=list(columns.values()))
+
+
+# The open data's field of the day-ahead consumption forecast.
+DAY_AHEAD = {"prevision_j1": "consumption_day_ahead_mw"}
+
+
 def metric_matrix(payloads: DataFrame, text: str = "value") -> DataFrame:
     """Samples ``labels, ts, value`` of range-query responses; values that are no number are null."""
     schema = "data struct<result:array<struct<metric:map<string,string>,values:array<array<string>>>>>"

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RETRIES, LONGEST_WAIT = 3, 10
 
@@ -122,6 +122,7 @@ def export_url(base: str, dataset: str, fields: list[str], start: int, end: int,
 
 
 def http_export(options: dict, start: int, end: int) -> list[dict]:
+    """Records of an open-data export."""
     url = export_url(options["base_url"], options["dataset"], options["fields"].split(","), start, end, options.get("populated"))
     with urllib.request.urlopen(url, timeout=float(options.get("timeout", "60"))) as r:
         if r.status == 206:
@@ -129,11 +130,33 @@ def http_export(options: dict, start: int, end: int) -> list[dict]:
         return json.load(r)
 
 
+_clients: dict[tuple, TokenClient] = {}
+
+
+def token_api(options: dict, start: int, end: int) -> list[dict]:
+    """Records of a service with client credentials: options ``url`` (with ``{start}`` and ``{end}`` for ISO instants), ``token_url``, ``id_variable``,
+    ``secret_variable`` and ``field`` (the list in the answer). A worker keeps its token for the next chunk."""
+    key = (options["token_url"], options["id_variable"], options["secret_variable"])
+    client = _clients.setdefault(key, TokenClient(*key))
+    iso = lambda t: urllib.parse.quote(datetime.fromtimestamp(t, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    status, body = client.get(options["url"].format(start=iso(start), end=iso(end)))
+    if status == 206:
+        raise Truncated
+    return json.loads(body)[options["field"]]
+
+
 class Chunk(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
 
 
+def chunks(options: dict, start: int, end: int) -> list[Chunk]:
+    """The span in the chunks that the option asks for, one partition each."""
+    kind, _, n = options.get("chunk", "year").partition(":")
+    cut = {"year": year_chunks, "days": lambda a, b: day_chunks(a, b, int(n)), "local_days": lambda a, b: local_day_chunks(a, b, int(n))}[kind]
+    return [Chunk(a, b) for a, b in cut(start, end)]
+
+
 def _fetcher(options: dict) -> Callable[[dict, int, int], list]:
     module, _, name = options.get("fetch", "emberline.sources.remote:http_export").partition(":")
     return getattr(importlib.import_module(module), name)
@@ -153,7 +176,7 @@ class RecordsSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return RecordsReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return RecordsStream(dict(self.options))
 
 
@@ -174,9 +197,7 @@ class RecordsReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        kind, _, n = self.options.get("chunk", "year").partition(":")
-        cut = {"year": lambda a, b: year_chunks(a, b), "days": lambda a, b: day_chunks(a, b, int(n)), "local_days": lambda a, b: local_day_chunks(a, b, int(n))}[kind]
-        return [Chunk(a, b) for a, b in cut(self.low, self.high)] or [Chunk(0, 0)]
+        return chunks(self.options, self.low, self.high) or [Chunk(0, 0)]
 
     def read(self, partition):
         if partition.end <= partition.start:
@@ -184,12 +205,12 @@ class RecordsReader(DataSourceReader):
         fetch, o = _fetcher(self.options), self.options
         limit = int(o["limit"]) if "limit" in o else None
         for r in halved(lambda a, b: with_retries(lambda: fetch(o, a, b)), partition.start, partition.end, limit):
-            stamp = r.get("date_heure") or r.get("timestamp")
+            stamp = r.get(o.get("time", "date_heure")) or r.get("timestamp")
             yield (int(datetime.fromisoformat(str(stamp).replace("Z", "+00:00")).timestamp()) if stamp else None, json.dumps(r, sort_keys=True))
 
 
-class RecordsStream(SimpleDataSourceStreamReader):
-    """Polls the service from the last instant read on; a trigger sets the refresh."""
+class RecordsStream(DataSourceStreamReader):
+    """Polls the service from the last instant read on; a trigger sets the refresh. The driver only names spans, executors fetch them."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -197,14 +218,17 @@ class RecordsStream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"t": int(self.options["start"])}
 
-    def read(self, start: dict):
-        end = int(self.options.get("now", time.time()))
-        if end <= start["t"]:
-            return iter([]), start
-        return self.readBetweenOffsets(start, {"t": end}), {"t": end}
+    def latestOffset(self) -> dict:
+        return {"t": max(int(self.options["start"]), int(self.options.get("now", time.time())))}
+
+    def partitions(self, start: dict, end: dict):
+        return chunks(self.options, start["t"], end["t"]) or [Chunk(0, 0)]
+
+    def read(self, partition):
+        return RecordsReader({"end": "0", **self.options}).read(partition)
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return RecordsReader({**self.options, "start": str(start["t"]), "end": str(end["t"])}).read(Chunk(start["t"], end["t"]))
+    def commit(self, end: dict) -> None:
+        """Nothing to free: the service keeps its records."""
 
 
 def register(spark) -> None:

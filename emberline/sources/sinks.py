@@ -14,7 +14,9 @@ def save_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def save_csv(df: DataFrame, path: str) -> None:
+def save_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """With ``order`` the rows come sorted by these columns: the only place where outputs are sorted."""
+    df = df.orderBy(*order) if order else df
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -39,20 +41,34 @@ def document_name(namespace: Column, name: Column, uid: Column) -> Column:
     return F.concat(F.regexp_replace(F.concat_ws("__", namespace, name), "[^a-zA-Z0-9_.-]+", "-"), F.lit("__"), uid)
 
 
+def save_windows(catalog: DataFrame, decisions: DataFrame, aggregated: DataFrame, report: DataFrame, folder: str) -> None:
+    """The outputs of an evaluation: catalogue and decisions as parquet, the table per model and duration as sorted CSV, the report as JSON lines."""
+    save_snapshot(catalog, f"{folder}/catalog.parquet")
+    save_snapshot(decisions, f"{folder}/decisions.parquet")
+    save_csv(aggregated, f"{folder}/by_duration.csv", ["model", "duration"])
+    safe_json(report, "value").write.mode("overwrite").text(f"{folder}/report.json")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def save_reports(reports: DataFrame, folder: str) -> int:
-    """Reports (``job_uid, final`` and more) that have no final document yet, appended to ``folder`` by the committer, whole or not at all.
+    """Reports (``job_uid, final`` and more) that have no final document yet, appended to ``folder``.
 
-    A final document is never written twice; provisional ones may be followed by later versions. Returns the number of rows written.
+    The last report of a job in the batch counts (final ones first). A final document is never written twice; provisional ones may be followed by later versions. One
+    writer at a time is assumed. Returns the number of rows written.
     """
+    from ..operators.series import keep_last
+    from ..session import checkpointed
+
     spark = reports.sparkSession
-    try:
+    order = ["final", *(["finished_at"] if "finished_at" in reports.columns else [])]
+    reports = keep_last(reports, ["job_uid"], order)
+    if exists(spark, folder):
         done = spark.read.parquet(folder).filter("final").select("job_uid").distinct()
         reports = reports.join(done, "job_uid", "left_anti")
-    except Exception as e:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    from ..session import checkpointed
-
     fresh = checkpointed(reports)  # the folder that is read is the one that is written
     n = fresh.count()
     if n:

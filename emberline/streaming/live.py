@@ -43,18 +43,16 @@ def emission_rates(stream: DataFrame, width: int = 15, most_age: float = 5400.0)
     cells = stream.withColumn("cell", floor_div(F.floor("ts").cast("long"), width) * width)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, level = state.get if state.exists else (None, None)
+        at, level = state.get if state.exists else (float("nan"), float("nan"))
         rows = pd.concat(list(batches)).sort_values(["ts", "kind", "value"], kind="stable")
-        out = []
-        for ts, kind, value, cell in zip(rows["ts"], rows["kind"], rows["value"], rows["cell"]):
-            if kind == "carbon":
-                at, level = float(ts), float(value)
-            else:
-                fresh = level is not None and ts - at <= most_age
-                out.append((key[0], int(cell), float(value), value * level / 3.6e6 if fresh else None))
-        if level is not None:
-            state.update((at, level))
-        yield pd.DataFrame(out, columns=["zone", "t", "watts", "rate"])
+        carbon = (rows["kind"] == "carbon").to_numpy()
+        since = rows["ts"].where(carbon).ffill().fillna(at)
+        known = rows["value"].where(carbon).ffill().fillna(level)
+        if carbon.any() or state.exists:
+            state.update((float(since.iloc[-1]), float(known.iloc[-1])))
+        p = rows[~carbon]
+        rate = (p["value"] * known[~carbon] / 3.6e6).where(p["ts"] - since[~carbon] <= most_age)
+        yield pd.DataFrame({"zone": key[0], "t": p["cell"].astype("int64"), "watts": p["value"].astype(float), "rate": rate})
 
     return cells.groupBy("zone").applyInPandasWithState(step, "zone string, t bigint, watts double, rate double", "at double, level double", "append", "NoTimeout")
 
@@ -91,6 +89,39 @@ def report_status(jobs: DataFrame, now: float) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("valid"), "final").when(old, "given_up").otherwise("provisional")).withColumn("final", F.col("valid"))
 
 
+def report_states(stream: DataFrame, late: str = "0 seconds", give_up_hours: float = GIVE_UP_HOURS) -> DataFrame:
+    """Reports that become final when their labels arrive, or are given up: rows ``job, status, finished``.
+
+    ``stream`` has ``job, finished`` (epoch seconds), ``seen`` (timestamp of the observation: event time) and ``valid``. A job is provisional with the first observation
+    that isn't valid, final with the first that is; a job without a final report is given up when event time passes its end by ``give_up_hours``, by a
+    timer. Final jobs are remembered until then, so none is reported twice.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, finished = state.get if state.exists else ("", 0.0)
+        out = []
+        if state.hasTimedOut:
+            if status == "provisional":
+                out.append((key[0], "given_up", finished))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches))
+            finished = max(finished, float(rows["finished"].max()))
+            after = "final" if status == "final" or bool(rows["valid"].any()) else "provisional"
+            if after != status:
+                out.append((key[0], after, finished))
+            state.update((after, finished))
+            state.setTimeoutTimestamp(int(max((finished + give_up_hours * 3600) * 1000, state.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame(out, columns=["job", "status", "finished"])
+
+    return stream.withWatermark("seen", late).groupBy("job").applyInPandasWithState(step, "job string, status string, finished double", "status string, finished double", "append", "EventTimeTimeout")
+
+
+def origins_due(after: int, now: int, step: int = 86_400) -> list[int]:
+    """The daily origins (00:00 UTC) after the last one done, up to now: what a trigger has to run."""
+    return list(range((after // step + 1) * step, now + 1, step))
+
+
 def observe(jobs: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
     """Report every finished job of a stream: each batch builds its reports and appends those that have no final document yet.
 
@@ -105,6 +136,28 @@ def observe(jobs: DataFrame, build: Callable[[DataFrame], DataFrame], folder: st
     return jobs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class LiveCarbon:
+    """The series for now: near real time for spans that begin in the last 30 days, else history; what was loaded is kept for ``ttl`` seconds."""
+
+    def __init__(self, realtime: Callable[[], DataFrame], history: Callable[[int, int], DataFrame], ttl: float = 300.0, clock: Callable[[], float] | None = None):
+        import time
+
+        self.realtime, self.history, self.ttl, self.clock = realtime, history, ttl, clock or time.time
+        self.kept: DataFrame | None = None
+        self.at = float("-inf")
+
+    def load(self, start: int, end: int) -> DataFrame:
+        """Rows with start <= t <= end."""
+        now = self.clock()
+        if start < now - 30 * 86_400:
+            d = self.history(start, end)
+        else:
+            if self.kept is None or now - self.at > self.ttl:
+                self.kept, self.at = self.realtime(), now
+            d = self.kept
+        return d.filter((F.col("t") >= start) & (F.col("t") <= end))
+
+
 def drained(result: DataFrame, folder: str, mode: str) -> DataFrame:
     """Run a stream to the end of its input and return what it wrote: appended rows, or with ``complete`` the last whole result."""
     spark: SparkSession = result.sparkSession

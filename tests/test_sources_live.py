@@ -167,9 +167,15 @@ def test_records_source(spark, rows):
     d = spark.read.format("emberline_records").option("start", 1767225600).option("end", 1767225600 + 86400).option("chunk", "days:1").option("fetch", "test_sources_live:fake_service").load()
     assert d.count() == 24
     assert rows(d.filter("t >= 1767225600 + 79200"), "t") == [(1767225600 + 79200,), (1767225600 + 82800,)]
-    stream = remote.RecordsStream({"start": "1767225600", "now": str(1767225600 + 7200), "fetch": "test_sources_live:fake_service"})
-    batch, offset = stream.read(stream.initialOffset())
-    assert len(list(batch)) == 2 and offset == {"t": 1767225600 + 7200} and list(stream.read(offset)[0]) == []
+    o = {"start": "1767225600", "now": str(1767225600 + 7200), "fetch": "test_sources_live:fake_service", "chunk": "days:1"}
+    stream = remote.RecordsStream(o)
+    first, last = stream.initialOffset(), stream.latestOffset()
+    assert last == {"t": 1767225600 + 7200}
+    parts = stream.partitions(first, last)
+    assert [len(list(stream.read(p))) for p in parts] == [2] and [list(stream.read(p)) for p in stream.partitions(last, last)] == [[]]
+    q = spark.readStream.format("emberline_records").options(**o).load().writeStream.format("memory").queryName("polled").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("polled").count() == 2
 
 
 # -- live
@@ -231,3 +237,101 @@ def test_observer_is_idempotent(spark, rows, tmp_path):
     for k in (1, 2):  # the second run with a lost checkpoint reads everything again
         live.observe(s, lambda b: b, str(tmp_path / "out"), str(tmp_path / f"ck{k}")).awaitTermination()
     assert rows(sinks.read_reports(spark, str(tmp_path / "out")), "job_uid", "finished_at") == [("a", 1.0), ("b", 4.0)]
+
+
+def test_reports_become_final_or_are_given_up(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from emberline.streaming import live
+
+    H = 3600
+    day = lambda h: datetime.fromtimestamp(1_700_000_000 + h * H, timezone.utc)
+    end = 1_700_000_000.0
+    steps = [
+        [("a", end, day(1), False), ("b", end, day(1), False), ("c", end, day(1), True)],
+        [("a", end, day(30), True), ("b", end, day(30), False), ("c", end, day(31), True)],
+        [("z", end + 400 * H, day(400), True)],
+        [("y", end + 401 * H, day(401), True)],
+    ]
+    schema = "job string, finished double, seen timestamp, valid boolean"
+    got = []
+    for i, rows_ in enumerate(steps):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        s = live.report_states(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        q = s.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda b, e: got.extend((r.job, r.status) for r in b.collect())).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(got) == [("a", "final"), ("a", "provisional"), ("b", "given_up"), ("b", "provisional"), ("c", "final"), ("y", "final"), ("z", "final")]
+
+
+def test_late_data_are_dropped_once_a_window_is_out(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from emberline.streaming import live
+
+    at = lambda h, v: ("FR", datetime.fromtimestamp(h * 3600, timezone.utc), float(v))
+    schema, got = "zone string, time timestamp, value double", []
+    for rows_ in ([at(1.1, 10), at(1.2, 20), at(2.5, 5)], [at(9, 1)], [at(1.5, 1000), at(9.5, 3)], [at(20, 1)]):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        s = live.hourly_means(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["zone"], "time", "value")
+        s.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda b, e: got.extend((r.t, r.value, r.n) for r in b.collect())).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == [(3600, 15.0, 2), (7200, 5.0, 1), (32400, 2.0, 2)]
+
+
+def test_live_series_are_kept_for_a_while(spark):
+    from emberline.streaming.live import LiveCarbon, origins_due
+
+    now, calls = [1_000_000_000.0], []
+
+    def load(name):
+        def f(*span):
+            calls.append(name)
+            return spark.createDataFrame([(int(now[0]) - 10, 1.0), (int(now[0]) - 40 * 86400, 2.0)], "t bigint, carbon double")
+
+        return f
+
+    c = LiveCarbon(load("realtime"), load("history"), clock=lambda: now[0])
+    assert c.load(int(now[0]) - 100, int(now[0])).count() == 1
+    now[0] += 200
+    c.load(int(now[0]) - 100, int(now[0]))
+    now[0] += 200
+    c.load(int(now[0]) - 100, int(now[0]))
+    c.load(int(now[0]) - 41 * 86400, int(now[0]))
+    assert calls == ["realtime", "realtime", "history"]
+    assert origins_due(86_400, 3 * 86_400) == [172_800, 259_200] and origins_due(86_401, 100_000) == []
+
+
+def test_records_of_a_service_with_tokens(monkeypatch):
+    import io
+    import json
+    import urllib.error
+
+    from emberline.sources import remote
+
+    asked = []
+
+    class Answer(io.BytesIO):
+        status = 200
+
+    def opener(request, timeout=None):
+        asked.append((request.full_url, request.headers.get("Authorization", "")))
+        if "token" in request.full_url:
+            return Answer(json.dumps({"access_token": f"t{len(asked)}", "expires_in": 7200}).encode())
+        if request.headers["Authorization"] == "Bearer t1":
+            raise urllib.error.HTTPError(request.full_url, 401, "no", {}, None)
+        return Answer(json.dumps({"messages": [{"id": 1}]}).encode())
+
+    monkeypatch.setenv("AN_ID", "me")
+    monkeypatch.setenv("A_SECRET", "word")
+    o = {"url": "https://service.example/m?from={start}&to={end}", "token_url": "https://service.example/token", "id_variable": "AN_ID", "secret_variable": "A_SECRET", "field": "messages"}
+    monkeypatch.setitem(remote._clients, ("https://service.example/token", "AN_ID", "A_SECRET"), remote.TokenClient("https://service.example/token", "AN_ID", "A_SECRET", opener))
+    assert remote.token_api(o, 0, 3600) == [{"id": 1}] == remote.token_api(o, 0, 3600)[:1]
+    assert [u.split("?")[0].rsplit("/", 1)[1] for u, _ in asked] == ["token", "m", "token", "m", "m"] and "1970-01-01T01%3A00%3A00Z" in asked[1][0]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from emberline import session
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.local_folder(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077")))
