@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .packing import ranked
+from .packing import enough, ranked
 
 #: The classifier: hashed features, at most so many labelled rows per source to train on, passes and step of gradient descent.
 FEATURES, SAMPLE_PER_SOURCE, EPOCHS, STEP, DECAY = 4096, 1000, 150, 2.0, 1e-4
@@ -265,7 +265,7 @@ def _rounded(d: DataFrame) -> DataFrame:
         debt[r["_kind"]] = owed - take * r["size"]
         extra.append((r["_kind"], r["_class"], take))
     plan = spark.createDataFrame(extra, "_kind string, _class bigint, _take bigint")
-    fractional = ranked(d.filter("_part > 0"), ["_kind", "_class"], ["doc_id"]).join(F.broadcast(plan), ["_kind", "_class"])
+    fractional = ranked(d.filter("_part > 0"), ["_kind", "_class"], ["doc_id"], enough(max((r["n"] for r in rows), default=0))).join(F.broadcast(plan), ["_kind", "_class"])
     fractional = fractional.withColumn("uses", (F.floor("rate") + (F.col("rank") < F.col("_take")).cast("int")).cast("long"))
     columns = ["doc_id", "label", "tokens", "p", "rate", "cap", "uses"]
     whole = d.filter("_part = 0").withColumn("uses", F.floor("rate").cast("long"))

@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-#: Items of one length are ranked in this many buckets, so a frequent length is no single task's work.
-BUCKETS = 64
+#: Items of one length are ranked in this many buckets or more, so that a bucket holds about PER_BUCKET items of the most frequent length.
+BUCKETS, PER_BUCKET = 64, 200_000
+
+
+def enough(most: int, buckets: int = BUCKETS) -> int:
+    """Buckets for ``most`` items of one length."""
+    return max(buckets, -(-most // PER_BUCKET))
 
 
 class OpenBins:
@@ -136,7 +141,7 @@ def pack(sizes: DataFrame, containers: DataFrame, buckets: int = BUCKETS) -> Dat
     shared = spark.sparkContext.broadcast(table)
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr("cast(ceil(tokens / _capacity) as bigint)"), F.lit(1)) - 1))
     items = d.withColumn("piece", piece).withColumn("size", F.least(F.col("tokens") - F.col("piece") * F.col("_capacity"), F.col("_capacity")))
-    items = ranked(items.select("_class", "doc_id", "piece", "size"), ["_class", "size"], ["doc_id", "piece"], buckets)
+    items = ranked(items.select("_class", "doc_id", "piece", "size"), ["_class", "size"], ["doc_id", "piece"], enough(max((r["n"] for r in counted), default=0), buckets))
     names = [name for name, _ in classes]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
