@@ -76,8 +76,9 @@ def regular_grid(readings: DataFrame, captures: DataFrame, width_s: Column | int
     r = r.select("capture_id", "source_id", F.explode(near).alias("_chunk"), "ts", "value", F.lit(None).cast(spec.schema["_spec"].dataType).alias("_spec"))
     by = W.partitionBy("capture_id", "source_id", "_chunk").orderBy(F.col("ts").asc_nulls_first(), F.col("value").desc_nulls_last())
     d = spec.unionByName(r)
-    d = d.select("capture_id", "source_id", "_chunk", "ts", "value", F.lag("ts").over(by).alias("_pt"), F.lag("value").over(by).alias("_pv"), F.last("_spec", ignorenulls=True).over(by).alias("_s"), F.col("_spec").isNotNull().alias("_is_spec"))
+    d = d.select("capture_id", "source_id", "_chunk", "ts", "value", F.lag("ts").over(by).alias("_pt"), F.last("_spec", ignorenulls=True).over(by).alias("_s"), F.col("_spec").isNotNull().alias("_is_spec"))
     d = d.filter(F.col("_s").isNotNull() & (F.col("_is_spec") | F.col("_pt").isNull() | (F.col("ts") > F.col("_pt"))))
+    d = d.withColumn("_pt", F.lag("ts").over(by)).withColumn("_pv", F.lag("value").over(by))  # of the readings that count: the same sort
     w, us = F.col("_s._w"), F.col("_s._w") * 1_000_000
     joined = F.col("_pt").isNotNull() & (F.col("ts") - F.col("_pt") <= max_gap)
     from_cell = F.greatest(floor_div(F.when(joined, F.col("_pt")).otherwise(F.col("ts")), us) * w, F.col("_s._lo"))

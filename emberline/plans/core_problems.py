@@ -103,4 +103,30 @@ filled as (
   select distinct s.capture_id, s.source_id, s.kind, s.us // (w * 1000000) * w as cell_s
   from seen s join (select capture_id, step_s, unnest([1, 2]) as kind from capture_runs) c on c.capture_id = s.capture_id and c.kind = s.kind, lateral (select case when s.kind = 1 then step_s else 60 end::bigint as w) x)
 select capture_id, source_id, cell_s from cells anti join filled using (capture_id, source_id, kind, cell_s)""",
+    "p5_regular_grid": r"""with
+src as (
+  select capture_id, series_id as source_id, 1 as kind, bool_or(metric_name like '%\_total' escape '\') as counter from kepler_samples where series_id is not null and capture_id is not null group by 1, 2
+  union all select distinct capture_id, target_id, 2, false from scrape_targets where target_id is not null and capture_id is not null),
+wide as (select src.*, case when kind = 1 then step_s else 60 end::bigint as w, epoch_us(started_at) as f, epoch_us(ended_at) as t from src join capture_runs using (capture_id)),
+cells as (select *, unnest(range(f // (w * 1000000) * w, (t - 1) // (w * 1000000) * w + 1, w)) as cell_s from wide),
+seen as (
+  select capture_id, series_id as source_id, 1 as kind, epoch_us(sample_ts) as us, try_cast(trim(sample_value) as double) as v from kepler_samples
+  where regexp_full_match(trim(sample_value), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and isfinite(try_cast(trim(sample_value) as double))
+  union all
+  select capture_id, target_id, 2, epoch_us(try_cast(regexp_replace(last_scrape, '(\.[0-9]{1,6})[0-9]*', '\1') as timestamptz)), coalesce(last_scrape_duration_s, 0.0) from scrape_targets
+  where lower(trim(health)) = 'up' and try_cast(regexp_replace(last_scrape, '(\.[0-9]{1,6})[0-9]*', '\1') as timestamptz) > timestamptz '1900-01-01 00:00:00+00'),
+one as (select capture_id, source_id, kind, us, max(v) as v from seen where us is not null group by 1, 2, 3, 4),
+pairs as (select one.*, w, counter, lag(us) over q as pt, lag(one.v) over q as pv from one join wide using (capture_id, source_id, kind) window q as (partition by capture_id, source_id, kind order by us)),
+stretches as (select *, coalesce(us - pt <= 900000000, false) as joined from pairs),
+pieces as (select *, unnest(range(case when joined then pt else us end // (w * 1000000) * w, us // (w * 1000000) * w + 1, w)) as cell_s from stretches),
+cut as (select *, greatest(pt, cell_s * 1000000) as a, least(us, (cell_s + w) * 1000000) as b, us // (w * 1000000) * w = cell_s as here from pieces),
+shares as (
+  select capture_id, source_id, kind, cell_s, here, v, case when joined then (b - a) / 1e6 end as span,
+    case when joined and counter then (case when v >= pv then v - pv else greatest(v, 0.0) end) * (b - a) / (us - pt)
+      when joined then ((pv + (v - pv) * ((a - pt) / (us - pt))) + (pv + (v - pv) * ((b - pt) / (us - pt)))) / 2 * (b - a) / 1e6 end as amount
+  from cut),
+grid as (select capture_id, source_id, kind, cell_s, sum(here::int) as readings, coalesce(sum(span), 0.0) as covered, sum(amount) as amount, avg(case when here then v end) as mean from shares group by 1, 2, 3, 4)
+select c.capture_id, c.source_id, c.cell_s, coalesce(readings, 0)::bigint as readings, round(coalesce(covered, 0.0), 4) as covered_s, case when counter then round(amount, 4) end as amount,
+  case when not counter then round(case when covered > 0 then amount / covered else mean end, 4) end as value, coalesce(readings, 0) = 0 as missing
+from cells c left join grid g on g.capture_id = c.capture_id and g.source_id = c.source_id and g.kind = c.kind and g.cell_s = c.cell_s""",
 }

@@ -281,3 +281,9 @@ def test_the_model_is_learned_from_the_readings():
     v = np.arange(steps, dtype=float)
     post, moved = anomaly._posteriors(np.zeros(steps, int), v, beyond, np.zeros(steps, bool), stats, np.ones(steps, bool))
     assert moved.sum() == pytest.approx(steps - 1) and moved[0, 0, 1] / moved[0, 0].sum() == pytest.approx(1 / 7, abs=0.01)
+
+
+def test_the_highest_of_readings_at_one_instant_begins_the_next_stretch(spark):
+    r = spark.createDataFrame([(1, "s", 10_000_000, 8.0, False), (1, "s", 10_000_000, 2.0, False), (1, "s", 20_000_000, 4.0, False)], "capture_id bigint, source_id string, ts bigint, value double, counter boolean")
+    c = spark.createDataFrame([(1, datetime.fromtimestamp(10, timezone.utc), datetime.fromtimestamp(20, timezone.utc))], "capture_id bigint, started_at timestamp, ended_at timestamp")
+    assert [(x.cell_s, x.readings, x.value) for x in regrid.regular_grid(r, c, 10).collect()] == [(10, 1, 6.0)]
