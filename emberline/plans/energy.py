@@ -39,24 +39,27 @@ meas as (select w.pod, coalesce(sum(j), 0.0) as joules, count(j) as increments,
   from kpods w left join inc using (pod) group by 1)"""
 
 
-@query(_ANCHORS.format(tol=90) + " select pod, round(joules, 6) as joules, increments, resets, samples, round(coverage, 6) as coverage, note_start, note_end from meas")
+#: Some counters hold impossible readings near 1e12: joules are compared to a tenth, as far as doubles carry.
+
+
+@query(_ANCHORS.format(tol=90) + " select pod, round(joules, 1) as joules, increments, resets, samples, round(coverage, 6) as coverage, note_start, note_end from meas")
 def a_counter_delta(spark, d):
     pods = ad.kepler_pods(spark, d)
-    return rounded(ac.measure(ac.increments(ad.kepler_counters(spark, d), pods, "pod", sequence="seq"), pods, "pod"))
+    return rounded(ac.measure(ac.increments(ad.kepler_counters(spark, d), pods, "pod", sequence="seq"), pods, "pod").withColumn("joules", F.round("joules", 1)))
 
 
 @query("""cs as (select pod, ts, arg_max(joules, seq) as v from kcounters group by 1, 2), l as (select *, lag(v) over (partition by pod order by ts) as p from cs)
-select pod, round(sum(case when p is null then null when v >= p then v - p else greatest(v, 0) end), 6) as delta, coalesce(sum((v < p)::int), 0)::bigint as resets, count(*) as samples from l group by 1""")
+select pod, round(sum(case when p is null then null when v >= p then v - p else greatest(v, 0) end), 1) as delta, coalesce(sum((v < p)::int), 0)::bigint as resets, count(*) as samples from l group by 1""")
 def a_counter_simple(spark, d):
-    return rounded(ac.counter_delta(ad.kepler_counters(spark, d), ["pod"], sequence="seq").fillna(0, ["resets"]))
+    return rounded(ac.counter_delta(ad.kepler_counters(spark, d), ["pod"], sequence="seq").fillna(0, ["resets"]).withColumn("delta", F.round("delta", 1)))
 
 
 @query("""cs as (select pod, ts, arg_max(joules, seq) as v from kcounters group by 1, 2),
 b as (select w.pod, max(ts) filter (ts <= start) as a, min(ts) filter (ts >= "end") as z from kpods w join cs using (pod) group by 1),
 l as (select c.pod, v, lag(v) over (partition by c.pod order by ts) as p from cs c join b on b.pod = c.pod and ts between a and z)
-select w.pod, round(sum(case when p is null then null when v >= p then v - p else greatest(v, 0) end), 6) as delta from kpods w left join l using (pod) group by 1""")
+select w.pod, round(sum(case when p is null then null when v >= p then v - p else greatest(v, 0) end), 1) as delta from kpods w left join l using (pod) group by 1""")
 def a_counter_enclosing(spark, d):
-    return rounded(ac.enclosing_delta(ad.kepler_counters(spark, d), ad.kepler_pods(spark, d), "pod", "seq"))
+    return rounded(ac.enclosing_delta(ad.kepler_counters(spark, d), ad.kepler_pods(spark, d), "pod", "seq").withColumn("delta", F.round("delta", 1)))
 
 
 _CARBON = _ANCHORS.format(tol=90) + """, pts as (select t, carbon from area_points where zone = 'FR'),
@@ -67,17 +70,17 @@ def _increments(spark, d):
     return ac.increments(ad.kepler_counters(spark, d), ad.kepler_pods(spark, d), "pod", sequence="seq").withColumn("zone", F.lit("FR"))
 
 
-@query(_CARBON + """ select pod, round(sum(joules), 6) as joules, round(sum(joules / 3.6e6 * carbon), 9) as grams, round(case when sum(joules) filter (carbon is not null) > 0 then sum(joules / 3.6e6 * carbon) / (sum(joules) filter (carbon is not null) / 3.6e6) end, 6) as intensity,
+@query(_CARBON + """ select pod, round(sum(joules), 1) as joules, round(sum(joules / 3.6e6 * carbon), 3) as grams, round(case when sum(joules) filter (carbon is not null) > 0 then sum(joules / 3.6e6 * carbon) / (sum(joules) filter (carbon is not null) / 3.6e6) end, 6) as intensity,
   round(case when sum(joules) > 0 then coalesce(sum(joules) filter (carbon is not null), 0) / sum(joules) else 0.0 end, 6) as carbon_coverage, sum((carbon is null)::int)::bigint as missing, count(*) as intervals from ci group by 1""")
 def a_asof_carbon(spark, d):
     r = ac.account(_increments(spark, d), ad.area_points(spark, d), "pod")
-    return rounded(r.withColumn("grams", F.round("grams", 9).cast("decimal(30,9)"))).withColumn("grams", F.col("grams").cast("double"))
+    return rounded(r.withColumn("grams", F.round("grams", 3)).withColumn("joules", F.round("joules", 1)))
 
 
-@query(_CARBON + ' select pod, round(start, 3) as start, round("end", 3) as "end", round(joules, 6) as joules, round(carbon, 6) as carbon from ci')
+@query(_CARBON + ' select pod, round(start, 3) as start, round("end", 3) as "end", round(joules, 1) as joules, round(carbon, 6) as carbon from ci')
 def a_carbon_intervals(spark, d):
     r = ac.carbon_intervals(_increments(spark, d).filter("joules is not null"), ad.area_points(spark, d), "pod")
-    return r.select("pod", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("joules", 6).alias("joules"), F.round("carbon", 6).alias("carbon"))
+    return r.select("pod", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("joules", 1).alias("joules"), F.round("carbon", 6).alias("carbon"))
 
 
 _REPORT = _CARBON + """, e as (select job, min(w.start) as start, max(w."end") as "end", count(*) as pods, sum((samples = 0)::int)::bigint as pods_missing, sum(joules) as joules, sum(resets)::bigint as resets,
@@ -90,17 +93,17 @@ def _report(spark, d):
     return ac.job_report(ad.kepler_counters(spark, d), ad.kepler_pods(spark, d), ad.area_points(spark, d), sequence="seq")
 
 
-@query(_REPORT + " select job, pods, pods_missing, round(joules, 6) as joules, resets, round(coverage, 6) as coverage, round(grams * 1000, 6) as milligrams, round(carbon_coverage, 6) as carbon_coverage, missing, round(watts, 9) as watts, valid from report")
+@query(_REPORT + " select job, pods, pods_missing, round(joules, 1) as joules, resets, round(coverage, 6) as coverage, round(grams, 3) as grams, round(carbon_coverage, 6) as carbon_coverage, missing, round(watts, 3) as watts, valid from report")
 def a_report(spark, d):
     r = _report(spark, d)
-    return r.select("job", "pods", "pods_missing", F.round("joules", 6).alias("joules"), "resets", F.round("coverage", 6).alias("coverage"), F.round(F.col("grams") * 1000, 6).alias("milligrams"), F.round("carbon_coverage", 6).alias("carbon_coverage"), "missing", F.round("watts", 9).alias("watts"), "valid")
+    return r.select("job", "pods", "pods_missing", F.round("joules", 1).alias("joules"), "resets", F.round("coverage", 6).alias("coverage"), F.round("grams", 3).alias("grams"), F.round("carbon_coverage", 6).alias("carbon_coverage"), "missing", F.round("watts", 3).alias("watts"), "valid")
 
 
 @query(_ANCHORS.format(tol=90).replace("from kcounters", "from kcounters where seq is not null") + """, z as (select job, m.* from meas m join kpods using (pod)), zz as (select distinct concat_ws('#', series_id, capture_id) as pod, rapl_zone, node_name from kepler_samples),
 tot as (select job, sum(joules) filter (rapl_zone = 'package' and samples > 0) as total, sum(joules) filter (rapl_zone = 'core' and samples > 0) as active, sum(case when rapl_zone in ('package', 'core') then resets else 0 end)::bigint as resets from z join zz using (pod) group by 1),
 cpu as (select c.capture_id as job, avg(v) as m, max(v) as x from (select capture_id, epoch_us(sample_ts) / 1e6 as ts, try_cast(trim(sample_value) as double) as v from kepler_samples where metric_name = 'node_cpu_utilization_ratio' and regexp_full_match(trim(sample_value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) s
   join capture_runs c on c.capture_id = s.capture_id where isfinite(v) and ts between epoch_us(started_at) / 1e6 + 60 and epoch_us(ended_at) / 1e6 - 60 group by 1)
-select c.capture_id as job, round(total, 6) as total_joules, round(active, 6) as active_joules, coalesce(resets, 0) as resets, round(least(m, 1.0), 6) as cpu_mean, round(least(x, 1.0), 6) as cpu_max, round(case when active > 0 then 1000.0::double / active end, 9) as job_share
+select c.capture_id as job, round(total, 1) as total_joules, round(active, 1) as active_joules, coalesce(resets, 0) as resets, round(least(m, 1.0), 6) as cpu_mean, round(least(x, 1.0), 6) as cpu_max, round(case when active > 0 then 1000.0::double / active end, 9) as job_share
 from capture_runs c left join tot on tot.job = c.capture_id left join cpu on cpu.job = c.capture_id""")
 def a_node_context(spark, d):
     """Every capture as a job of 1,000 J on its node: counters of the package as total, of the core as active."""
@@ -110,7 +113,7 @@ def a_node_context(spark, d):
     counters = s.filter(F.col("metric_name").endswith("_total")).select(node, F.when(F.col("rapl_zone") == "package", "total").when(F.col("rapl_zone") == "core", "active").alias("kind"), "ts", F.col("v").alias("joules"), "seq")
     cpu = s.filter("metric_name = 'node_cpu_utilization_ratio'").select(node, "ts", F.col("v").alias("ratio"))
     r = ac.node_context(jobs, counters, cpu, sequence="seq")
-    return r.select("job", *[F.round(c, 6).alias(c) for c in ("total_joules", "active_joules")], "resets", F.round("cpu_mean", 6).alias("cpu_mean"), F.round("cpu_max", 6).alias("cpu_max"), F.round("job_share", 9).alias("job_share"))
+    return r.select("job", *[F.round(c, 1).alias(c) for c in ("total_joules", "active_joules")], "resets", F.round("cpu_mean", 6).alias("cpu_mean"), F.round("cpu_max", 6).alias("cpu_max"), F.round("job_share", 9).alias("job_share"))
 
 
 @query("""en as (select us // 86400000000 as job, user_id as pod, sum(value) as joules from ev group by 1, 2), own as (select distinct us // 86400000000 as job, user_id as pod from ev where event_type <> 'error'),
