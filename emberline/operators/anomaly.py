@@ -202,9 +202,12 @@ def implausible(samples: DataFrame, least: int = 50_000, chunk: int = CHUNK, mar
     start = source_statistics(seqs).withColumn("moves", F.array(*[F.lit(float(x)) for x in MOVES.ravel()])).withColumn("wide", F.lit(WIDE))
     expected = left.join(copied(start, hot, key), ["series_id", "_salt"]).select(*columns).mapInPandas(_expect, EXPECTED)
     sums = expected.groupBy("series_id").agg(*[F.sum(F.col("moved")[i]).alias(f"_m{i}") for i in range(16)], F.sum("beyond").alias("_beyond"), F.sum("squares").alias("_squares"))
-    # transitions and the spread of normal excursions as expected under the first model, with the start as prior
-    row = [sum((F.col(f"_m{4 * i + j}") for j in range(4)), F.lit(PRIOR)) for i in range(4)]
-    moves = F.array(*[(F.col(f"_m{4 * i + j}") + PRIOR * float(MOVES[i, j])) / row[i] for i in range(4) for j in range(4)])
+    # transitions and the spread of normal excursions as expected under the first model, with the start as prior. The moves into and out of stuck stay as
+    # they are: where readings are coarse, runs by chance would otherwise teach the model that the source often sticks
+    free = [NORMAL, SPIKE, OUTSIDE]
+    weight = {(i, j): F.col(f"_m{4 * i + j}") + PRIOR * float(MOVES[i, j]) for i in free for j in free}
+    row = {i: sum((weight[i, j] for j in free[1:]), weight[i, free[0]]) for i in free}
+    moves = F.array(*[weight[i, j] / row[i] * float(1 - MOVES[i, STUCK]) if i in free and j in free else F.lit(float(MOVES[i, j])) for i in range(4) for j in range(4)])
     wide = F.sqrt((F.col("_squares") + PRIOR * WIDE**2) / (F.col("_beyond") + PRIOR))
     model = start.drop("moves", "wide").join(sums.select("series_id", moves.alias("moves"), wide.alias("wide")), "series_id")
     return left.join(copied(model, hot, key), ["series_id", "_salt"]).select(*columns).mapInPandas(_judge, FLAGS)
